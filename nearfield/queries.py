@@ -1,6 +1,183 @@
-"""Registered queries of the vector engine and their SQL."""
+"""Registered queries of the vector engine and their SQL.
+
+Queries are the vectors whose id is divisible by 20, against all vectors.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from nearfield.operators import edges, evaluate, probes
+from nearfield.operators.knn import knn
+from nearfield.sources.vectors import read_embeddings
+
+K = 10
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+_SIDES = "b AS (SELECT vec_id AS vid, embedding::DOUBLE[] AS v, label FROM embeddings), q AS (SELECT vid AS qid, v AS qv, label AS qlabel FROM b WHERE vid % 20 = 0)"
+_FORMULA = {"l2": "list_distance(qv, v)", "l2sqr": "list_distance(qv, v) * list_distance(qv, v)", "ip": "-list_inner_product(qv, v)", "cosine": "list_cosine_distance(qv, v)"}
+
+
+def _knn_sql(metric: str = "l2", k: int = K, where: str = "true", order: str = "ASC") -> str:
+    """CTEs up to near(qid, rank, vid, dist)."""
+    return f"""{_SIDES}, pairs AS (SELECT qid, vid, round({_FORMULA[metric]}, 6) + 0.0 AS dist FROM q, b WHERE {where}),
+    near AS (SELECT qid, rank, vid, dist FROM (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY dist {order}, vid))::INT AS rank FROM pairs) WHERE rank <= {k})"""
+
+
+def _sides(spark, sf_dir):
+    base = read_embeddings(spark, sf_dir)
+    return base, base.where("vid % 20 = 0").select(F.col("vid").alias("qid"), "vec", "label")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _metric_query(metric: str):
+    def run(spark, sf_dir):
+        return knn(*_sides(spark, sf_dir), K, metric)
+
+    run.__name__ = f"knn_{metric}"
+    query(f"WITH {_knn_sql(metric)} SELECT * FROM near")(run)
+
+
+for _metric in _FORMULA:
+    _metric_query(_metric)
+
+
+@query(f"WITH {_knn_sql(k=5, where='label = qlabel')} SELECT * FROM near")
+def knn_filtered_label(spark, sf_dir):
+    return knn(*_sides(spark, sf_dir), 5, same="label")
+
+
+@query(f"WITH {_knn_sql(k=1 << 30, where='vid <> qid AND round(list_distance(qv, v), 6) <= 1.2')} SELECT qid, count(*)::BIGINT AS n, round(max(dist), 6) AS farthest FROM near GROUP BY qid")
+def range_join_counts(spark, sf_dir):
+    base, asked = _sides(spark, sf_dir)
+    return knn(base, asked, 1 << 30, exclude_self=True, within=1.2).groupBy("qid").agg(F.count("*").alias("n"), F.round(F.max("dist"), 6).alias("farthest"))
+
+
+@query("WITH b AS (SELECT unnest(embedding)::DOUBLE AS x, unnest(range(0, 64))::INT AS pos FROM embeddings) SELECT pos, round(avg(x), 6) + 0.0 AS value FROM b GROUP BY pos")
+def centroid(spark, sf_dir):
+    return probes.centroid(read_embeddings(spark, sf_dir)).select("pos", (F.col("value") + 0.0).alias("value"))
+
+
+@query("""WITH b AS (SELECT unnest(embedding)::DOUBLE AS x, unnest(range(0, 64))::INT AS pos FROM embeddings), c AS (SELECT pos, avg(x) AS value FROM b GROUP BY pos),
+m AS (SELECT list(value ORDER BY pos) AS c FROM c) SELECT vec_id AS vid, round(list_distance(embedding::DOUBLE[], c), 6) AS dist FROM embeddings, m ORDER BY 2, 1 LIMIT 1""")
+def medoid_entry_point(spark, sf_dir):
+    return probes.medoid(read_embeddings(spark, sf_dir))
+
+
+def _quantile_sql(table: str, key: str, quantiles) -> str:
+    listed = ", ".join(f"({q!r}::DOUBLE)" for q in quantiles)
+    return f"""SELECT {key}, quantile, dist FROM (SELECT {key}, dist, row_number() OVER (PARTITION BY {key} ORDER BY dist) - 1 AS place, count(*) OVER (PARTITION BY {key}) AS n FROM {table}),
+    (VALUES {listed}) AS t(quantile) WHERE place = least(floor(quantile * n), n - 1)"""
+
+
+@query(f"WITH {_knn_sql(k=32, where='vid <> qid')} {_quantile_sql('near', 'rank', probes.QUANTILES)}")
+def probe_nearest(spark, sf_dir):
+    return probes.nearest(*_sides(spark, sf_dir), 32)
+
+
+@query(f"WITH {_knn_sql(k=1, order='DESC')}, far AS (SELECT 'farthest' AS probe, dist FROM near) {_quantile_sql('far', 'probe', probes.QUANTILES)}")
+def probe_farthest(spark, sf_dir):
+    return probes.farthest(*_sides(spark, sf_dir))
+
+
+@query(f"""WITH {_knn_sql(k=1, where='vid <> qid')}, far AS (SELECT qid, max(round(list_distance(qv, v), 6)) AS dist FROM q, b GROUP BY qid),
+s AS (SELECT list(dist ORDER BY dist) AS n FROM near), t AS (SELECT list(dist ORDER BY dist) AS f FROM far)
+SELECT round(f[length(f)] / n[1], 6) AS worst, round(f[least(length(f) // 2, length(f) - 1) + 1] / n[least(length(n) // 2, length(n) - 1) + 1], 6) AS median FROM s, t""")
+def aspect_ratio(spark, sf_dir):
+    return probes.aspect_ratio(*_sides(spark, sf_dir))
+
+
+@query(f"""WITH {_knn_sql(k=100)}, r AS (SELECT qid, max(dist) FILTER (WHERE rank = 50) AS ri, max(dist) FILTER (WHERE rank = 75) AS rj, max(dist) FILTER (WHERE rank = 100) AS rk FROM near GROUP BY qid)
+SELECT round(avg(((rk - rj) * ln(100.0 / 75.0) + (rj - ri) * ln(75.0 / 50.0)) / ((rk - rj) * ln(rk / rj) + (rj - ri) * ln(rj / ri))), 6) AS lid FROM r""")
+def lid_rve(spark, sf_dir):
+    return probes.intrinsic_dimension(*_sides(spark, sf_dir), (50, 75, 100))
+
+
+@query(f"WITH {_knn_sql(k=5, where='vid <> qid')}, fifth AS (SELECT 5 AS nth, dist FROM near WHERE rank = 5) {_quantile_sql('fifth', 'nth', (0.0, 0.5, 0.9))}")
+def radius_rank_quantile(spark, sf_dir):
+    rows = knn(*_sides(spark, sf_dir), 5, exclude_self=True).where("rank = 5").select(F.lit(5).alias("nth"), "dist")
+    return probes.floor_quantiles(rows, "dist", ["nth"], (0.0, 0.5, 0.9))
+
+
+@query("""WITH b AS (SELECT vec_id AS vid, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT count(*) AS n FROM embeddings)
+SELECT x.vid, y.vid AS other, round(list_distance(x.v, y.v), 6) AS dist FROM b x, n, b y WHERE y.vid = (x.vid * 7919 + 13) % n.n""")
+def pair_distances(spark, sf_dir):
+    base = read_embeddings(spark, sf_dir)
+    return probes.pair_distances(base, (F.col("vid") * 7919 + 13) % F.lit(base.count()))
+
+
+_EVEN = f"""{_knn_sql(where='true')}, found AS (SELECT qid, vid, dist, (row_number() OVER (PARTITION BY qid ORDER BY dist, vid))::INT AS rank FROM pairs WHERE vid % 2 = 0 AND vid <> qid)"""
+
+
+def _found(spark, sf_dir):
+    """A poorer answer: the neighbours of even id."""
+    base, asked = _sides(spark, sf_dir)
+    return knn(base.where("vid % 2 = 0"), asked, K, exclude_self=True), knn(base, asked, K, exclude_self=False)
+
+
+@query(f"WITH {_EVEN} SELECT round(count(f.vid) / ((SELECT count(*) FROM q) * 10.0), 6) AS recall FROM near t JOIN (SELECT * FROM found WHERE rank <= 10) f ON t.qid = f.qid AND t.vid = f.vid")
+def recall_at_k(spark, sf_dir):
+    return evaluate.recall_at_k(*_found(spark, sf_dir), K)
+
+
+@query(f"""WITH {_knn_sql(k=2, where='vid <> qid')}, found AS (SELECT qid, dist FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, vid) AS r FROM pairs WHERE vid % 2 = 0) WHERE r = 1)
+SELECT round(avg(f.dist / t.dist), 6) AS adr FROM near t JOIN found f ON t.qid = f.qid WHERE t.rank = 1 AND t.dist > 0""")
+def adr_at_1(spark, sf_dir):
+    base, asked = _sides(spark, sf_dir)
+    return evaluate.distance_ratio_at_1(knn(base.where("vid % 2 = 0"), asked, 1, exclude_self=True), knn(base, asked, 1, exclude_self=True))
+
+
+_EDGES = f"{_knn_sql(where='vid <> qid')}, e AS (SELECT qid AS src, vid AS dst, dist FROM near)"
+
+
+def _edges(spark, sf_dir):
+    near = knn(*_sides(spark, sf_dir), K, exclude_self=True)
+    return near.select(F.col("qid").alias("src"), F.col("vid").alias("dst"), "dist", F.lit(False).alias("is_new"))
+
+
+@query(f"WITH {_EDGES} SELECT dst AS src, src AS dst, dist, true AS is_new FROM e")
+def reverse_edges(spark, sf_dir):
+    return edges.reverse(_edges(spark, sf_dir))
+
+
+@query(f"WITH {_EDGES} SELECT src, dst, min(dist) AS dist, bool_and(is_new) AS is_new FROM (SELECT src, dst, dist, false AS is_new FROM e UNION ALL SELECT dst, src, dist, true FROM e) GROUP BY src, dst")
+def symmetric_closure(spark, sf_dir):
+    return edges.symmetric(_edges(spark, sf_dir))
+
+
+@query(f"WITH {_EDGES}, r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS r FROM e WHERE dist <= 1.25) SELECT src, dst, dist, false AS is_new FROM r WHERE r <= 4")
+def truncate_rows(spark, sf_dir):
+    return edges.truncate(_edges(spark, sf_dir), 4, 1.25)
+
+
+@query(f"WITH {_EDGES}, s AS (SELECT DISTINCT * FROM (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)), d AS (SELECT src, count(*)::BIGINT AS degree FROM s GROUP BY src) SELECT degree, count(*)::BIGINT AS vertices FROM d GROUP BY degree")
+def degree_histogram(spark, sf_dir):
+    return edges.degrees(edges.symmetric(_edges(spark, sf_dir)))
+
+
+@query("SELECT label, count(*)::BIGINT AS members, min(vec_id) AS first, max(vec_id) AS last FROM embeddings GROUP BY label")
+def ivf_partitions(spark, sf_dir):
+    return read_embeddings(spark, sf_dir).groupBy("label").agg(F.count("*").alias("members"), F.min("vid").alias("first"), F.max("vid").alias("last"))
+
+
+@query(f"WITH {_EDGES} SELECT count(*)::BIGINT AS edges, (count(*) * 4)::BIGINT AS bytes FROM e")
+def index_size(spark, sf_dir):
+    return _edges(spark, sf_dir).agg(F.count("*").alias("edges"), (F.count("*") * 4).alias("bytes"))
+
+
+@query()
+def prune_pivots(spark, sf_dir):
+    """Relative-neighbourhood pruning of each query's 50 nearest."""
+    base, asked = _sides(spark, sf_dir)
+    near = knn(base, asked, 50, exclude_self=True).select(F.col("qid").alias("src"), F.col("vid").alias("dst"), "dist")
+    return edges.prune(near, base)
