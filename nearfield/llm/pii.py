@@ -15,6 +15,7 @@ import hashlib
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -218,8 +219,6 @@ def masked(text: str, spans: list[list[tuple[int, int]]]) -> str:
 
 def mask_pii(docs: DataFrame, **options) -> DataFrame:
     """The documents with personal data masked; n_chars, where there is one, follows the text."""
-    import pandas as pd
-
     held = docs.sparkSession.sparkContext.broadcast(train(docs, **options))
 
     @F.pandas_udf("string")

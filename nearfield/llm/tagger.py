@@ -167,7 +167,7 @@ class Tagger:
             dstate, dcell = np.clip(dz @ u.T, -1, 1), np.clip(dc * f, -1, 1)
         return dw, du
 
-    def fit(self, sequences: list[tuple[np.ndarray, np.ndarray]], length: int = 96, epochs: int = 6, batch: int = 64, rate: float = 0.015, seed: int = 11) -> list[float]:
+    def fit(self, sequences: list[tuple[np.ndarray, np.ndarray]], length: int = 96, epochs: int = 8, batch: int = 64, rate: float = 0.015, seed: int = 11) -> list[float]:
         """Trains on (classes, labels) sequences, cut or padded to ``length``, by Adam; the loss of each epoch."""
         x, y = np.zeros((length, len(sequences)), np.uint8), np.zeros((length, len(sequences)), np.uint8)
         for k, (a, b) in enumerate(sequences):
