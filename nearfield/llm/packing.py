@@ -19,17 +19,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, mix64, texts_of, to_batch
+from .common import chunks, materialize, mix64, texts_of, to_batch, words_of
 
 TOKENIZER = "word_bpe_49k.json"
 LENGTH = 2048
 END = 1
 BUCKETS, DIMS, BITS, SEED = 256, 4, 8, 29
 #: Words remembered by a worker; beyond it the memory starts anew.
-REMEMBER = 200_000
+REMEMBER = 400_000
 #: Tokens of a range: what a task packs.
 RANGE_TOKENS = 4 << 20
 
@@ -41,10 +42,12 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class Encoder:
-    """Ids of texts as little-endian bytes, 4 a token.
+    """Ids of texts.
 
-    The tokenizer drops white space and never joins across it, so that a text's ids are those of the parts between
-    spaces and line ends, and a part that was seen before is not encoded again.
+    The tokenizer drops white space and never joins across it, so that a text's ids are those of its words, and a word that
+    was seen before is not encoded again; it ignores case, so that texts are lowered first. It also parts letters from what is none: a
+    word of letters and the point or comma after it are encoded apart. New words of letters are encoded many at once;
+    each ends in the one token that has the word-end mark.
     """
 
     def __init__(self, path: str, end: int = END):
@@ -53,19 +56,56 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.end = Tokenizer.from_file(path), {}, np.array([end], "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        self.tokenizer, self.known, self.bases, self.end = Tokenizer.from_file(path), {}, {}, end
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.marks = {".": self._alone("."), ",": self._alone(",")}
+
+    def _alone(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(words):
+            return [self._alone(w) for w in words]
+        raw, cuts = ids.tobytes(), [0, *(4 * stops).tolist()]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words without white space."""
         if len(self.known) > REMEMBER:
-            self.known = {}
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        fresh = list({p for words in parts for p in words if p not in known})
+            self.known, self.bases = {}, {}
+        known, bases = self.known, self.bases
+        missing = [w for w in words if w not in known]
+        cut = [w[:-1] if w[-1] in ".," else w for w in missing]
+        fresh = list({b for b in cut if b not in bases and b.isalpha()})
         for at in range(0, len(fresh), 20_000):
             some = fresh[at : at + 20_000]
-            for word, got in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                known[word] = np.array(got.ids, "<u4").tobytes()
-        return [b"".join([known[p] for p in words]) + self.end for words in parts]
+            bases.update(zip(some, self._words(some)))
+        marks, get = self.marks, bases.get
+        for word, base in zip(missing, cut):
+            ids = get(base)
+            known[word] = self._alone(word) if ids is None else ids if len(word) == len(base) else ids + marks[word[-1]]
+        return [known[w] for w in words]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each followed by the end mark, end to end; and where each text's begin."""
+        flat, offsets = words_of(pc.ascii_lower(texts))
+        coded = flat.dictionary_encode()
+        found = self.words(coded.dictionary.to_pylist())
+        sizes = np.array([len(x) // 4 for x in found], dtype=np.int64)
+        table, begins, words = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes, np.asarray(coded.indices)
+        n = sizes[words] if len(words) else np.zeros(0, dtype=np.int64)
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = table[np.repeat(begins[words] - upto[:-1], n) + np.arange(upto[-1])] if len(words) else table
+        per_text = np.diff(upto[offsets])
+        starts = np.concatenate([[0], np.cumsum(per_text + 1)])
+        out = np.full(starts[-1], self.end, dtype="<u4")
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(per_text)), per_text)] = ids
+        return out, starts
 
 
 @lru_cache(maxsize=2)
@@ -125,14 +165,12 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def work(batches):
         encode = encoder(path, end).encode
-        for part in chunks(batches, max_bytes=1 << 20):
-            rows = encode(texts_of(part.column(1)).to_pylist())
-            sizes = np.array([len(r) // 4 for r in rows], dtype=np.int64)
-            ids = np.frombuffer(b"".join(rows), "<u4")
-            keys = hilbert_key(curve_points(ids, np.concatenate([[0], np.cumsum(sizes)])))
-            if not len(ids) or ids.max() < 1 << 16:
-                rows = [np.frombuffer(r, "<u4").astype("<u2").tobytes() for r in rows]
-            yield to_batch(TOKENS, part.column(0), keys, sizes, rows)
+        for part in chunks(batches):
+            ids, starts = encode(texts_of(part.column(1)))
+            keys = hilbert_key(curve_points(ids, starts))
+            raw, size = (ids.astype("<u2").tobytes(), 2) if not len(ids) or ids.max() < 1 << 16 else (ids.tobytes(), 4)
+            rows = [raw[a:b] for a, b in zip((size * starts[:-1]).tolist(), (size * starts[1:]).tolist())]
+            yield to_batch(TOKENS, part.column(0), keys, np.diff(starts), rows)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, "doc_id long, key long, doc_tokens long, ids binary")
 
@@ -143,7 +181,6 @@ PIECES_DDL = "doc_id long, start long, length long, ids binary, ids_crc32 long,
 
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, with_ids: bool = True, **columns) -> DataFrame:
     """The pieces of all sequences. ``with_ids=False`` leaves the ids out of the result (null)."""
-    spark = docs.sparkSession
     tokens = materialize(tokenize(docs, path or tokenizer_path(), **columns), "pack-tokens")
     total = tokens.agg(F.sum("doc_tokens")).first()[0] or 0
     ranges = max(1, -(-total // RANGE_TOKENS))
@@ -194,7 +231,6 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, with_id
         if out:
             yield batch(out)
 
-    del spark
     return spread.select("doc_id", "doc_tokens", "ids").mapInArrow(work, PIECES_DDL)
 
 
