@@ -7,8 +7,8 @@ band are candidates. A candidate pair's similarity is estimated jointly with the
 the numbers of greater, lesser and equal registers; what may reach the threshold is verified on full sets.
 
 Documents of equal sets are one class; only classes are compared. Within a band's bucket first each class is compared with
-the least one. Classes which are connected by then need no comparison; the pairs of a bucket that lie in different
-components are compared in a second round. So a group of copies costs in proportion to its size and no link between
+one star, the first in a random order; of its stars in all buckets the likeliest is verified. Classes which are connected by
+then need no comparison; the pairs of a bucket that lie in different components are compared in a second round. So a group of copies costs in proportion to its size and no link between
 components is left out. A pair at similarity 0.8 shares no band with probability below 1e-7.
 
 Defined results: documents without words, null texts among them, have an empty set and are linked with nothing; fewer words
@@ -35,6 +35,8 @@ REGISTERS, ROWS, BASE, SEED = 128, 4, 1.001, 7
 TOP = int(64 * math.log(2) / math.log(BASE)) + 1
 #: Pairs are verified if their estimate is within this many standard errors below the threshold.
 ERRORS = 5.5
+#: A bucket's star is the first of its classes in one of this many random orders, the band's number deciding which.
+ORDERS = 4
 
 
 def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -109,10 +111,10 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def bands(classes: DataFrame) -> DataFrame:
-    """band, rep: a row for each band of each class."""
+    """nth, band, rep: a row for each band of each class."""
     width = 2 * ROWS
     keys = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sketch"), i * width + 1, F.lit(width))))
-    return classes.select(F.explode(keys).alias("band"), "rep")
+    return classes.select(F.posexplode(keys).alias("nth", "band"), "rep")
 
 
 def likelihood_estimates(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -130,22 +132,22 @@ def likelihood_estimates(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.nd
 
 
 def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sizes and sketches allow the threshold."""
+    """The pairs (a, b) of classes whose sizes and sketches allow the threshold, and their estimates."""
     left = classes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
     right = classes.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
     threshold = PERCENT / 100
     line = threshold - ERRORS * math.sqrt(threshold * (1 - threshold) / REGISTERS)
     rows = pairs.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
 
-    @F.pandas_udf("boolean")
-    def near(sa: pd.Series, sb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
-        out = [np.zeros(0, dtype=bool)]
+    @F.pandas_udf("double")
+    def estimate(sa: pd.Series, sb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
+        out = [np.zeros(0)]
         for at in range(0, len(sa), 2000):
             x, y = (np.frombuffer(b"".join(bytes(r) for r in s.iloc[at : at + 2000]), "<u2").reshape(-1, REGISTERS) for s in (sa, sb))
-            out.append(likelihood_estimates(x, y, na.to_numpy(float)[at : at + 2000], nb.to_numpy(float)[at : at + 2000]) >= line)
+            out.append(likelihood_estimates(x, y, na.to_numpy(float)[at : at + 2000], nb.to_numpy(float)[at : at + 2000]))
         return pd.Series(np.concatenate(out))
 
-    return rows.where(near("sa", "sb", "na", "nb")).select("a", "b")
+    return rows.select("a", "b", estimate("sa", "sb", "na", "nb").alias("estimate")).where(F.col("estimate") >= line)
 
 
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -176,11 +178,13 @@ def find_components(docs: DataFrame) -> DataFrame:
     full = sketched.where("n_shingles > 0")
     classes = materialize(full.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
     placed = materialize(bands(classes), "bands")
-    ends = placed.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most")
-    shared = materialize(placed.join(materialize(ends.select("band", "least"), "buckets"), "band"), "shared")
-    # first round: each class against the least of its buckets
-    first = materialize(shared.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct(), "pairs-1")
-    links = materialize(verify(likely(first, classes), docs), "links-1")
+    chance = F.xxhash64("rep", F.col("nth") % ORDERS)
+    ends = placed.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.min_by("rep", chance).alias("star")).where("low < high")
+    shared = materialize(placed.join(materialize(ends.select("band", "star"), "buckets"), "band").select("band", "rep", "star"), "shared")
+    # first round: each class against the stars of its buckets, of which the likeliest is verified
+    first = likely(shared.where("rep <> star").select(F.col("star").alias("a"), F.col("rep").alias("b")).distinct(), classes)
+    first = first.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")).select("a", "b")
+    links = materialize(verify(materialize(first, "pairs-1"), docs), "links-1")
     groups = materialize(connected_components(links), "groups-1")
     # second round: pairs of a bucket that are not connected yet
     known = shared.join(groups, shared["rep"] == groups["id"], "left").select("band", "rep", F.coalesce("component", "rep").alias("group"))
@@ -189,8 +193,8 @@ def find_components(docs: DataFrame) -> DataFrame:
     sized = materialize(known.join(mixed, "band").join(classes.select("rep", "n_shingles"), "rep"), "sized")
     x, y = (sized.select("band", F.col("rep").alias(r), F.col("group").alias(f"g{r}"), F.col("n_shingles").alias(f"n{r}")) for r in ("a", "b"))
     alike = (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
-    second = x.join(y, "band").where(alike).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    more = verify(likely(materialize(second, "pairs-2"), classes), docs)
+    second = x.join(y, "band").where(alike).select("a", "b").distinct()
+    more = verify(materialize(likely(second, classes).select("a", "b"), "pairs-2"), docs)
     groups = materialize(connected_components(links.unionByName(more)), "groups-2")
     reps = classes.join(groups, classes["rep"] == groups["id"], "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     reps = materialize(reps, "reps")
