@@ -7,9 +7,12 @@ band are candidates. A candidate pair's similarity is estimated jointly with the
 the numbers of greater, lesser and equal registers; what may reach the threshold is verified on full sets.
 
 Documents of equal sets are one class; only classes are compared. Within a band's bucket first each class is compared with
-one star, the first in a random order; of its stars in all buckets the likeliest is verified. Classes which are connected by
-then need no comparison; the pairs of a bucket that lie in different components are compared in a second round. So a group of copies costs in proportion to its size and no link between
-components is left out. A pair at similarity 0.8 shares no band with probability below 1e-7.
+one star, the class that shares most buckets with others: where many documents were made from one, that one is the likeliest to
+be near all of them, though they need not be near each other. Of a class's stars in all buckets the likeliest is verified.
+Classes which are connected by then need no comparison; the pairs of a bucket that lie in different components are compared in
+a second round. No link between components is left out. A group of copies costs in proportion to its size, but variants of one document
+that lie between half alike and the threshold share buckets without being linked: their pairs are all rated. A pair at
+similarity 0.8 shares no band with probability below 1e-7.
 
 Defined results: documents without words, null texts among them, have an empty set and are linked with nothing; fewer words
 than a shingle are one shingle; ties of equal sets go to the least doc_id; rows that repeat belong to one class; an empty table gives
@@ -35,8 +38,6 @@ REGISTERS, ROWS, BASE, SEED = 128, 4, 1.001, 7
 TOP = int(64 * math.log(2) / math.log(BASE)) + 1
 #: Pairs are verified if their estimate is within this many standard errors below the threshold.
 ERRORS = 5.5
-#: A bucket's star is the first of its classes in one of this many random orders, the band's number deciding which.
-ORDERS = 4
 
 
 def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -111,10 +112,10 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def bands(classes: DataFrame) -> DataFrame:
-    """nth, band, rep: a row for each band of each class."""
+    """band, rep: a row for each band of each class."""
     width = 2 * ROWS
     keys = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sketch"), i * width + 1, F.lit(width))))
-    return classes.select(F.posexplode(keys).alias("nth", "band"), "rep")
+    return classes.select(F.explode(keys).alias("band"), "rep")
 
 
 def likelihood_estimates(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -172,29 +173,37 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long")
 
 
+def mixed_buckets(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``shared`` in buckets of more than one component, with their ``group``."""
+    known = shared.join(groups, shared["rep"] == groups["id"], "left").select("band", "rep", F.coalesce("component", "rep").alias("group"))
+    known = materialize(known, "known")
+    mixed = known.groupBy("band").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g < h").select("band")
+    return materialize(known.join(mixed, "band"), "open")
+
+
 def find_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each document."""
     sketched = materialize(sketches(docs), "sketches")
     full = sketched.where("n_shingles > 0")
     classes = materialize(full.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
     placed = materialize(bands(classes), "bands")
-    chance = F.xxhash64("rep", F.col("nth") % ORDERS)
-    ends = placed.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.min_by("rep", chance).alias("star")).where("low < high")
-    shared = materialize(placed.join(materialize(ends.select("band", "star"), "buckets"), "band").select("band", "rep", "star"), "shared")
+    sizes = placed.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    crowded = materialize(placed.join(sizes, "band").select("band", "rep", "size"), "crowded")
+    central = crowded.groupBy("rep").agg(F.sum("size").alias("company"))
+    shared = materialize(crowded.join(central, "rep").select("band", "rep", "company"), "shared")
+    stars = shared.groupBy("band").agg(F.max_by("rep", F.struct("company", F.xxhash64("rep"))).alias("star"))
+    shared = materialize(shared.join(stars, "band").select("band", "rep", "star"), "starred")
     # first round: each class against the stars of its buckets, of which the likeliest is verified
     first = likely(shared.where("rep <> star").select(F.col("star").alias("a"), F.col("rep").alias("b")).distinct(), classes)
     first = first.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")).select("a", "b")
     links = materialize(verify(materialize(first, "pairs-1"), docs), "links-1")
     groups = materialize(connected_components(links), "groups-1")
     # second round: pairs of a bucket that are not connected yet
-    known = shared.join(groups, shared["rep"] == groups["id"], "left").select("band", "rep", F.coalesce("component", "rep").alias("group"))
-    known = materialize(known, "known")
-    mixed = materialize(known.groupBy("band").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g < h").select("band"), "mixed")
-    sized = materialize(known.join(mixed, "band").join(classes.select("rep", "n_shingles"), "rep"), "sized")
+    sized = materialize(mixed_buckets(shared, groups).join(classes.select("rep", "n_shingles"), "rep"), "sized")
     x, y = (sized.select("band", F.col("rep").alias(r), F.col("group").alias(f"g{r}"), F.col("n_shingles").alias(f"n{r}")) for r in ("a", "b"))
     alike = (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
-    second = x.join(y, "band").where(alike).select("a", "b").distinct()
-    more = verify(materialize(likely(second, classes).select("a", "b"), "pairs-2"), docs)
+    rest = x.join(y, "band").where(alike).select("a", "b").distinct()
+    more = verify(materialize(likely(rest, classes).select("a", "b"), "pairs-2"), docs)
     groups = materialize(connected_components(links.unionByName(more)), "groups-2")
     reps = classes.join(groups, classes["rep"] == groups["id"], "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     reps = materialize(reps, "reps")
