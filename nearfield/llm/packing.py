@@ -30,7 +30,7 @@ LENGTH = 2048
 END = 1
 BUCKETS, DIMS, BITS, SEED = 256, 4, 8, 29
 #: Words remembered by a worker; beyond it the memory starts anew.
-REMEMBER = 400_000
+REMEMBER = 200_000
 #: Tokens of a range: what a task packs.
 RANGE_TOKENS = 4 << 20
 

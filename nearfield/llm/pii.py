@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, texts_of, to_batch
+from .common import chunks, give_back, materialize, texts_of, to_batch
 from .tagger import LABELS, Tagger, symbols, tag
 
 KINDS = ("email", "ip", "card", "phone")
@@ -222,17 +223,20 @@ def mask_pii(docs: DataFrame, **options) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(train(docs, **options))
 
     @F.pandas_udf("string")
-    def mask(column: pd.Series) -> pd.Series:
-        model, out, texts, at = held.value, [], column.tolist(), 0
-        while at < len(texts):
-            size, end = 0, at
-            while end < len(texts) and (end == at or size + len(texts[end] or "") <= 2 << 20):
-                size, end = size + len(texts[end] or ""), end + 1
-            some = texts[at:end]
-            for text, (base, added) in zip(some, find_spans(model, [t or "" for t in some])):
-                out.append(None if text is None else masked(text, [sorted(a + b) for a, b in zip(base, added)]))
-            at = end
-        return pd.Series(out, dtype=object)
+    def mask(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = held.value
+        for column in columns:
+            out, texts, at = [], column.tolist(), 0
+            while at < len(texts):
+                size, end = 0, at
+                while end < len(texts) and (end == at or size + len(texts[end] or "") <= 2 << 20):
+                    size, end = size + len(texts[end] or ""), end + 1
+                some = texts[at:end]
+                for text, (base, added) in zip(some, find_spans(model, [t or "" for t in some])):
+                    out.append(None if text is None else masked(text, [sorted(a + b) for a, b in zip(base, added)]))
+                at = end
+            yield pd.Series(out, dtype=object)
+        give_back()
 
     out = docs.withColumn("text", mask("text"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
