@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from nearfield.operators import edges, evaluate, probes
+from nearfield.operators import edges, evaluate, layered, levels, probes, refine, search
 from nearfield.operators.knn import knn
+from nearfield.plans.config import NetConfig
 from nearfield.sources.vectors import read_embeddings
 
 K = 10
@@ -181,3 +182,70 @@ def prune_pivots(spark, sf_dir):
     base, asked = _sides(spark, sf_dir)
     near = knn(base, asked, 50, exclude_self=True).select(F.col("qid").alias("src"), F.col("vid").alias("dst"), "dist")
     return edges.prune(near, base)
+
+
+P = 0.25
+_WEIGHTS = """h1 AS (SELECT vec_id AS vid, (vec_id::UHUGEINT + 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT AS x FROM embeddings),
+h2 AS (SELECT vid, (xor(x, x >> 30::UHUGEINT) * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT AS x FROM h1),
+h3 AS (SELECT vid, (xor(x, x >> 27::UHUGEINT) * 10723151780598845931::UHUGEINT) % 18446744073709551616::UHUGEINT AS x FROM h2),
+draws AS (SELECT vid, (xor(x, x >> 31::UHUGEINT) >> 11::UHUGEINT)::DOUBLE * pow(2.0, -53) AS draw FROM h3),
+most AS (SELECT count(*) AS n, ceil(ln(count(*)) / ln(4.0) - 1e-9)::INT AS most FROM embeddings),
+w AS (SELECT vid, least(most, floor(-log2(draw) / 2 - 1e-15))::INT AS weight FROM draws, most)"""
+
+
+def _weighed(spark, sf_dir):
+    base = read_embeddings(spark, sf_dir)
+    most = levels.max_weight(base.count(), P)
+    return base, levels.weights(base, P, most), most
+
+
+@query(f"WITH {_WEIGHTS} SELECT vid, weight FROM w")
+def weights(spark, sf_dir):
+    return _weighed(spark, sf_dir)[1]
+
+
+@query(f"WITH {_WEIGHTS}, t AS (SELECT coalesce(max(weight), 0) AS top FROM (SELECT weight FROM w GROUP BY weight HAVING count(*) >= 32)) SELECT vid, least(weight, top)::INT AS highest_level FROM w, t")
+def compact_levels(spark, sf_dir):
+    return levels.compacted(_weighed(spark, sf_dir)[1].withColumnRenamed("weight", "highest_level"))
+
+
+@query(f"WITH {_WEIGHTS} SELECT weight AS highest_level, count(*)::BIGINT AS vertices FROM w GROUP BY weight")
+def level_histogram(spark, sf_dir):
+    return levels.histogram(_weighed(spark, sf_dir)[1].withColumnRenamed("weight", "highest_level"))
+
+
+@query(f"""WITH {_SIDES}, {_WEIGHTS}, p AS (SELECT qid, b.vid, round(list_distance(qv, v), 6) + 0.0 AS dist, weight FROM q, b JOIN w ON b.vid = w.vid WHERE b.vid <> qid),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, vid) AS r, row_number() OVER (PARTITION BY qid, weight ORDER BY dist, vid) AS rw FROM p)
+SELECT qid AS src, vid AS dst, dist FROM r WHERE r <= 5 OR rw <= 5""")
+def weighted_graph(spark, sf_dir):
+    base, weighed, most = _weighed(spark, sf_dir)
+    return levels.weighted_graph(base, _sides(spark, sf_dir)[1], weighed, most, 5)
+
+
+@query()
+def net_levels(spark, sf_dir):
+    """Highest level of each vector in nets of growing radius."""
+    return levels.net_levels(read_embeddings(spark, sf_dir), NetConfig(1.2, 1.0, 0.5), 6)
+
+
+@query()
+def knn_graph(spark, sf_dir):
+    """Approximate 16-nearest-neighbour graph of all vectors."""
+    return refine.knn_graph(read_embeddings(spark, sf_dir), 16)
+
+
+@query()
+def search_convergent_graph(spark, sf_dir):
+    """Ten nearest found by a beam on the pruned graph, from the medoid."""
+    base, asked = _sides(spark, sf_dir)
+    graph = refine.convergent_graph(base, 32)
+    entries = asked.select("qid").join(F.broadcast(probes.medoid(base).select("vid")))  # one row
+    return search.search_flat(asked, graph, base, entries, K, 40)
+
+
+@query()
+def search_layered_graph(spark, sf_dir):
+    """Ten nearest found on a graph of random layers."""
+    base, asked = _sides(spark, sf_dir)
+    layers, entry, top = layered.build(base, levels.random_levels(base, 0.25, 3), 16)
+    return search.search_layered(asked, layers, base, entry, top, K, 40)
