@@ -86,12 +86,12 @@ def refine(edges: DataFrame, vectors: DataFrame, degree: int, alpha: float, shif
 def knn_graph(vectors: DataFrame, degree: int, loops: int = 3, triangles: int = 2, routing: int = 2, seed: int = 0, width: int | None = None) -> DataFrame:
     """Approximate nearest neighbours of each vertex: half the degree while looping, then searches from each row.
 
-    The searches are wider than the rows (``width``, else the larger of 40 and twice the degree): the looped graph is sparse.
+    The searches are wider than the rows (``width``, else the larger of 64 and four times the degree): the looped graph is sparse.
     """
     half = max(1, degree // 2)
     edges = refine(cut(random_graph(vectors, half, seed)), vectors, half, 1.0, 0.0, loops, triangles)
     for _ in range(routing):
-        edges = cut(truncate(routed(edges, vectors, width or max(40, 2 * degree)), degree))
+        edges = cut(truncate(routed(edges, vectors, width or max(64, 4 * degree)), degree))
     return edges
 
 
