@@ -1,14 +1,16 @@
 """Scoring documents by cross-entropy difference between two matched word bigram models.
 
-The background model counts all documents, the target model the trusted labelled ones. Both share one vocabulary,
-the ``VOCABULARY`` most frequent words of the corpus (all other words are one unknown word), one set of bigrams, the most frequent ones of
-the corpus up to ``BIGRAMS``, and one smoothing: absolute discounting, whose left-over mass, that of pruned bigrams included, goes to
-the unigram. Which words and bigrams these are is decided by count cuts found from histograms of counts, so that all words
-and all bigrams of all documents are counted and nothing is sorted as a whole.
+The background model counts all documents, the target model all trusted labelled ones. Both have every word and every bigram of
+the corpus and one smoothing: absolute discounting, whose left-over mass goes to the unigram. Words are 64-bit hashes.
 
-A document's score is the mean over its tokens of target loss less background loss; lower is nearer to the target.
+A token's two losses follow from its bigram alone. Counts of bigrams, of contexts and of words are tables in Spark; joins of them
+give a table of each bigram's losses, in fixed point, so that sums do not depend on their order. A document's distinct bigrams
+are joined with that table and summed. Heads of these tables, at most ``WORDS`` words and ``BIGRAMS`` bigrams by count cuts at any
+corpus size, are broadcast as a shortcut, which also keeps frequent keys out of the joins; what is not in a head goes the way of
+the join and gets the same losses. Bigrams are counted and joined in ``ROUNDS`` shards of their keys, one after the other, so that
+a shard's shuffle files go before the next one's come; the texts are read once for each.
 
-Broadcast are the vocabulary and the two models, of at most VOCABULARY words and BIGRAMS bigrams at any corpus size.
+A document's score is the mean over its tokens of target loss less background loss; lower is nearer to the target.
 
 Defined results: null and empty texts have 0 tokens and null scores; without trusted documents the target is uniform over
 the vocabulary; rows that repeat count as often in the background and score alike; an empty table gives an empty result.
@@ -18,50 +20,38 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, texts_of, to_batch, words_of
+from .common import chunks, discard, hashed_words, materialize, mix64, owners, release, texts_of, to_batch
 
-VOCABULARY, BIGRAMS = 1 << 15, 1 << 20
-#: Trusted labelled documents that the target model is fitted on, at most.
-TRUSTED = 20_000
+#: Sizes of the broadcast heads; results do not depend on them.
+WORDS, BIGRAMS = 1 << 15, 1 << 20
 DISCOUNT, ADD = 0.75, 0.5
-UNKNOWN, START = 0, 1
+#: Context of a document's first word.
+START = 0
+#: Losses are whole multiples of 1 / UNIT nats; the greatest one, of probability LEAST, fits 31 bits.
+UNIT, LEAST = 1 << 26, 1e-12
+#: Shards of bigrams. All of them are worked on; more of them take less disk at once.
+ROUNDS = 6
 #: Bigrams that a task holds before it counts them.
 HELD = 2 << 20
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
+def trusted_ids(labels: DataFrame) -> DataFrame:
     good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).select("doc_id").distinct()
-    return materialize(good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "lm-trusted")
+    return materialize(good, "lm-trusted")
 
 
 def marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """text, and 1 for documents of the target, else 0."""
-    hit = F.broadcast(ids.select(F.col("doc_id").alias("_hit")))  # TRUSTED ids at most
+    """text, and 1 for documents of the target, else 0. The ids grow with the labels: Spark chooses the join by their size."""
+    hit = ids.select(F.col("doc_id").alias("_hit"))
     return docs.select("doc_id", "text").join(hit, F.col("doc_id") == F.col("_hit"), "left").select("text", F.when(F.col("_hit").isNull(), 0).otherwise(1).cast("int").alias("is_target"))
 
 
-WORDS = pa.schema([("word", pa.string()), ("n", pa.int64()), ("n_target", pa.int64())])
-
-
-def word_counts(texts: DataFrame) -> DataFrame:
-    def work(batches):
-        for part in chunks(batches, column=0, max_bytes=8 << 20):
-            flat, offsets = words_of(texts_of(part.column(0)))
-            coded = flat.dictionary_encode()
-            codes, weights = np.asarray(coded.indices), np.repeat(np.asarray(part.column(1)), np.diff(offsets))
-            n = len(coded.dictionary)
-            yield to_batch(WORDS, coded.dictionary.cast(pa.string()), np.bincount(codes, minlength=n), np.bincount(codes, weights=weights, minlength=n).astype(np.int64))
-
-    return texts.mapInArrow(work, "word string, n long, n_target long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-
-
 def cut_for(counts: DataFrame, most: int) -> int:
     """The smallest count such that at most ``most`` rows reach it; from a histogram, whose rows are few (counts of counts)."""
-    bins = counts.groupBy(F.when(F.col("n") < 1000, F.col("n")).otherwise(F.floor(F.pow(F.lit(2.0), F.floor(F.log2("n") * 16) / 16))).alias("at")).agg(F.count("*").alias("rows"))
+    bins = counts.groupBy(F.when(F.col("n") < 1000, F.col("n")).otherwise(F.ceil(F.pow(F.lit(2.0), F.floor(F.log2("n") * 16) / 16))).alias("at")).agg(F.count("*").alias("rows"))
     total, cut = 0, None
     for row in sorted(bins.collect(), key=lambda r: -r["at"]):
         total += row["rows"]
@@ -71,70 +61,135 @@ def cut_for(counts: DataFrame, most: int) -> int:
     return int(cut) if cut is not None else 1 << 62
 
 
-def encode_words(flat: pa.Array, vocabulary: pa.Array) -> np.ndarray:
-    got = pc.index_in(flat, value_set=vocabulary)
-    return np.asarray(pc.add(pc.fill_null(got, -2), 2), dtype=np.int64).clip(min=0)
-
-
-def bigrams_of(part, vocabulary: pa.Array, size: int):
-    """Codes previous * size + word of a slice's tokens, and where each document's begin."""
-    flat, offsets = words_of(texts_of(part.column(0)))
-    ids = encode_words(flat, vocabulary)
+def bigrams_of(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of each token's previous word and of its own, and where each document's begin."""
+    ids, offsets = hashed_words(texts_of(column))
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
-    starts = offsets[:-1][np.diff(offsets) > 0]
-    before[starts] = START
+    before[offsets[:-1][np.diff(offsets) > 0]] = START
     return before, ids, offsets
 
 
-PAIRS = pa.schema([("pair", pa.int64()), ("n", pa.int64()), ("n_target", pa.int64())])
+def pair_keys(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """One 64-bit key of each bigram; :func:`pair_key` is the same for columns."""
+    return (before << np.uint64(1) | before >> np.uint64(63)) ^ ids
+
+
+def shards_of(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(40)) % np.uint64(ROUNDS)
 
 
-def bigram_counts(texts: DataFrame, held_words, size: int) -> DataFrame:
-    def count(codes, weights):
-        codes, weights = np.concatenate(codes), np.concatenate(weights)
-        order = np.argsort(codes, kind="stable")
-        codes, weights = codes[order], weights[order]
-        first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-        n = np.diff(np.concatenate([first, [len(codes)]]))
-        target = np.add.reduceat(weights, first)
-        for at in range(0, len(first), 100_000):
-            to = at + 100_000
-            yield to_batch(PAIRS, codes[first[at:to]], n[at:to], target[at:to])
+def pair_key(before, word):
+    return F.shiftleft(before, 1).bitwiseOR(F.shiftrightunsigned(before, 63)).bitwiseXOR(word)
+
+
+PAIRS = pa.schema([("before", pa.int64()), ("word", pa.int64()), ("n", pa.int64()), ("n_target", pa.int64())])
+
+
+def bigram_counts(texts: DataFrame, shard: int) -> DataFrame:
+    """before, word, n, n_target: counts of a shard's bigrams in all documents, and in those of the target."""
+
+    def count(before, ids, weights):
+        before, ids, weights = np.concatenate(before), np.concatenate(ids), np.concatenate(weights)
+        keys = pair_keys(before, ids)
+        order = np.argsort(keys)
+        keys, weights = keys[order], weights[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        n = np.diff(np.concatenate([first, [len(keys)]]))
+        target, at = np.add.reduceat(weights, first), order[first]
+        before, ids = before[at].view(np.int64), ids[at].view(np.int64)
+        for a in range(0, len(first), 100_000):
+            b = a + 100_000
+            yield to_batch(PAIRS, before[a:b], ids[a:b], n[a:b], target[a:b])
 
     def work(batches):
-        vocabulary = pa.array(held_words.value, type=pa.string())
-        codes, weights, n = [], [], 0
+        held, n = [[], [], []], 0
         for part in chunks(batches, column=0):
-            before, ids, offsets = bigrams_of(part, vocabulary, size)
-            if not len(ids):
+            before, ids, offsets = bigrams_of(part.column(0))
+            mine = shards_of(pair_keys(before, ids)) == shard
+            if not mine.any():
                 continue
-            codes.append(before * size + ids)
-            weights.append(np.repeat(np.asarray(part.column(1), dtype=np.int64), np.diff(offsets)))
-            n += len(ids)
+            for into, some in zip(held, (before, ids, np.repeat(np.asarray(part.column(1), dtype=np.int64), np.diff(offsets)))):
+                into.append(some[mine])
+            n += int(mine.sum())
             if n >= HELD:
-                yield from count(codes, weights)
-                codes, weights, n = [], [], 0
+                yield from count(*held)
+                held, n = [[], [], []], 0
         if n:
-            yield from count(codes, weights)
-
-    return texts.mapInArrow(work, "pair long, n long, n_target long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+            yield from count(*held)
+
+    counted = texts.mapInArrow(work, "before long, word long, n long, n_target long")
+    return counted.groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+
+
+def union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for table in tables[1:]:
+        out = out.unionByName(table)
+    return out
+
+
+class Losses:
+    """Losses of bigrams, from tables of contexts and of words that occur more than once; of the others the bigram itself says all."""
+
+    def __init__(self, pairs: DataFrame, most: int):
+        some = F.sum((F.col("n_target") > 0).cast("long"))
+        self.contexts = pairs.groupBy("before").agg(F.sum("n").alias("c"), F.count("*").alias("d"), F.sum("n_target").alias("c_target"), some.alias("d_target"))
+        self.contexts = materialize(self.contexts.where("c > 1"), "lm-contexts")
+        release(pairs.sparkSession)
+        known = materialize(pairs.groupBy("word").agg(F.sum("n").alias("u"), F.sum("n_target").alias("u_target")), "lm-words")
+        self.total = known.agg(F.count("*").alias("size"), F.sum("u").alias("u"), F.sum("u_target").alias("u_target")).first()
+        self.words = materialize(known.where("u > 1"), "lm-known")
+        discard(known)
+        self.cuts = [cut_for(self.contexts.withColumnRenamed("c", "n"), most), cut_for(self.words.withColumnRenamed("u", "n"), most)]
+
+    @staticmethod
+    def _joined(rows: DataFrame, table: DataFrame, key: str, cut: int) -> DataFrame:
+        """By broadcast for the frequent keys, by join for the others."""
+        count, *more = [c for c in table.columns if c != key]
+        found = rows.join(F.broadcast(table.where(F.col(count) >= cut)), key, "left")  # ``most`` rows at most
+        rest = found.where(F.col(count).isNull()).drop(count, *more)
+        return found.where(F.col(count).isNotNull()).unionByName(rest.join(table.where(F.col(count) < cut), key, "left"))
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        """pair, background, target: in units of 1 / UNIT nats."""
+        size = self.total["size"] + 2  # a word never seen and the start, as in Model
+
+        def loss(kind: str):
+            n = F.col(f"n{kind}")
+            c, u = F.coalesce(f"c{kind}", n), F.coalesce(f"u{kind}", n)
+            d = F.coalesce(f"d{kind}", F.least(n, F.lit(1)))
+            back = F.when(c > 0, DISCOUNT * d / F.greatest(c, F.lit(1))).otherwise(1.0)
+            p = F.greatest(n - DISCOUNT, F.lit(0.0)) / F.greatest(c, F.lit(1)) + back * (u + ADD) / ((self.total[f"u{kind}"] or 0) + ADD * size)
+            return F.round(-F.log(F.greatest(p, F.lit(LEAST))) * UNIT).cast("int")
+
+        rows = self._joined(self._joined(pairs, self.contexts, "before", self.cuts[0]), self.words, "word", self.cuts[1])
+        return rows.select(pair_key(F.col("before"), F.col("word")).alias("pair"), loss("").alias("background"), loss("_target").alias("target"))
+
+
+def count(docs: DataFrame, labels: DataFrame) -> list[DataFrame]:
+    """Counts of all bigrams, a table for each shard."""
+    texts, out = marked(docs, trusted_ids(labels)), []
+    for shard in range(ROUNDS):
+        out.append(materialize(bigram_counts(texts, shard), f"lm-bigrams-{shard}"))
+        release(docs.sparkSession)
+    return out
 
 
 class Model:
-    """Two models over one vocabulary and one set of bigrams, as sorted arrays."""
+    """Both models as arrays over words numbered from 2 (0 is a word never seen, 1 the start), for corpora that fit one process."""
 
-    def __init__(self, size: int, words, contexts, pairs):
-        self.size, self.pairs = size, pairs[0]
+    def __init__(self, size: int, before: np.ndarray, ids: np.ndarray, counts):
+        codes = before * size + ids
+        order = np.argsort(codes)
+        self.size, self.pairs = size, codes[order]
         self.unigrams, self.back, self.direct = [], [], []
-        for kind in (1, 2):
-            n = words[kind].astype(np.float64)
-            self.unigrams.append((n + ADD) / (n.sum() + ADD * size))
-            total = contexts[kind].astype(np.float64)
-            before = pairs[0] // size
-            share = np.maximum(pairs[kind] - DISCOUNT, 0) / np.maximum(total[before], 1)
-            self.direct.append(share.astype(np.float32))
-            self.back.append(1 - np.bincount(before, weights=share.astype(np.float32), minlength=size))
+        for n in counts:
+            words = np.bincount(ids, weights=n, minlength=size)
+            self.unigrams.append((words + ADD) / (words.sum() + ADD * size))
+            share = np.maximum(n - DISCOUNT, 0) / np.maximum(np.bincount(before, weights=n, minlength=size), 1)[before]
+            self.direct.append(share[order])
+            self.back.append(1 - np.bincount(before, weights=share, minlength=size))
 
     def losses(self, before: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Background and target loss of each token."""
@@ -146,52 +201,99 @@ class Model:
             p = self.back[k][before] * self.unigrams[k][ids]
             if len(self.pairs):
                 p = p + np.where(hit, self.direct[k][at], 0)
-            out.append(-np.log(np.maximum(p, 1e-12)))
+            out.append(-np.log(np.maximum(p, LEAST)))
         return out[0], out[1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, bigrams: int = BIGRAMS, trusted: int = TRUSTED):
-    """(words, model), both bounded by ``vocabulary`` and ``bigrams``."""
-    sc = docs.sparkSession.sparkContext
-    texts = marked(docs, trusted_ids(labels, trusted))
-    counted = materialize(word_counts(texts), "lm-words")
-    cut = cut_for(counted, vocabulary - 2)
-    chosen = counted.where(F.col("n") >= cut).toArrow().to_pandas().sort_values(["n", "word"], ascending=[False, True])
-    rest = counted.where(F.col("n") < cut).agg(F.sum("n"), F.sum("n_target")).first()
-    words, size = chosen["word"].tolist(), len(chosen) + 2
-    unigrams = [None, *[np.concatenate([[rest[k] or 0, 0], chosen[c].to_numpy(dtype=np.int64)]) for k, c in enumerate(("n", "n_target"))]]
-    held = sc.broadcast(words)
-    pairs = materialize(bigram_counts(texts, held, size), "lm-bigrams")
-    by_context = pairs.groupBy(F.floor(F.col("pair") / size).alias("context")).agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).toArrow().to_pandas()
-    contexts = [None]
-    for c in ("n", "n_target"):
-        total = np.zeros(size)
-        total[by_context["context"].to_numpy(dtype=np.int64)] = by_context[c].to_numpy()
-        contexts.append(total)
-    kept = pairs.where(F.col("n") >= cut_for(pairs, bigrams)).toArrow().to_pandas().sort_values("pair")
-    model = Model(size, unigrams, contexts, [kept[c].to_numpy(dtype=np.int64) for c in ("pair", "n", "n_target")])
-    return words, model
-
-
-SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("difference", pa.float64())])
-
-
-def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss (nats a token) and their difference."""
-    words, model = fit(docs, labels, **options)
-    sc = docs.sparkSession.sparkContext
-    held_words, held = sc.broadcast(words), sc.broadcast(model)
+def fit(docs: DataFrame, labels: DataFrame):
+    """(hashes of the words, model) on the driver: what tests hold :func:`score` against. Scoring does not use it."""
+    rows = union(count(docs, labels)).toArrow().to_pandas()
+    words, ids = np.unique(rows["word"].to_numpy(), return_inverse=True)
+    before = rows["before"].to_numpy()
+    before = np.where(before == START, 1, np.searchsorted(words, before) + 2)
+    return words, Model(len(words) + 2, before, ids + 2, [rows[c].to_numpy(dtype=np.float64) for c in ("n", "n_target")])
 
-    def work(batches):
-        vocabulary, model = pa.array(held_words.value, type=pa.string()), held.value
+
+LOCAL = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("n_rest", pa.int64()), ("background", pa.int64()), ("target", pa.int64())])
+REST = pa.schema([("row", pa.int64()), ("pair", pa.int64()), ("k", pa.int32())])
+
+
+def score(docs: DataFrame, labels: DataFrame, words: int = WORDS, bigrams: int = BIGRAMS) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss (nats a token) and their difference."""
+    shards = count(docs, labels)
+    pairs = union(shards)
+    losses = Losses(pairs, words)
+    cut = cut_for(pairs, bigrams)
+    head = losses.of(pairs.where(F.col("n") >= cut)).toArrow()  # ``bigrams`` rows at most
+    release(docs.sparkSession)
+    arrays = [np.asarray(head.column(c).combine_chunks()) for c in ("pair", "background", "target")]
+    order = np.argsort(arrays[0].view(np.uint64))
+    held = docs.sparkSession.sparkContext.broadcast([arrays[0].view(np.uint64)[order], arrays[1][order], arrays[2][order]])
+
+    def tokens(part):
+        """Of a slice: keys of rows and of tokens, and where each row's tokens begin."""
+        before, ids, offsets = bigrams_of(part.column(0))
+        keys = pair_keys(before, ids)
+        # a row's key is of its id and its text: ids may repeat with other texts
+        places = np.arange(len(keys)) - np.repeat(offsets[:-1], np.diff(offsets))
+        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(keys + places.astype(np.uint64)), dtype=np.uint64)])
+        row = mix64(mix64(np.asarray(part.column(1), dtype=np.int64).view(np.uint64)) + run[offsets[1:]] - run[offsets[:-1]])
+        return row.view(np.int64), keys, offsets
+
+    def in_head(keys):
+        """Where the head has a token, and its losses there."""
+        known, *values = held.value
+        if not len(known):
+            return np.zeros(len(keys), dtype=bool), [np.zeros(len(keys), np.int64) for _ in values]
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        hit = known[at] == keys
+        return hit, [np.where(hit, v[at], 0) for v in values]
+
+    def local(batches):
         for part in chunks(batches, column=0):
-            before, ids, offsets = bigrams_of(part, vocabulary, model.size)
-            n = np.diff(offsets)
-            means = []
-            for loss in model.losses(before, ids)[::-1]:
-                run = np.concatenate([[0.0], np.cumsum(loss)])
-                means.append(np.round(np.diff(run[offsets]) / np.maximum(n, 1), 6))
-            none = n == 0
-            yield to_batch(SCORES, part.column(1), n, pa.array(means[0], mask=none), pa.array(means[1], mask=none), pa.array(np.round(means[0] - means[1], 6), mask=none))
-
-    return docs.select("text", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(work, "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")
+            row, keys, offsets = tokens(part)
+            hit, values = in_head(keys)
+            sums = []
+            for some in (~hit, *values):
+                run = np.concatenate([[0], np.cumsum(some, dtype=np.int64)])
+                sums.append(run[offsets[1:]] - run[offsets[:-1]])
+            yield to_batch(LOCAL, part.column(1), row, np.diff(offsets), *sums)
+
+    def rest(shard):
+        def work(batches):
+            for part in chunks(batches, column=0):
+                row, keys, offsets = tokens(part)
+                mine = np.flatnonzero(shards_of(keys) == shard)
+                mine = mine[~in_head(keys[mine])[0]]
+                owner, keys = owners(offsets)[mine], keys[mine]
+                order = np.lexsort((keys, owner))
+                owner, keys = owner[order], keys[order]
+                first = np.ones(len(keys), dtype=bool)
+                first[1:] = (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1])
+                first = np.flatnonzero(first)
+                k = np.diff(np.concatenate([first, [len(keys)]])).astype(np.int32)
+                for a in range(0, len(first), 100_000):
+                    some = first[a : a + 100_000]
+                    yield to_batch(REST, row[owner[some]], keys[some].view(np.int64), k[a : a + 100_000])
+
+        return work
+
+    texts = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"))
+    sums = [F.sum(F.col(c).cast("long") * F.col("k")).alias(f"rest_{c}") for c in ("background", "target")]
+    found = []
+    for shard, some in enumerate(shards):
+        priced = materialize(losses.of(some.where(F.col("n") < cut)), f"lm-losses-{shard}")
+        discard(some)
+        sought = texts.mapInArrow(rest(shard), "row long, pair long, k int")
+        found.append(materialize(sought.join(priced, "pair").groupBy("row").agg(F.sum("k").alias("rest"), *sums), f"lm-rest-{shard}"))
+        discard(priced)
+    found = union(found).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("rest", "rest_background", "rest_target")])
+    rows = texts.mapInArrow(local, "doc_id long, row long, n_tokens long, n_rest long, background long, target long").join(found, "row", "left")
+
+    def mean(name: str):
+        # rows that repeat share a key: their sum is that of all, for ``rest`` / ``n_rest`` copies
+        far = F.when(F.col("n_rest") > 0, F.col(f"rest_{name}") / (F.col("rest") / F.col("n_rest"))).otherwise(0.0)
+        return F.when(F.col("n_tokens") > 0, F.round((F.col(name) + far) / UNIT / F.greatest("n_tokens", F.lit(1)), 6))
+
+    out = rows.select("doc_id", "n_tokens", mean("target").alias("target_loss"), mean("background").alias("background_loss"))
+    return out.withColumn("difference", F.round(F.col("target_loss") - F.col("background_loss"), 6))

@@ -283,6 +283,27 @@ def test_lm_scoring(docs, empty, labels, texts):
     assert lm_scoring.score(empty, labels).count() == 0
 
 
+def test_lm_scoring_has_no_cut(spark, docs, labels, texts):
+    words, model = lm_scoring.fit(docs, labels)
+    whole = lm_scoring.score(docs, labels).toPandas().set_index("doc_id")
+    small = lm_scoring.score(docs, labels, words=5, bigrams=7).toPandas().set_index("doc_id")  # nearly all by joins
+    assert whole.sort_index().equals(small.sort_index())
+    for i, text in texts.items():
+        before, ids, _ = lm_scoring.bigrams_of(pa.array([text]))
+        if len(ids):
+            ids = np.searchsorted(words, ids.view(np.int64)) + 2
+            loss = model.losses(np.concatenate([[1], ids[:-1]]), ids)
+            assert np.allclose(small.loc[i, ["background_loss", "target_loss"]].to_numpy(dtype=float), [x.mean() for x in loss], atol=2e-6)
+    # 68000 rare words beyond any fixed vocabulary, and more than 20000 trusted documents: all count
+    rows = [(i, f"w{2 * i} w{2 * i + 1}") for i in range(34_000)] + [(90_000, "new one"), (90_001, "new one two")]
+    many = spark.createDataFrame(rows, "doc_id long, text string")
+    trusted = spark.createDataFrame([(i, 1, 0) for i in range(21_000)], "doc_id long, quality int, toxic int")
+    got = lm_scoring.score(many, trusted).toPandas().set_index("doc_id")["difference"]
+    assert got.loc[range(21_000)].nunique() == 1 and got.loc[0] < got.loc[33_000] == got.loc[21_000]
+    again = lm_scoring.score(many.union(many.where("doc_id = 90001")), trusted, 1, 1).where("doc_id = 90001").toPandas()
+    assert len(again) == 2 and again["background_loss"].nunique() == 1
+
+
 def test_media(docs, empty, texts):
     for r in media.media_digests(docs).collect():
         raw = texts[r.doc_id].encode()
