@@ -85,6 +85,16 @@ def test_quality(docs, empty, labels, texts):
     assert quality.classify(docs, labels.limit(0)).where("kept").count() == len([t for t in texts.values() if t])
 
 
+def test_thresholds_cover_all_trusted_documents(spark):
+    rows = [(i, prose(40, i), "de" if i % 10 == 0 else "en") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    good = spark.createDataFrame([(i, 1, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    table, lines = quality.fit(docs, good, trusted=50)  # of which about 5 are "de", below FEW
+    assert {r.lang for r in lines.where("NOT is_all").collect()} == {"de", "en"}
+    scored = quality.perplexities(docs, table).where("lang = 'de'").toPandas()["log_perplexity"].sort_values()
+    assert lines.where("lang = 'de'").first().median == scored.iloc[19]
+
+
 def test_kneser_ney_against_brute_force(spark):
     """Probabilities of a size-2 model by the formula, and that each context's sum to one."""
     text, size = "abab abba cab. a bad cab", len(quality.CLASSES)
