@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from .common import chunks, hashed_words, materialize, mix64, texts_of, to_batch
 from .components import connected_components
 
-SHINGLE, PERCENT = 4, 80
+#: Words of a shingle: by op6's contract, and in near-duplicate stages.
+SHINGLE, STAGE_SHINGLE, PERCENT = 4, 5, 80
 REGISTERS, ROWS, BASE, SEED = 128, 4, 1.001, 7
 TOP = int(64 * math.log(2) / math.log(BASE)) + 1
 #: Pairs are verified if their estimate is within this many standard errors below the threshold.
@@ -93,10 +94,10 @@ def registers(values: np.ndarray, starts: np.ndarray, m: int = REGISTERS) -> np.
 SKETCHES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sketch", pa.binary())])
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     def work(batches):
         for part in chunks(batches):
-            values, starts = shingle_sets(texts_of(part.column(1)))
+            values, starts = shingle_sets(texts_of(part.column(1)), width)
             n = np.diff(starts)
             full = np.flatnonzero(n)
             k1, k2 = np.zeros((2, len(n)), dtype=np.uint64)
@@ -154,14 +155,14 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """The pairs whose full sets are as similar as asked."""
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def work(batches):
         for part in chunks(batches, column=2, max_bytes=2 << 20):
-            (va, sa), (vb, sb) = (shingle_sets(texts_of(part.column(k))) for k in (2, 3))
+            (va, sa), (vb, sb) = (shingle_sets(texts_of(part.column(k)), width) for k in (2, 3))
             hit = np.zeros(part.num_rows, dtype=bool)
             for r in range(part.num_rows):
                 x, y = va[sa[r] : sa[r + 1]], vb[sb[r] : sb[r + 1]]
@@ -181,9 +182,9 @@ def mixed_buckets(shared: DataFrame, groups: DataFrame) -> DataFrame:
     return materialize(known.join(mixed, "band"), "open")
 
 
-def find_components(docs: DataFrame) -> DataFrame:
+def find_components(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each document."""
-    sketched = materialize(sketches(docs), "sketches")
+    sketched = materialize(sketches(docs, width), "sketches")
     full = sketched.where("n_shingles > 0")
     classes = materialize(full.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
     placed = materialize(bands(classes), "bands")
@@ -196,14 +197,14 @@ def find_components(docs: DataFrame) -> DataFrame:
     # first round: each class against the stars of its buckets, of which the likeliest is verified
     first = likely(shared.where("rep <> star").select(F.col("star").alias("a"), F.col("rep").alias("b")).distinct(), classes)
     first = first.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")).select("a", "b")
-    links = materialize(verify(materialize(first, "pairs-1"), docs), "links-1")
+    links = materialize(verify(materialize(first, "pairs-1"), docs, width), "links-1")
     groups = materialize(connected_components(links), "groups-1")
     # second round: pairs of a bucket that are not connected yet
     sized = materialize(mixed_buckets(shared, groups).join(classes.select("rep", "n_shingles"), "rep"), "sized")
     x, y = (sized.select("band", F.col("rep").alias(r), F.col("group").alias(f"g{r}"), F.col("n_shingles").alias(f"n{r}")) for r in ("a", "b"))
     alike = (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
     rest = x.join(y, "band").where(alike).select("a", "b").distinct()
-    more = verify(materialize(likely(rest, classes).select("a", "b"), "pairs-2"), docs)
+    more = verify(materialize(likely(rest, classes).select("a", "b"), "pairs-2"), docs, width)
     groups = materialize(connected_components(links.unionByName(more)), "groups-2")
     reps = classes.join(groups, classes["rep"] == groups["id"], "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     reps = materialize(reps, "reps")
@@ -212,7 +213,7 @@ def find_components(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, width: int = STAGE_SHINGLE) -> DataFrame:
     """One document of each component, its first, with the columns it had."""
-    gone = materialize(find_components(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")), "gone")
+    gone = materialize(find_components(docs, width).where("NOT kept").select(F.col("doc_id").alias("_gone")), "gone")
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

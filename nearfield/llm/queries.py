@@ -27,7 +27,7 @@ def op5_fm_substring_dedup(spark, sf_dir):
 
 
 def op6_setsketch_near_dedup(spark, sf_dir):
-    return near_dups.find_components(read_table(spark, sf_dir, "documents"))
+    return near_dups.find_components(read_table(spark, sf_dir, "documents"), width=near_dups.SHINGLE)
 
 
 def op7_cross_entropy_difference(spark, sf_dir):

@@ -267,6 +267,14 @@ def test_near_dups(docs, empty, texts):
     assert near_dups.find_components(empty).count() == 0
 
 
+def test_near_duplicate_stage_takes_five_words(spark):
+    words = [f"w{i}" for i in range(84)]
+    changed = ["new" if i in (20, 60) else w for i, w in enumerate(words)]  # 73 of 89 shingles of four words are common, 70 of 90 of five
+    pair = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(changed))], "doc_id long, text string")
+    assert near_dups.find_components(pair, width=4).where("kept").count() == 1
+    assert near_dups.keep_first(pair).count() == 2
+
+
 def test_likelihood_estimates():
     draw = np.random.default_rng(6)
     for similarity in (0.5, 0.8, 0.95):
