@@ -267,6 +267,43 @@ def test_near_dups(docs, empty, texts):
     assert near_dups.find_components(empty).count() == 0
 
 
+def variants(base, n, most, seed, kinds=3):
+    """Texts with up to ``most`` words of the base replaced, some of them by the same words at the same places."""
+    draw, out = np.random.default_rng(seed), []
+    for _ in range(n):
+        words = base.split()
+        for at in draw.integers(0, len(words), draw.integers(1, most + 1)):
+            words[at] = f"{words[at]}{draw.integers(0, kinds)}"
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize(("with_base", "most"), [(True, 12), (False, 9)])
+def test_variants_of_one_text(spark, with_base, most):
+    near, far = prose(110, 70), prose(110, 71)
+    texts = variants(near, 70, most, 72) + variants(far, 40, 5, 73, 1) + [near] * with_base + variants(" ".join(near.split()[:60] + far.split()[:50]), 30, 6, 74)
+    texts = dict(enumerate(texts))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dups.find_components(docs).collect()}
+    assert got == brute_components(texts)
+
+
+def test_differences_leave_no_link_out(spark):
+    """All members against one star: what is linked for certain is, and every other link is among the pairs to verify or within a link's reach."""
+    texts = dict(enumerate(variants(prose(100, 80), 50, 10, 81, 2) + variants(prose(100, 82), 10, 4, 83, 1) + [prose(100, 80)[:300]]))
+    sets = {i: set(zip(*[t.split()[k:] for k in range(4)])) for i, t in texts.items()}
+    alike = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for star in (0, 7, 55):
+        members = spark.createDataFrame([(star, i, i, len(s)) for i, s in sets.items()], "star long, rep long, group long, n long")
+        certain, maybe = near_dups.by_difference(members, docs, 4)
+        sure, found = [{(min(r.a, r.b), max(r.a, r.b)) for r in rows.collect()} for rows in (certain, maybe)]
+        assert sure <= alike
+        reach = {v for pair in sure for v in pair}
+        assert all(pair in found or set(pair) <= reach for pair in alike)
+        assert len(found) < len(sets) ** 2 / 2
+
+
 def test_near_duplicate_stage_takes_five_words(spark):
     words = [f"w{i}" for i in range(84)]
     changed = ["new" if i in (20, 60) else w for i, w in enumerate(words)]  # 73 of 89 shingles of four words are common, 70 of 90 of five
