@@ -85,21 +85,47 @@ def test_quality(docs, empty, labels, texts):
     assert quality.classify(docs, labels.limit(0)).where("kept").count() == len([t for t in texts.values() if t])
 
 
-def test_thresholds_cover_all_trusted_documents(spark):
-    rows = [(i, prose(40, i), "de" if i % 10 == 0 else "en") for i in range(400)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    good = spark.createDataFrame([(i, 1, 0) for i in range(400)], "doc_id long, quality int, toxic int")
-    table, lines = quality.fit(docs, good, trusted=50)  # of which about 5 are "de", below FEW
-    assert {r.lang for r in lines.where("NOT is_all").collect()} == {"de", "en"}
-    scored = quality.perplexities(docs, table).where("lang = 'de'").toPandas()["log_perplexity"].sort_values()
-    assert lines.where("lang = 'de'").first().median == scored.iloc[19]
+def test_thresholds_and_decisions_against_brute_force(spark):
+    """Perplexities by walking each text, quantiles of all trusted documents in numpy, and the decisions that follow."""
+    rows = [(i, prose(10 + i % 60, i) if i % 9 else "zq#" * (5 + i), "de" if i % 10 == 0 else "en" if i % 3 else None) for i in range(400)]
+    docs = spark.createDataFrame([*rows, (900, "other words", "fr"), (901, None, "de")], "doc_id long, text string, lang string")
+    good = [i for i in range(400) if i % 9]
+    labels = spark.createDataFrame([(i, 1, 0) for i in good], "doc_id long, quality int, toxic int")
+    table, lines = quality.fit(docs, labels, trusted=50, order=2)
+    kinds = {c: quality.grams([c], 1)[0][0] for r in rows for c in r[1] + "other words"}
+    size = len(quality.CLASSES)
+
+    def loss(text):
+        walk = [0, *[kinds[c] for c in text]]
+        return round(-sum(float(table[v * size + w]) for v, w in zip(walk, walk[1:])) / len(text), 6)
+
+    losses = {i: loss(t) for i, t, _ in rows}
+    at = lambda values, q: sorted(values)[max(int(np.ceil(q * len(values))) - 1, 0)]
+    far = lambda i, median: (losses[i] - median) * len(rows[i][1]) / (len(rows[i][1]) + quality.SHRINK)
+    own = {lang: [i for i in good if rows[i][2] == lang] for lang in ("de", "en")}
+    middle = at([losses[i] for i in good], 0.5)
+    drawn = lambda ids, value, common: (len(ids) * value + quality.FEW * common) / (len(ids) + quality.FEW)
+    medians = {lang: drawn(ids, at([losses[i] for i in ids], 0.5), middle) for lang, ids in own.items()}
+    fars = {i: far(i, medians.get(rows[i][2], middle)) for i in good}
+    width = at(fars.values(), quality.UPPER)
+    widths = {lang: drawn(ids, at([fars[i] for i in ids], quality.UPPER), width) for lang, ids in own.items()}
+    got = {r.lang: (r.median, r.width) for r in lines.collect()}
+    assert got.keys() == {"de", "en", None}
+    for lang, pair in got.items():
+        assert np.allclose(pair, (medians.get(lang, middle), quality.MARGIN * widths.get(lang, width)), atol=1e-4)
+    judged = {r.doc_id: r for r in quality.classify(docs, labels, trusted=50, order=2).collect()}
+    for i, _, lang in rows:
+        assert abs(np.log(judged[i].perplexity) - losses[i]) < 1e-4
+        margin = far(i, medians.get(lang, middle)) - quality.MARGIN * widths.get(lang, width)
+        assert abs(margin) < 1e-3 or judged[i].kept == (margin <= 0)
+    assert judged[901].perplexity is None and not judged[901].kept and judged[900].threshold is not None
 
 
 def test_kneser_ney_against_brute_force(spark):
     """Probabilities of a size-2 model by the formula, and that each context's sum to one."""
     text, size = "abab abba cab. a bad cab", len(quality.CLASSES)
     counts = quality.gram_counts(spark.createDataFrame([(text,)], "text string"), 2)
-    table = np.exp(quality.dense_model(quality.kneser_ney(counts, 2).toPandas(), 2).astype(float)).reshape(size, size)
+    table = np.exp(quality.dense_model(quality.kneser_ney(counts, 2).toArrow(), 2).astype(float)).reshape(size, size)
     assert np.allclose(table.sum(axis=1), 1, atol=1e-4)
     codes, _ = quality.grams([text], 2)
     bigrams = collections.Counter(codes.tolist())
