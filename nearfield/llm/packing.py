@@ -29,8 +29,10 @@ TOKENIZER = "word_bpe_49k.json"
 LENGTH = 2048
 END = 1
 BUCKETS, DIMS, BITS, SEED = 256, 4, 8, 29
-#: Words remembered by a worker; beyond it the memory starts anew.
-REMEMBER = 200_000
+#: Words remembered by a worker; beyond it those are forgotten that the slice at hand does not have.
+REMEMBER = 1_000_000
+#: Bytes of text in a slice: the larger, the fewer words are looked up again.
+SLICE = 8 << 20
 #: Tokens of a range: what a task packs.
 RANGE_TOKENS = 4 << 20
 
@@ -47,7 +49,7 @@ class Encoder:
     The tokenizer drops white space and never joins across it, so that a text's ids are those of its words, and a word that
     was seen before is not encoded again; it ignores case, so that texts are lowered first. It also parts letters from what is none: a
     word of letters and the point or comma after it are encoded apart. New words of letters are encoded many at once;
-    each ends in the one token that has the word-end mark.
+    each ends in the one token that has the word-end mark. Known words are an Arrow array, and their ids lie end to end beside it.
     """
 
     def __init__(self, path: str, end: int = END):
@@ -56,58 +58,88 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.bases, self.end = Tokenizer.from_file(path), {}, {}, end
+        self.tokenizer, self.end = Tokenizer.from_file(path), end
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.marks = {".": self._alone("."), ",": self._alone(",")}
-
-    def _alone(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) != len(words):
-            return [self._alone(w) for w in words]
-        raw, cuts = ids.tobytes(), [0, *(4 * stops).tolist()]
-        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
-
-    def words(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words without white space."""
-        if len(self.known) > REMEMBER:
-            self.known, self.bases = {}, {}
-        known, bases = self.known, self.bases
-        missing = [w for w in words if w not in known]
-        cut = [w[:-1] if w[-1] in ".," else w for w in missing]
-        fresh = list({b for b in cut if b not in bases and b.isalpha()})
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
-            bases.update(zip(some, self._words(some)))
-        marks, get = self.marks, bases.get
-        for word, base in zip(missing, cut):
-            ids = get(base)
-            known[word] = self._alone(word) if ids is None else ids if len(word) == len(base) else ids + marks[word[-1]]
-        return [known[w] for w in words]
+        self.marks = self._each([".", ","])
+        self.known, self.sizes, self.ids = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def _each(self, words: list[str]) -> list[list[int]]:
+        return [found.ids for found in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each word, and the ids end to end."""
+        letters = np.fromiter(map(str.isalpha, words), bool, len(words))
+        sizes, parts = np.zeros(len(words), np.int64), [None, None]
+        for at, rows in enumerate((np.flatnonzero(letters), np.flatnonzero(~letters))):
+            some = [words[r] for r in rows.tolist()]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids if some and not at else [], "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if some and len(stops) != len(some):
+                each = self._each(some)
+                stops, ids = np.cumsum([len(x) for x in each]), np.array([i for x in each for i in x], "<u4")
+            sizes[rows], parts[at] = np.diff(np.concatenate([[0], stops])), (rows, ids)
+        ids = np.empty(sizes.sum(), "<u4")
+        begins = np.cumsum(sizes) - sizes
+        for rows, some in parts:
+            ids[spans(begins[rows], sizes[rows])] = some
+        return sizes, ids
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of distinct words without white space, and the ids end to end."""
+        marks = [np.asarray(pc.ends_with(words, m)) for m in ".,"]
+        cut = pc.utf8_slice_codeunits(words, 0, -1)
+        apart = np.asarray(pc.utf8_is_alpha(cut)) & (marks[0] | marks[1])
+        base = pc.if_else(pa.array(apart), cut, words).dictionary_encode()
+        found = pc.index_in(base.dictionary, value_set=self.known)
+        missing = np.asarray(found.is_null())
+        at = np.asarray(pc.fill_null(found, 0)).astype(np.int64)
+        if missing.any():
+            fresh = base.dictionary.filter(pa.array(missing))
+            if len(self.known) + len(fresh) > REMEMBER:  # what these words do not need is forgotten
+                own = np.unique(at[~missing])
+                begins = np.cumsum(self.sizes) - self.sizes
+                self.known, self.ids = self.known.take(pa.array(own)), self.ids[spans(begins[own], self.sizes[own])]
+                self.sizes, at = self.sizes[own], np.searchsorted(own, at)
+            at[missing] = len(self.known) + np.arange(len(fresh))
+            sizes, ids = self._encode(fresh.to_pylist())
+            self.known, self.sizes, self.ids = pa.concat_arrays([self.known, fresh]), np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
+        begins = np.cumsum(self.sizes) - self.sizes
+        at = at[np.asarray(base.indices)]
+        extra = np.where(apart, np.where(marks[0], len(self.marks[0]), len(self.marks[1])), 0)
+        sizes = self.sizes[at] + extra
+        out, place = np.empty(sizes.sum(), "<u4"), np.cumsum(sizes) - sizes
+        out[spans(place, sizes - extra)] = self.ids[spans(begins[at], self.sizes[at])]
+        for mark, ids in zip(marks, self.marks):
+            rows = apart & mark
+            for k, one in enumerate(ids):
+                out[place[rows] + self.sizes[at[rows]] + k] = one
+        return sizes, out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by the end mark, end to end; and where each text's begin."""
         flat, offsets = words_of(pc.ascii_lower(texts))
         coded = flat.dictionary_encode()
-        found = self.words(coded.dictionary.to_pylist())
-        sizes = np.array([len(x) // 4 for x in found], dtype=np.int64)
-        table, begins, words = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes, np.asarray(coded.indices)
-        n = sizes[words] if len(words) else np.zeros(0, dtype=np.int64)
+        sizes, table = self.words(coded.dictionary)
+        words = np.asarray(coded.indices)
+        n = sizes[words]
         upto = np.concatenate([[0], np.cumsum(n)])
-        ids = table[np.repeat(begins[words] - upto[:-1], n) + np.arange(upto[-1])] if len(words) else table
         per_text = np.diff(upto[offsets])
         starts = np.concatenate([[0], np.cumsum(per_text + 1)])
         out = np.full(starts[-1], self.end, dtype="<u4")
-        out[np.arange(len(ids)) + np.repeat(np.arange(len(per_text)), per_text)] = ids
+        inside = np.ones(len(out), dtype=bool)
+        inside[starts[1:] - 1] = False
+        out[inside] = table[spans((np.cumsum(sizes) - sizes)[words], n)]
         return out, starts
 
 
+def spans(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All numbers of spans, end to end."""
+    upto = np.cumsum(sizes)
+    return np.repeat(begins - upto + sizes, sizes) + np.arange(upto[-1] if len(upto) else 0)
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str, end: int = END) -> Encoder:
     return Encoder(path, end)
@@ -165,7 +197,7 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def work(batches):
         encode = encoder(path, end).encode
-        for part in chunks(batches):
+        for part in chunks(batches, max_bytes=SLICE):
             ids, starts = encode(texts_of(part.column(1)))
             keys = hilbert_key(curve_points(ids, starts))
             raw, size = (ids.astype("<u2").tobytes(), 2) if not len(ids) or ids.max() < 1 << 16 else (ids.tobytes(), 4)

@@ -67,6 +67,20 @@ def test_packing(docs, empty, texts):
     assert packing.pack(empty).count() == 0
 
 
+def test_encoder_against_the_tokenizer(monkeypatch):
+    """Odd texts, with so small a memory that words are forgotten again and again."""
+    monkeypatch.setattr(packing, "REMEMBER", 60)
+    encoder, draw = packing.Encoder(packing.tokenizer_path()), np.random.default_rng(21)
+    parts = [*"aZé.,!?'-12٣한😀\u00a0\u2003\u0301 \n\t", "the", "word.", "Word,", "it's", "e\u0301.", "ﬁ", "ǅ,", "Ⅷ.", "..", ",.", "&&&", "\x1c", "ſ."]
+    for _ in range(40):
+        texts = ["".join(parts[k] for k in draw.integers(0, len(parts), draw.integers(0, 40))) for _ in range(20)] + ["", " "]
+        ids, starts = encoder.encode(pa.array(texts))
+        want = [[*x.ids, packing.END] for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == want
+    ids, starts = encoder.encode(pa.array([], pa.string()))
+    assert not len(ids) and starts.tolist() == [0]
+
+
 def test_hilbert_key_is_a_walk():
     grid = np.stack(np.meshgrid(*[np.arange(8)] * 3), -1).reshape(-1, 3)
     key = packing.hilbert_key(grid, 3)
