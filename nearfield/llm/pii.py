@@ -1,18 +1,24 @@
 """Personal data: patterns, and a character BiLSTM-CRF that adds what the patterns miss.
 
 The patterns give email, ip, card and phone spans that always stand. The tagger (:mod:`tagger`) is trained in numpy on
-labelled spans: those of the patterns in windows of a bounded sample of documents, and spans written in other ways (national
-numbers, grouped cards, addresses beside brackets) set into windows of the same texts. It reads every whole text in
-overlapping windows; runs that hold what their kind needs and touch no pattern span are added.
+labelled spans: those of the patterns in windows of a bounded sample of documents, and groups of spans that people also write, set
+into windows of the same texts: national numbers, cards and phone numbers beside other numbers (which a pattern takes together
+and drops), addresses of version 6, and numbers that are nothing personal. It reads every whole text in overlapping windows; what
+its runs hold of the shape of their kind, and touches no pattern span, is added.
 
-Defined results: null and empty texts have no spans; rows are independent, so that ties, repeats, extra columns and empty
+The sample is ``SAMPLE`` documents by a hash of their ids; of each, windows around all its pattern spans and one from anywhere,
+and of all these ``WINDOWS`` by a hash of their text. Nothing else is bounded.
+
+Defined results: null and empty texts have no spans; rows are independent, so that ties, repeats, extra columns of any name and empty
 tables need no care (an empty table trains on the written spans alone); a very long text is only more windows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, give_back, materialize, texts_of, to_batch
-from .tagger import LABELS, Tagger, symbols, tag
+from .tagger import KINDS, Tagger, symbols, tag
 
-KINDS = ("email", "ip", "card", "phone")
 #: Documents, and windows of them, that the tagger is trained on, at most.
 SAMPLE, WINDOWS, WINDOW = 1500, 3000, 160
 
@@ -85,46 +90,77 @@ _HAS_NUMBER = re.compile("[0-9]")
 # ---- training ----------------------------------------------------------------------------------------------------
 
 
+def with_check_digit(digits: str) -> str:
+    return next(digits + c for c in "0123456789" if luhn(digits + c))
+
+
 def written(draw: np.random.Generator) -> tuple[str, int]:
-    """A span of personal data as people also write it, and its label."""
+    """A span of personal data as people also write it, and its kind."""
     n = lambda k: "".join(str(d) for d in draw.integers(0, 10, k))
     word = lambda: "".join(chr(97 + c) for c in draw.integers(0, 26, draw.integers(2, 9)))
-    kind = int(draw.integers(1, 5))
+    pick = lambda some: some[draw.integers(0, len(some))]
+    kind = int(draw.choice(4, p=[0.15, 0.15, 0.35, 0.35])) + 1
     if kind == 1:
-        local = [word(), f"{word()}.{word()}", f"{word()}{n(2)}", f"{n(3)}", f"{word().title()}_{word()}"][draw.integers(0, 5)]
-        return f"{local}@{word()}{n(1) if draw.random() < 0.4 else ''}.{['com', 'org', 'example.com', 'net', 'de'][draw.integers(0, 5)]}", 1
+        local = pick([word(), f"{word()}.{word()}", f"{word()}{n(2)}", n(3), f"{word().title()}_{word()}"])
+        return f"{local}@{word()}{n(1) if draw.random() < 0.4 else ''}.{pick(['com', 'org', 'example.com', 'net', 'de'])}", 1
     if kind == 2:
-        return ".".join(str(x) for x in draw.integers(0, 256, 4)), 2
+        if draw.random() < 0.6:
+            return ".".join(str(x) for x in draw.integers(0, 256, 4)), 2
+        groups = [f"{x:x}" for x in draw.integers(0, 1 << 16, 8)]
+        return pick([":".join(groups), f"{groups[0]}:{groups[1]}::{groups[2]}", f"fe80::{groups[0]}:{groups[1]}:{groups[2]}:{groups[3]}"]), 2
     if kind == 3:
-        gap = ["", " ", "-"][draw.integers(0, 3)]
-        return gap.join(n(4) for _ in range(4)), 3
-    form = [f"+1 ({n(3)}) {n(3)}-{n(4)}", f"({n(3)}) {n(3)}-{n(4)}", f"{n(3)}-{n(3)}-{n(4)}", f"{n(3)}.{n(3)}.{n(4)}", f"+{n(2)} {n(3)} {n(7)}", f"({n(3)}){n(3)} {n(4)}"]
-    return form[draw.integers(0, len(form))], 4
+        digits, gap = with_check_digit(str(draw.integers(2, 7)) + n(14)), pick(["", "", " ", "-"])
+        return gap.join(digits[k : k + 4] for k in range(0, 16, 4)), 3
+    a, b, c = str(draw.integers(2, 10)) + n(2), str(draw.integers(2, 10)) + n(2), n(4)
+    lead = pick(["", "", f"+{draw.integers(1, 100)} ", "+1 ", "+1-", "1-"])
+    return lead + pick([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"({a}){b} {c}", f"({a}) {b} {c}"]), 4
+
 
+def harmless(draw: np.random.Generator) -> str:
+    """Numbers that are nothing personal."""
+    n = lambda k: "".join(str(d) for d in draw.integers(0, 10, k))
+    low, year = draw.integers(1, 29, 4), draw.integers(1900, 2040)
+    forms = [n(draw.integers(1, 9)), n(draw.integers(20, 33)), f"{low[0]}.{low[1]}", f"{year}-{low[0] % 12 + 1:02}-{low[1]:02}", f"{low[0]:02}/{low[1]:02}/{year}", f"v{low[0]}.{low[1]}.{low[2]}", f"{low[0] % 24:02}:{n(2)}:{n(2)}", f"{n(1)},{n(3)},{n(3)}.{n(2)}"]
+    forms += [", ".join(n(2) for _ in range(low[0] % 6 + 2)), " ".join(n(3) for _ in range(low[1] % 6 + 2)), f"{low[0]}.{low[1]}.{low[2]}", f"978-{n(1)}-{n(2)}-{n(6)}-{n(1)}", f"({n(3)})", f"{n(3)}-{n(2)}", f"{year}-{year + low[0]}", f"{n(2)}:{n(2)}", f"@{chr(97 + low[0] % 26)}{chr(97 + low[1] % 26)}", f"{n(3)}.{n(3)}"]
+    return forms[draw.integers(0, len(forms))]
+
+
+def group(draw: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
+    """Some written spans and harmless numbers side by side, and the spans."""
+    text, spans = "", []
+    for k in range(int(draw.choice([1, 2, 3], p=[0.5, 0.35, 0.15]))):
+        text += [" ", " ", ", "][draw.integers(0, 3)] if k else ""
+        if draw.random() < 0.65:
+            new, kind = written(draw)
+            spans.append((len(text), len(text) + len(new), kind))
+        else:
+            new = harmless(draw)
+        text += new
+    return text + ["", "", "", ".", ","][draw.integers(0, 5)], spans
 
-def sequences(windows: list[str], seed: int = 3) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Labelled symbol sequences: each window with its pattern spans, and again with a written span or plain number set in."""
+
+def sequences(windows: list[str], seed: int = 3, least: int = 2400) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Labelled symbol sequences: each window with its pattern spans, and windows with groups of written spans set in."""
     draw, texts = np.random.default_rng(seed), []
     plain = windows or ["the word of a text and more of it, so that there is some. "]
-    for k in range(max(len(plain), 1200)):
+    for k in range(max(len(plain), least)):
         text = plain[k % len(plain)]
-        spans = [(a, b, label) for label, own in enumerate(base_spans(text), 1) for a, b in own]
+        spans = [(a, b, kind) for kind, own in enumerate(base_spans(text), 1) for a, b in own]
         if k < len(plain):
             texts.append((text, spans))
         blank = [m.end() for m in re.finditer(r"\s", text) if not any(a < m.end() < b for a, b, _ in spans)] or [0]
         at = blank[draw.integers(0, len(blank))]
-        if draw.random() < 0.3:  # numbers that are nothing personal
-            new, label = ["".join(str(d) for d in draw.integers(0, 10, draw.integers(1, 6))), f"{draw.integers(1, 99)}.{draw.integers(0, 99)}", f"{draw.integers(1900, 2030)}-{draw.integers(10, 13)}-{draw.integers(10, 29)}", f"v{draw.integers(1, 9)}.{draw.integers(0, 9)}.{draw.integers(0, 9)}"][draw.integers(0, 4)], 0
-        else:
-            new, label = written(draw)
+        new, own = group(draw)
         moved = [(a + (len(new) + 1) * (a >= at), b + (len(new) + 1) * (a >= at), c) for a, b, c in spans]
-        texts.append((text[:at] + new + " " + text[at:], moved + ([(at, at + len(new), label)] if label else [])))
+        texts.append((text[:at] + new + " " + text[at:], moved + [(at + a, at + b, kind) for a, b, kind in own]))
     out = []
     for text, spans in texts:
         kinds, first, _ = symbols([text])
         labels = np.zeros(len(kinds), np.uint8)
-        for a, b, label in spans:
-            labels[(first >= a) & (first < b)] = label
+        for a, b, kind in spans:
+            own = np.flatnonzero((first >= a) & (first < b))
+            labels[own] = 2 * kind
+            labels[own[:1]] = 2 * kind - 1
         out.append((kinds, labels))
     return out
 
@@ -138,7 +174,8 @@ def train(docs: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS) -> Tagg
             out = []
             for text in texts_of(part.column(0)).to_pylist():
                 spans = [s for own in base_spans(text) for s in own]
-                out += [text[max(0, a - WINDOW // 2) : a + WINDOW // 2] for a, _ in spans[:3]] + [text[:WINDOW]]
+                anywhere = zlib.crc32(text.encode("utf-8", "surrogatepass")) % max(1, len(text) - WINDOW)
+                out += [text[max(0, a - WINDOW // 2) : a + WINDOW // 2] for a, _ in spans] + [text[anywhere : anywhere + WINDOW]]
             yield to_batch(schema, out)
 
     some = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text").mapInArrow(work, "window string")  # SAMPLE ids at most
@@ -151,36 +188,56 @@ def train(docs: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS) -> Tagg
 # ---- the operator ------------------------------------------------------------------------------------------------
 
 
-def acceptable(text: str, start: int, end: int, label: int) -> tuple[int, int] | None:
-    """A run trimmed to what it holds, if that can be of its kind."""
-    while start < end and text[start] in " \t\n\r.,;:-" or start < end and text[start] == ")":
-        start += 1
-    while end > start and text[end - 1] in " \t\n\r.,;:-(+":
-        end -= 1
-    inner = text[start:end]
-    digits = _digits(inner)
-    if label == 1:
-        good = 0 < inner.find("@") < len(inner) - 3 and "." in inner.rpartition("@")[2] and not re.search(r"\s", inner)
-    elif label == 2:
-        good = inner.count(".") == 3 and len(inner) <= 15 and all(p.isdigit() and int(p) <= 255 for p in inner.split("."))
-    elif label == 3:
-        good = 13 <= len(digits) <= 19 and luhn(digits) and not re.search(r"[^0-9 -]", inner)
-    else:
-        good = 9 <= len(digits) <= 15 and not re.search(r"[^0-9 ().+-]", inner) and bool(re.search(r"[ ().-]", inner))
-    # a longer number or name goes on beyond the run
-    if good and (start and text[start - 1].isalnum() or end < len(text) and text[end].isalnum()):
-        good = False
-    return (start, end) if good else None
+# Shapes in which cards and phone numbers are written.
+_CARD_SHAPE = re.compile(r"(?<![\w.+-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![\w-])")
+_PHONE_SHAPE = re.compile(r"(?<![\w.+-])(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![\w-])")
+_WORD_SHAPE = re.compile(r"[^\s,;()<>\[\]\"']+")
+
+
+def acceptable(text: str, start: int, end: int, kind: int) -> list[tuple[int, int]]:
+    """What can be of its kind inside a run; the run is widened to whole words first, and a word that goes on is none."""
+    while start and text[start - 1] not in " \t\n\r":
+        start -= 1
+    while end < len(text) and text[end] not in " \t\n\r":
+        end += 1
+    shape = (_WORD_SHAPE, _WORD_SHAPE, _CARD_SHAPE, _PHONE_SHAPE)[kind - 1]
+    out = []
+    for m in shape.finditer(text, start, end):
+        a, b = m.span()
+        while shape is _WORD_SHAPE and b > a and text[b - 1] in ".:!?":
+            b -= 1
+        inner = text[a:b]
+        if kind == 1:
+            good = 0 < inner.find("@") < len(inner) - 3 and "." in inner.rpartition("@")[2]
+        elif kind == 2:
+            good = is_address(inner)
+        elif kind == 3:
+            good = luhn(_digits(inner))
+        else:
+            good = 9 <= len(_digits(inner)) <= 15
+        if good:
+            out.append((a, b))
+    return out
+
+
+def is_address(word: str) -> bool:
+    if word.count(":") < 3 and word.count(".") != 3 or len(word) > 39:
+        return False
+    try:
+        ipaddress.ip_address(word)
+    except ValueError:
+        return False
+    return True
 
 
 def find_spans(model: Tagger, texts: list[str]) -> list[tuple[list[list[tuple[int, int]]], list[list[tuple[int, int]]]]]:
-    """(pattern spans, added spans) by kind, of each text."""
+    """(pattern spans, added spans) by kind, of each text. Added ones touch neither a pattern's nor each other."""
     found = [(base_spans(t), [[] for _ in KINDS]) for t in texts]
-    for k, a, b, label in tag(model, texts):
-        if span := acceptable(texts[k], a, b, label):
-            base, added = found[k]
-            if not any(a < span[1] and span[0] < b for own in base for a, b in own):
-                added[label - 1].append(span)
+    for k, start, end, kind in tag(model, texts):
+        base, added = found[k]
+        for a, b in acceptable(texts[k], start, end, kind):
+            if not any(x < b and a < y for own in (*base, *added) for x, y in own):
+                added[kind - 1].append((a, b))
     return found
 
 
@@ -241,5 +298,3 @@ def mask_pii(docs: DataFrame, **options) -> DataFrame:
     out = docs.withColumn("text", mask("text"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
-
-assert LABELS[1:] == KINDS

@@ -1,18 +1,27 @@
 """A small character tagger in numpy: bidirectional LSTM, linear-chain CRF.
 
 Texts are sequences of character classes in which a run of letters longer than ``RUN`` is squeezed to that length, so that
-a label of a symbol holds for all characters it stands for. Gates are piecewise linear (clipped), in training and in use.
+a label of a symbol holds for all characters it stands for; a digit's class tells how long its run of digits is. A kind has two labels,
+one for its first symbol and one for those that follow, so that spans side by side stay apart. Gates are piecewise linear
+(clipped), in training and in use.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: One class for each of these; then digit, small letter, capital, other letter, white space, other. Class 0 pads.
+#: One class for each of these; then digits by the length of their run, small letter, capital, other letter, white space, other. Class 0 pads.
 SINGLE = "@._%+-():/,#*"
-N_CLASSES = len(SINGLE) + 7
-DIGIT, SMALL, CAPITAL, LETTER, BLANK, OTHER = range(len(SINGLE) + 1, N_CLASSES)
-LABELS = ("", "email", "ip", "card", "phone")
+#: Runs of digits of one class are shorter than the next of these.
+DIGITS = (1, 2, 3, 4, 5, 9, 13, 20)
+N_CLASSES = len(SINGLE) + len(DIGITS) + 6
+DIGIT = len(SINGLE) + 1
+SMALL, CAPITAL, LETTER, BLANK, OTHER = range(DIGIT + len(DIGITS), N_CLASSES)
+KINDS = ("email", "ip", "card", "phone")
+#: Label 0 is none; kind k (from 1) has 2 * k - 1 for its first symbol and 2 * k for the others.
+N_LABELS = 2 * len(KINDS) + 1
+#: What a following label costs behind any label but those of its kind.
+ALONE = 20.0
 RUN = 2
 #: Slope that training sees where a gate is clipped, so that it can come back.
 LEAK = 0.02
@@ -36,12 +45,24 @@ def _classes(size: int = 0x250) -> np.ndarray:
 _TABLE = _classes()
 
 
+def forbidden() -> np.ndarray:
+    """Scores of label pairs that cannot be: a following label behind another kind."""
+    out = np.zeros((N_LABELS, N_LABELS), np.float32)
+    for label in range(2, N_LABELS, 2):
+        out[:, label] = -ALONE
+        out[label - 1 : label + 1, label] = 0
+    return out
+
+
 def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(classes, first character of each symbol counted over all texts, where each text's symbols begin)."""
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
     kinds = _TABLE[np.minimum(points, len(_TABLE) - 1)]
     kinds[points >= len(_TABLE)] = LETTER
     ends = np.cumsum([len(t) for t in texts])
+    digit = np.concatenate([[False], kinds == DIGIT, [False]])
+    begin, stop = np.flatnonzero(digit[1:-1] & ~digit[:-2]), np.flatnonzero(digit[1:-1] & ~digit[2:]) + 1
+    kinds[kinds == DIGIT] = np.repeat(DIGIT + np.searchsorted(DIGITS, stop - begin, side="right") - 1, stop - begin)
     letter = (kinds >= SMALL) & (kinds <= LETTER)
     same = np.zeros(len(kinds), dtype=bool)
     same[RUN:] = letter[RUN:]
@@ -56,12 +77,12 @@ def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Tagger:
-    def __init__(self, hidden: int = 8, seed: int = 5):
+    def __init__(self, hidden: int = 12, seed: int = 5):
         draw = np.random.default_rng(seed)
         f = lambda *shape: (draw.standard_normal(shape) * 0.3).astype(np.float32)
-        k, h = len(LABELS), hidden
+        k, h = N_LABELS, hidden
         self.hidden = h
-        self.p = {"Wf": f(N_CLASSES, 4 * h), "Uf": f(h, 4 * h), "Wb": f(N_CLASSES, 4 * h), "Ub": f(h, 4 * h), "Vf": f(h, k), "Vb": f(h, k), "c": np.zeros(k, np.float32), "T": np.zeros((k, k), np.float32)}
+        self.p = {"Wf": f(N_CLASSES, 4 * h), "Uf": f(h, 4 * h), "Wb": f(N_CLASSES, 4 * h), "Ub": f(h, 4 * h), "Vf": f(h, k), "Vb": f(h, k), "c": np.zeros(k, np.float32), "T": forbidden()}
         for w in ("Wf", "Wb"):
             self.p[w][:, h : 2 * h] += 0.4  # remember at first
 
@@ -138,8 +159,7 @@ class Tagger:
         for t in range(steps):
             gold += e[t, rows, y[t]] + (trans[y[t - 1], y[t]] if t else 0)
             de[t, rows, y[t]] -= 1
-            if t:
-                np.subtract.at(dt, (y[t - 1], y[t]), 1)
+        dt -= np.bincount(y[:-1].astype(int).ravel() * len(dt) + y[1:].ravel(), minlength=dt.size).reshape(dt.shape)
         de = (de / n).astype(np.float32)
         g = {"c": de.sum(axis=(0, 1)), "T": (dt / n).astype(np.float32)}
         for way, states, kept in (("f", hf, kept_f), ("b", hb, kept_b)):
@@ -149,7 +169,7 @@ class Tagger:
 
     def _back(self, x: np.ndarray, way: str, dout: np.ndarray, kept: list) -> tuple[np.ndarray, np.ndarray]:
         h, u = self.hidden, self.p["U" + way]
-        dw, du = np.zeros_like(self.p["W" + way]), np.zeros_like(u)
+        dw, du, dzs = np.zeros_like(self.p["W" + way]), np.zeros_like(u), np.empty((*x.shape, 4 * h), u.dtype)
         dstate, dcell = np.zeros_like(dout[0]), np.zeros_like(dout[0])
         slope = lambda z, low, high: np.where((z > low) & (z < high), 1.0, LEAK).astype(np.float32)
         for t, z, cell, before in reversed(kept):
@@ -162,12 +182,14 @@ class Tagger:
             dz = np.concatenate([dc * g, dc * cell, dh * np.clip(new, -1, 1), dc * i], axis=1)
             dz[:, : 3 * h] *= 0.25 * slope(raw, 0, 1)
             dz[:, 3 * h :] *= slope(z[:, 3 * h :], -1, 1)
-            np.add.at(dw, x[t], dz)
+            dzs[t] = dz
             du += before.T @ dz
             dstate, dcell = np.clip(dz @ u.T, -1, 1), np.clip(dc * f, -1, 1)
+        for c in range(len(dw)):
+            dw[c] = dzs[x == c].sum(axis=0)
         return dw, du
 
-    def fit(self, sequences: list[tuple[np.ndarray, np.ndarray]], length: int = 96, epochs: int = 8, batch: int = 64, rate: float = 0.015, seed: int = 11) -> list[float]:
+    def fit(self, sequences: list[tuple[np.ndarray, np.ndarray]], length: int = 112, epochs: int = 6, batch: int = 96, rate: float = 0.02, seed: int = 11) -> list[float]:
         """Trains on (classes, labels) sequences, cut or padded to ``length``, by Adam; the loss of each epoch."""
         x, y = np.zeros((length, len(sequences)), np.uint8), np.zeros((length, len(sequences)), np.uint8)
         for k, (a, b) in enumerate(sequences):
@@ -192,10 +214,11 @@ class Tagger:
 
 
 def tag(model: Tagger, texts: list[str], window: int = 256, overlap: int = 32, batch: int = 2048) -> list[tuple[int, int, int, int]]:
-    """(text, start, end, label) of all runs of one label, by characters.
+    """(text, start, end, kind) of all runs of one kind, by characters.
 
     Each text is cut into windows that overlap. Of two windows over a symbol the one decides in which it lies farther from
-    the edge, so that labels over the whole text are one sequence and a run may cross windows.
+    the edge, so that labels over the whole text are one sequence and a run may cross windows. Every kind has digits or
+    an at sign: windows without both are not decoded.
     """
     kinds, first, starts = symbols(texts)
     if not len(kinds):
@@ -207,11 +230,13 @@ def tag(model: Tagger, texts: list[str], window: int = 256, overlap: int = 32, b
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     begin = starts[owner] + nth * pace
     size = np.minimum(window, starts[owner + 1] - begin)
+    told = np.concatenate([[0], np.cumsum((kinds >= DIGIT) & (kinds < SMALL) | (kinds == 1))])
     labels = np.zeros(len(kinds), np.uint8)
     padded = np.concatenate([kinds, np.zeros(window, np.uint8)])
     steps = np.arange(window)[:, None]
     by_size = np.argsort(size, kind="stable")  # short windows together
-    for at in range(0, len(owner), batch):
+    by_size = by_size[(told[begin + size] > told[begin])[by_size]]
+    for at in range(0, len(by_size), batch):
         some = by_size[at : at + batch]
         longest = int(size[some].max())
         x = padded[begin[some] + steps[:longest]]
@@ -224,13 +249,14 @@ def tag(model: Tagger, texts: list[str], window: int = 256, overlap: int = 32, b
     if not labels.any():
         return []
     text_of = np.repeat(np.arange(len(texts)), sizes)
-    change = np.flatnonzero((labels[1:] != labels[:-1]) | (text_of[1:] != text_of[:-1])) + 1
+    kind = (labels + 1) // 2
+    change = np.flatnonzero((kind[1:] != kind[:-1]) | (labels[1:] % 2 == 1) | (text_of[1:] != text_of[:-1])) + 1
     runs = np.concatenate([[0], change, [len(labels)]])
     ends = np.concatenate([first[1:], [sum(map(len, texts))]])
     chars = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     out = []
-    for a, b in zip(runs[:-1], runs[1:]):
-        if labels[a]:
-            k = int(text_of[a])
-            out.append((k, int(first[a] - chars[k]), int(min(ends[b - 1], chars[k + 1]) - chars[k]), int(labels[a])))
+    for run in np.flatnonzero(kind[runs[:-1]]).tolist():
+        a, b = int(runs[run]), int(runs[run + 1])
+        k = int(text_of[a])
+        out.append((k, int(first[a] - chars[k]), int(min(ends[b - 1], chars[k + 1]) - chars[k]), int(kind[a])))
     return out
