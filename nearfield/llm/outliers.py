@@ -1,36 +1,42 @@
 """Quality rules by robust multivariate outliers, in DataFrame functions only.
 
-Each document has a vector of transformed statistics. For each (language, source) the minimum covariance determinant estimate
-is found by concentration steps from a start at medians and absolute deviations: the ``SHARE`` of documents nearest to the
-present estimate give the next mean and covariance. Documents beyond a chi-square cut of Mahalanobis distance are rejected.
+Each document has a vector of transformed statistics. For each (language, source), and for all documents together, the minimum
+covariance determinant estimate is sought by concentration steps: the ``SHARE`` of documents nearest to the present estimate give the
+next mean and covariance, whose determinant is no greater. They start from three robust estimates (absolute deviations from medians,
+covariance of hyperbolic tangents, covariance of spatial signs), and of the three ends that of least determinant is taken. A
+group's estimate is then drawn to that of all documents in proportion to its size and ``DRAWN``, so that a small group has a sound
+one and no size changes the rule. Documents beyond a chi-square cut of Mahalanobis distance are rejected.
 
 A step is two aggregations with partial sums (a quantile of distances, then moments), so that a large source is
-no single task's work; estimates are a row for each group and are joined by size as Spark decides.
+no single task's work; estimates are a row for each group and start and are joined by size as Spark decides.
 
 Defined results: null texts have 0 in all counts and fail the base rules; documents failing these do not take part in
-estimates; groups of fewer than ``SMALL`` documents share one pooled group; if that has fewer than ``FEWEST``, it rejects
-none; a null language or source is a group of its own; rows that repeat count as often; an empty table gives an empty result.
+estimates; fewer than ``FEWEST`` documents in all reject none; a null language or source is a group of its own; a very long text
+is counted whole; of ties at the share's distance all are inside, at the cut all are kept; rows that repeat count as often; an empty
+table gives an empty result; columns but doc_id, text, lang and source are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 WINDOW = 8
 SHARE, STEPS = 0.75, 4
-SMALL, FEWEST = 50, 20
+#: Documents of a group that weigh as much as the estimate of all.
+DRAWN = 50
+FEWEST = 20
 #: Tail probability of the cut, if vectors were normal; clean text has longer tails than that.
 TAIL = 1e-12
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SYMBOLS = "#*$%&|<>"
 MARKS = "!?;:()[]{}\"'=_~^/\\+@"
 #: Name and least standard deviation of each statistic: what a document may differ by though all others are equal.
-STATISTICS = {"word_length": 0.08, "symbols": 0.03, "capitals": 0.03, "dup_lines": 0.12, "repeats": 0.15, "marks": 0.03}
+STATISTICS = {"word_length": 0.08, "symbols": 0.03, "capitals": 0.03, "dup_lines": 0.083, "repeats": 0.13, "marks": 0.03}
 NAMES = list(STATISTICS)
 
 
@@ -99,75 +105,98 @@ def chi_square_quantile(p: float, freedom: int) -> float:
     return high
 
 
-def _with_groups(rows: DataFrame) -> DataFrame:
-    sizes = rows.where("NOT base_failed").groupBy("lang", "source").agg(F.count("*").alias("_n")).where(F.col("_n") >= SMALL)
-    large = materialize(sizes.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.lit(True).alias("_large")), "mcd-groups")
-    both = rows.join(large, rows["lang"].eqNullSafe(large["_lang"]) & rows["source"].eqNullSafe(large["_source"]), "left")
-    name = F.concat_ws("|", F.coalesce(F.to_json(F.struct("lang", "source")), F.lit("")))
-    return both.withColumn("_group", F.when(F.col("_large"), name).otherwise("pooled")).drop("_lang", "_source", "_large")
+#: Group of all documents.
+ALL = "*"
+P = range(len(NAMES))
+PAIRS = [(i, j) for i in P for j in range(i + 1)]
+
+
+def _with_group(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_group", F.to_json(F.struct("lang", "source")))
 
 
 def _distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Adds _d, the squared distance under the estimate of each row's group: centre m_i, lower triangle w_ij of the inverse factor."""
-    joined = rows.join(estimates, "_group", "left")
+    """Adds _d, the squared distance under each estimate of a row's group: centre m_i, lower triangle w_ij of the inverse factor."""
     total = F.lit(0.0)
-    for i in range(len(NAMES)):
+    for i in P:
         line = F.lit(0.0)
         for j in range(i + 1):
             line = line + F.col(f"w_{i}_{j}") * (F.col(NAMES[j]) - F.col(f"m_{j}"))
         total = total + line * line
-    return joined.withColumn("_d", total)
+    return rows.join(estimates, "_group", "left").withColumn("_d", total)
 
 
 def _start(rows: DataFrame) -> DataFrame:
-    """Medians and absolute deviations as the first estimate."""
-    p = range(len(NAMES))
-    middle = materialize(rows.groupBy("_group").agg(*[F.percentile_approx(NAMES[i], 0.5, 10_000).alias(f"m_{i}") for i in p]), "mcd-medians")
-    far = rows.join(middle, "_group").groupBy("_group").agg(*[F.percentile_approx(F.abs(F.col(NAMES[i]) - F.col(f"m_{i}")), 0.5, 10_000).alias(f"a_{i}") for i in p])
-    scale = [F.greatest(1.4826 * F.col(f"a_{i}"), F.lit(STATISTICS[NAMES[i]])) for i in p]
-    weights = [(1 / scale[i] if i == j else F.lit(0.0)).alias(f"w_{i}_{j}") for i in p for j in range(i + 1)]
-    return middle.join(far, "_group").select("_group", *[f"m_{i}" for i in p], *weights)
-
-
-def _factor(moments: DataFrame, consistency: float) -> DataFrame:
-    """Means, covariances, their Cholesky factor and its inverse, as columns."""
-    p = range(len(NAMES))
-    out = moments.select("_group", "n", *[(F.col(f"s_{i}") / F.col("n")).alias(f"m_{i}") for i in p], *[F.col(f"s_{i}_{j}") for i in p for j in range(i + 1)])
+    """m_i and c_i_j of three first estimates (_start) of each group, all about its medians."""
+    middle = materialize(rows.groupBy("_group").agg(*[F.percentile_approx(NAMES[i], 0.5, 10_000).alias(f"m_{i}") for i in P]), "mcd-medians")
+    far = rows.join(middle, "_group").groupBy("_group").agg(*[F.percentile_approx(F.abs(F.col(NAMES[i]) - F.col(f"m_{i}")), 0.5, 10_000).alias(f"_a_{i}") for i in P])
+    scale = [F.greatest(1.4826 * F.col(f"_a_{i}"), F.lit(STATISTICS[NAMES[i]])).alias(f"a_{i}") for i in P]
+    scales = materialize(middle.join(far, "_group").select("_group", *[f"m_{i}" for i in P], *scale), "mcd-scales")
+    z = rows.join(scales, "_group").select("_group", *[((F.col(NAMES[i]) - F.col(f"m_{i}")) / F.col(f"a_{i}")).alias(f"z_{i}") for i in P])
+    norm = F.sqrt(F.greatest(sum((F.col(f"z_{i}") * F.col(f"z_{i}") for i in P), F.lit(0.0)), F.lit(1e-12)))
+    bounded = z.select("_group", *[F.tanh(f"z_{i}").alias(f"t_{i}") for i in P], *[(F.col(f"z_{i}") / norm).alias(f"s_{i}") for i in P])
+    means = [F.avg(F.col(f"{k}_{i}") * F.col(f"{k}_{j}")).alias(f"{k}_{i}_{j}") for k in "ts" for i, j in PAIRS]
+    known = materialize(scales.join(bounded.groupBy("_group").agg(*means), "_group"), "mcd-starts")
+    out = None
+    for start, kind in enumerate(("deviations", "t", "s")):
+        value = lambda i, j, kind=kind: F.lit(float(i == j)) if kind == "deviations" else F.col(f"{kind}_{i}_{j}")
+        one = known.select("_group", F.lit(start).alias("_start"), *[f"m_{i}" for i in P], *[(F.col(f"a_{i}") * F.col(f"a_{j}") * value(i, j)).alias(f"c_{i}_{j}") for i, j in PAIRS])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _factor(estimates: DataFrame) -> DataFrame:
+    """To m_i and c_i_j adds log_det, and w_i_j of the inverse Cholesky factor; variances have the least ones added."""
+    keep, out = estimates.columns, estimates
     floor = [STATISTICS[x] ** 2 for x in NAMES]
-    out = out.select("_group", *[f"m_{i}" for i in p], *[(consistency * (F.col(f"s_{i}_{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}")) + (floor[i] if i == j else 0.0)).alias(f"c_{i}_{j}") for i in p for j in range(i + 1)])
-    for j in p:
+    for j in P:
         below = sum((F.col(f"l_{j}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)), F.lit(0.0))
-        out = out.withColumn(f"l_{j}_{j}", F.sqrt(F.greatest(F.col(f"c_{j}_{j}") - below, F.lit(floor[j] / 4))))
-        column = {f"l_{i}_{j}": (F.col(f"c_{i}_{j}") - sum((F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)), F.lit(0.0))) / F.col(f"l_{j}_{j}") for i in p if i > j}
+        out = out.withColumn(f"l_{j}_{j}", F.sqrt(F.greatest(F.col(f"c_{j}_{j}") + floor[j] - below, F.lit(floor[j] / 4))))
+        column = {f"l_{i}_{j}": (F.col(f"c_{i}_{j}") - sum((F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)), F.lit(0.0))) / F.col(f"l_{j}_{j}") for i in P if i > j}
         out = out.withColumns(column) if column else out
-    for i in p:
+    for i in P:
         out = out.withColumn(f"w_{i}_{i}", 1 / F.col(f"l_{i}_{i}"))
         row = {f"w_{i}_{j}": -sum((F.col(f"l_{i}_{k}") * F.col(f"w_{k}_{j}") for k in range(j, i)), F.lit(0.0)) / F.col(f"l_{i}_{i}") for j in range(i)}
         out = out.withColumns(row) if row else out
-    return out.select("_group", *[f"m_{i}" for i in p], *[f"w_{i}_{j}" for i in p for j in range(i + 1)])
+    log_det = 2 * sum((F.log(f"l_{i}_{i}") for i in P), F.lit(0.0))
+    return out.select(*keep, log_det.alias("log_det"), *[f"w_{i}_{j}" for i, j in PAIRS])
 
 
-def covariance_estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """Minimum covariance determinant estimates: a row for each _group."""
-    p = len(NAMES)
-    consistency = share / chi_square(chi_square_quantile(share, p), p + 2)
-    estimates = materialize(_start(rows), "mcd-0")
+def least_determinants(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
+    """_group, n, m_i, c_i_j, log_det: the minimum covariance determinant estimate of each _group."""
+    consistency = share / chi_square(chi_square_quantile(share, len(NAMES)), len(NAMES) + 2)
+    estimates = materialize(_factor(_start(rows)), "mcd-0")
     for step in range(1, steps + 1):
-        near = _distance(rows, estimates).select("_group", *NAMES, "_d")
-        limit = materialize(near.groupBy("_group").agg(F.percentile_approx("_d", share, 10_000).alias("_limit")), f"mcd-limit-{step}")
-        inside = near.join(limit, "_group").where(F.col("_d") <= F.col("_limit"))
-        sums = [F.sum(NAMES[i]).alias(f"s_{i}") for i in range(p)] + [F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"s_{i}_{j}") for i in range(p) for j in range(i + 1)]
-        moments = inside.groupBy("_group").agg(F.count("*").cast("double").alias("n"), *sums)
-        estimates = materialize(_factor(materialize(moments, f"mcd-moments-{step}"), consistency), f"mcd-{step}")
-    counts = rows.groupBy("_group").agg(F.count("*").alias("_n"))
-    return materialize(estimates.join(counts, "_group").where(F.col("_n") >= FEWEST).drop("_n"), "mcd")
+        near = _distance(rows, estimates).select("_group", "_start", *NAMES, "_d")
+        limit = materialize(near.groupBy("_group", "_start").agg(F.percentile_approx("_d", share, 10_000).alias("_limit")), f"mcd-limit-{step}")
+        inside = near.join(limit, ["_group", "_start"]).where(F.col("_d") <= F.col("_limit"))
+        means = [F.avg(NAMES[i]).alias(f"m_{i}") for i in P] + [F.avg(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"s_{i}_{j}") for i, j in PAIRS]
+        moments = materialize(inside.groupBy("_group", "_start").agg(*means), f"mcd-moments-{step}")
+        spread = [(consistency * (F.col(f"s_{i}_{j}") - F.col(f"m_{i}") * F.col(f"m_{j}"))).alias(f"c_{i}_{j}") for i, j in PAIRS]
+        estimates = materialize(_factor(moments.select("_group", "_start", *[f"m_{i}" for i in P], *spread)), f"mcd-{step}")
+    best = Window.partitionBy("_group").orderBy("log_det", "_start")  # three rows a group
+    best = estimates.withColumn("_place", F.row_number().over(best)).where("_place = 1")
+    counts = rows.groupBy("_group").agg(F.count("*").alias("n"))
+    return best.join(counts, "_group").select("_group", "n", *[f"m_{i}" for i in P], *[f"c_{i}_{j}" for i, j in PAIRS], "log_det")
+
+
+def covariance_estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS, drawn: float = DRAWN) -> DataFrame:
+    """_group, m_i, w_i_j: the estimate of each group, drawn to that of all; none if there are fewer than ``FEWEST`` documents."""
+    both = rows.unionByName(rows.withColumn("_group", F.lit(ALL)))
+    found = materialize(least_determinants(both.select("_group", *NAMES), share, steps), "mcd-least")
+    names = [f"m_{i}" for i in P] + [f"c_{i}_{j}" for i, j in PAIRS]
+    every = found.where((F.col("_group") == ALL) & (F.col("n") >= FEWEST)).select(*[F.col(x).alias(f"_{x}") for x in names])
+    own = F.col("n") / (F.col("n") + drawn)
+    mixed = found.where(F.col("_group") != ALL).join(F.broadcast(every))  # one row
+    mixed = mixed.select("_group", *[(own * F.col(x) + (1 - own) * F.col(f"_{x}")).alias(x) for x in names])
+    return materialize(_factor(mixed).select("_group", *[f"m_{i}" for i in P], *[f"w_{i}_{j}" for i, j in PAIRS]), "mcd")
 
 
 def judge(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     """doc_id, the five counts, base_failed, distance (null without an estimate) and kept of each document."""
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rows = materialize(text_statistics(docs, ["doc_id", "lang", "source"]).withColumn("base_failed", failed), "mcd-statistics")
-    rows = _with_groups(rows)
+    rows = _with_group(rows)
     estimates = covariance_estimates(rows.where("NOT base_failed"))
     out = _distance(rows, estimates)
     kept = ~F.col("base_failed") & F.coalesce(F.col("_d") <= chi_square_quantile(1 - tail, len(NAMES)), F.lit(True))

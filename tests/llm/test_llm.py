@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from nearfield.llm import fm_index, lm_scoring, media, mixing, near_dups, outliers, packing, pii, quality, substring, tagger, token_counts
 
@@ -287,15 +288,49 @@ def test_outliers(docs, empty, texts):
     assert outliers.judge(empty).count() == 0
 
 
+def numpy_least_determinant(x, starts=60, steps=20):
+    """Log-determinant and distances of the best of many random starts, with the same share, consistency factor and least variances."""
+    draw, floor = np.random.default_rng(9), np.diag(np.array(list(outliers.STATISTICS.values())) ** 2)
+    share, p = outliers.SHARE, x.shape[1]
+    factor = share / outliers.chi_square(outliers.chi_square_quantile(share, p), p + 2)
+    best = (np.inf, None)
+    for _ in range(starts):
+        inside = draw.choice(len(x), 12, replace=False)
+        for _ in range(steps):
+            centre, spread = x[inside].mean(axis=0), factor * np.cov(x[inside].T, bias=True) + floor
+            d = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(spread), x - centre)
+            inside = np.argsort(d)[: int(share * len(x))]
+        best = min(best, (np.linalg.slogdet(spread)[1], tuple(d)))
+    return best
+
+
 def test_covariance_estimates_against_numpy(spark):
     draw = np.random.default_rng(3)
-    x = np.concatenate([draw.normal(0, 1, (300, 6)) @ np.diag([1, 0.5, 0.7, 0.4, 0.6, 0.8]), draw.normal(30, 1, (60, 6))])
-    frame = pd.DataFrame(x, columns=outliers.NAMES)
-    frame["_group"] = "g"
+    mixed = draw.normal(0, 0.4, (6, 6)) + np.eye(6)
+    groups = {"g": np.concatenate([draw.normal(0, 1, (300, 6)) @ mixed, draw.normal(4, 0.3, (60, 6))]), "h": np.concatenate([draw.normal(2, 0.5, (200, 6)), draw.normal(2, 6, (40, 6))])}
+    frame = pd.concat([pd.DataFrame(x, columns=outliers.NAMES).assign(_group=g) for g, x in groups.items()])
     rows = spark.createDataFrame(frame)
-    got = outliers._distance(rows, outliers.covariance_estimates(rows)).toPandas()
-    d = got["_d"].to_numpy()
-    assert (d[got[outliers.NAMES[0]] > 15] > 500).all() and np.median(d[got[outliers.NAMES[0]] < 15]) < 15
+    found = {r["_group"]: r for r in outliers.least_determinants(rows, steps=5).collect()}
+    for g, x in groups.items():
+        log_det, d = numpy_least_determinant(x)
+        assert found[g]["n"] == len(x) and found[g].log_det <= log_det + 0.05
+        estimates = outliers._factor(spark.createDataFrame([found[g]]).drop("log_det")).drop("n")
+        got = outliers._distance(rows.where(f"_group = '{g}'"), estimates).toPandas().sort_values(outliers.NAMES[0])
+        assert np.corrcoef(got["_d"], np.array(d)[np.argsort(x[:, 0])])[0, 1] > 0.99
+    mixed = {r["_group"]: r for r in outliers.covariance_estimates(rows, steps=5).collect()}
+    own, every = found["g"], outliers.least_determinants(rows.withColumn("_group", F.lit("*")), steps=5).first()
+    weight = own.n / (own.n + outliers.DRAWN)
+    assert abs(mixed["g"].m_0 - (weight * own.m_0 + (1 - weight) * every.m_0)) < 1e-9
+
+
+def test_outliers_that_one_statistic_shows(spark):
+    """Half of a text's short lines repeated, or a tenth of its characters symbols: rejected though all else is typical."""
+    good = [(k, "\n".join(prose(9, 100 * k + j) for j in range(8)), "en", f"s{k % 4}") for k in range(200)]
+    lines = [prose(6, 9000 + j) for j in range(6)]
+    bad = [(900, "\n".join([*lines, *lines]), "en", "s1"), (901, prose(60, 5) + " &&&" * 18, "en", "s2"), (902, prose(60, 6).upper(), None, "s9")]
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in outliers.judge(docs).collect()}
+    assert all(kept[k] for k in range(200)) and not any(kept[k] for k in (900, 901, 902))
 
 
 def test_chi_square():
