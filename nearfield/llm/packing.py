@@ -30,9 +30,9 @@ LENGTH = 2048
 END = 1
 BUCKETS, DIMS, BITS, SEED = 256, 4, 8, 29
 #: Words remembered by a worker; beyond it those are forgotten that the slice at hand does not have.
-REMEMBER = 1_000_000
+REMEMBER = 400_000
 #: Bytes of text in a slice: the larger, the fewer words are looked up again.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: Tokens of a range: what a task packs.
 RANGE_TOKENS = 4 << 20
 

@@ -113,7 +113,7 @@ def test_thresholds_and_decisions_against_brute_force(spark):
 
     def loss(text):
         walk = [0, *[kinds[c] for c in text]]
-        return round(-sum(float(table[v * size + w]) for v, w in zip(walk, walk[1:])) / len(text), 6)
+        return round(-sum(float(table.value[v * size + w]) for v, w in zip(walk, walk[1:])) / len(text), 6)
 
     losses = {i: loss(t) for i, t, _ in rows}
     at = lambda values, q: sorted(values)[max(int(np.ceil(q * len(values))) - 1, 0)]
