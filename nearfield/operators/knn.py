@@ -1,7 +1,14 @@
-"""Exact nearest neighbours of a query set: blocks of queries meet blocks of rows, and each meeting keeps k rows a query."""
+"""Exact neighbours of a query set, by blocks: each meeting of a block of queries with a block of rows is one matrix of distances.
+
+Queries of a checked size are broadcast, and the rows are read where they lie: a task keeps the best of each query over all its
+rows, so that only k rows a query and task are shuffled. More queries are packed to blocks that meet blocks of rows by an
+equi-join on the block; neither side is collected.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -11,11 +18,13 @@ from nearfield.functions.distance import block_distances, parse_metric
 
 #: Rows of a block; a meeting of two blocks is a matrix of at most QUERY_BLOCK * BASE_BLOCK distances.
 QUERY_BLOCK, BASE_BLOCK = 512, 4096
+#: Queries, bytes of their vectors, and results that a task keeps, up to which queries are broadcast.
+FEW, FEW_BYTES, FEW_KEPT = 1 << 16, 64 << 20, 4 << 20
 DIGITS = 6
 
 
 def blocks(vectors: DataFrame, size: int, id_col: str, *more: str) -> tuple[DataFrame, int]:
-    """Packs (id, vec) rows to blocks of about ``size``: (block, ids, vecs, ...); and the number of blocks."""
+    """Packs (id, vec) rows to blocks of about ``size``: (block, rows); and the number of blocks."""
     n = max(1, -(-vectors.count() // size))
     block = F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
     lists = [F.collect_list(F.struct(id_col, "vec", *more)).alias("rows")]
@@ -23,50 +32,157 @@ def blocks(vectors: DataFrame, size: int, id_col: str, *more: str) -> tuple[Data
 
 
 MET = pa.schema([("qid", pa.int64()), ("vid", pa.int64()), ("dist", pa.float64())])
+#: Ids, a matrix of vectors, and further columns.
+Side = tuple[np.ndarray, np.ndarray, list[np.ndarray]]
 
 
-def _side(column, row: int):
-    rows = column[row].values
-    vectors = rows.field(1)
+def _side(columns: list) -> Side:
+    ids, vectors, *more = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns)
     flat = np.asarray(vectors.flatten(), dtype=np.float32)
-    return np.asarray(rows.field(0)), flat.reshape(len(rows), -1), [np.asarray(rows.field(k)) for k in range(2, rows.type.num_fields)]
+    return np.asarray(ids), flat.reshape(len(ids), -1 if len(flat) else 0), [np.asarray(c) for c in more]
 
 
-def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", exclude_self: bool = False, same: str | None = None, farthest: bool = False, within: float | None = None) -> DataFrame:
-    """qid, rank, vid, dist: for each query the k smallest distances, ties by vid; all rows if there are fewer than k.
+def _rows(side: Side, a: int, b: int) -> Side:
+    return side[0][a:b], side[1][a:b], [c[a:b] for c in side[2]]
+
+
+def broadcast_side(queries: DataFrame, *more: str, kept: int = 1) -> Side | None:
+    """The queries, if there are few enough to be broadcast."""
+    found = queries.select("qid", "vec", *more).limit(FEW + 1).toArrow()
+    if found.num_rows > FEW or found.nbytes > FEW_BYTES or found.num_rows * kept > FEW_KEPT:
+        return None
+    return _side(found.columns)
 
-    base has vid, vec; queries have qid, vec. ``same`` names a column of both that must be equal; ``within`` is an inclusive
-    limit of distance; ``farthest`` takes the largest instead. Distances are rounded to ``DIGITS`` and ranked so.
+
+def meet(base: DataFrame, queries: DataFrame, more: list[str], start: Callable[[], Callable[[Side, Side], pa.RecordBatch | None]], ddl: str, held: Side | None) -> DataFrame:
+    """What a task's function makes of each block of queries against each block of rows.
+
+    ``start`` gives a fresh function for each task; if that has an attribute ``rest``, it is called at the task's end.
     """
-    parse_metric(metric)
-    if k <= 0:
-        return queries.sparkSession.createDataFrame([], "qid long, rank int, vid long, dist double")
-    more = [same] if same else []
+    spark = queries.sparkSession
+    if held is not None:
+        shared = spark.sparkContext.broadcast(held)
+
+        def by_rows(batches) -> Iterator[pa.RecordBatch]:
+            step, asked = start(), shared.value
+            for batch in batches:
+                side = _side(batch.columns)
+                for a in range(0, len(side[0]), BASE_BLOCK):
+                    some = _rows(side, a, a + BASE_BLOCK)
+                    for q in range(0, len(asked[0]), QUERY_BLOCK):
+                        if (out := step(_rows(asked, q, q + QUERY_BLOCK), some)) is not None:
+                            yield out
+            if rest := getattr(step, "rest", None):
+                yield from rest()
+
+        return base.select("vid", "vec", *more).mapInArrow(by_rows, ddl)
     packed, n = blocks(base, BASE_BLOCK, "vid", *more)
     asked, _ = blocks(queries, QUERY_BLOCK, "qid", *more)
     asked = asked.select(F.col("rows").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
-    met = asked.join(packed, "block").select("asked", "rows")
 
-    def work(batches):
+    def by_blocks(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                qid, q, qs = _side(batch.column(0), r)
-                vid, b, bs = _side(batch.column(1), r)
-                d = np.round(block_distances(metric, q, b), DIGITS) + 0.0
-                allowed = np.ones(d.shape, dtype=bool)
-                if exclude_self:
-                    allowed &= qid[:, None] != vid[None, :]
-                for x, y in zip(qs, bs):
-                    allowed &= x[:, None] == y[None, :]
-                if within is not None:
-                    allowed &= d <= within
-                key = np.where(allowed, -d if farthest else d, np.inf)
-                order = np.lexsort((np.broadcast_to(vid, d.shape), key), axis=1)[:, :k]
-                good = np.take_along_axis(allowed, order, axis=1)
-                rows = np.broadcast_to(np.arange(len(qid))[:, None], order.shape)[good]
-                yield pa.RecordBatch.from_arrays([pa.array(qid[rows]), pa.array(vid[order[good]]), pa.array(d[rows, order[good]])], schema=MET)
-
-    near = met.mapInArrow(work, "qid long, vid long, dist double")
-    first = F.desc("dist") if farthest else F.asc("dist")
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(first, F.asc("vid")))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "rank", "vid", "dist")
+                q, b = (_side([rows.field(k) for k in range(rows.type.num_fields)]) for rows in (batch.column(c)[r].values for c in (0, 1)))
+                step = start()
+                if (out := step(q, b)) is not None:
+                    yield out
+                if rest := getattr(step, "rest", None):
+                    yield from rest()
+
+    return asked.join(packed, "block").select("asked", "rows").mapInArrow(by_blocks, ddl)
+
+
+def _allowed(q: Side, b: Side, d: np.ndarray, exclude_self: bool, within: float | None) -> np.ndarray:
+    allowed = np.ones(d.shape, dtype=bool) if within is None else d <= within
+    if exclude_self:
+        allowed &= q[0][:, None] != b[0][None, :]
+    for x, y in zip(q[2], b[2]):
+        allowed &= x[:, None] == y[None, :]
+    return allowed
+
+
+class _Best:
+    """The k least (key, vid) of each query over all blocks that a task has seen."""
+
+    def __init__(self, k: int, measure: Callable[[Side, Side], tuple[np.ndarray, np.ndarray]]):
+        self.k, self.measure, self.found = k, measure, {}
+
+    def __call__(self, q: Side, b: Side) -> None:
+        key, allowed = self.measure(q, b)
+        was = self.found.get(int(q[0][0])) if len(q[0]) else None
+        if not key.size:
+            return
+        k = min(self.k, key.shape[1])
+        key = np.where(allowed, key, np.inf)
+        limit = np.partition(key, k - 1, axis=1)[:, k - 1]
+        if was is not None:
+            limit = np.minimum(limit, was[3])
+        rows, cols = np.nonzero(allowed & (key <= limit[:, None]))
+        keys, vids = key[rows, cols], b[0][cols]
+        if was is not None:
+            rows, keys, vids = (np.concatenate(x) for x in zip((rows, keys, vids), was[:3]))
+        order = np.lexsort((vids, keys, rows))
+        rows, keys, vids = rows[order], keys[order], vids[order]
+        starts = np.searchsorted(rows, np.arange(len(q[0])))
+        place = np.arange(len(rows)) - starts[rows]
+        keep = place < self.k
+        worst = np.full(len(q[0]), np.inf)
+        worst[rows[place == self.k - 1]] = keys[place == self.k - 1]
+        self.found[int(q[0][0])] = (rows[keep], keys[keep], vids[keep], worst, q[0])
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        for rows, keys, vids, _, qid in self.found.values():
+            yield pa.RecordBatch.from_arrays([pa.array(qid[rows]), pa.array(vids), pa.array(keys)], schema=MET)
+
+
+def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", exclude_self: bool = False, same: str | None = None, farthest: bool = False, within: float | None = None) -> DataFrame:
+    """qid, rank, vid, dist: for each query the k smallest distances, ties by vid; all rows if there are fewer than k.
+
+    base has vid, vec; queries have qid, vec, and a qid once. ``same`` names a column of both that must be equal; ``within`` is an
+    inclusive limit of distance; ``farthest`` takes the largest instead. Distances are rounded to ``DIGITS`` and ranked so.
+    """
+    parse_metric(metric)
+    if k <= 0:
+        return queries.sparkSession.createDataFrame([], "qid long, rank int, vid long, dist double")
+    more, sign = [same] if same else [], -1.0 if farthest else 1.0
+
+    def measure(q: Side, b: Side) -> tuple[np.ndarray, np.ndarray]:
+        d = np.round(block_distances(metric, q[1], b[1]), DIGITS) + 0.0
+        return sign * d, _allowed(q, b, d, exclude_self, within)
+
+    near = meet(base, queries, more, lambda: _Best(k, measure), "qid long, vid long, dist double", broadcast_side(queries, *more, kept=k))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("dist", "vid"))
+    near = near.withColumn("rank", rank).where(F.col("rank") <= k)
+    return near.select("qid", "rank", "vid", (sign * F.col("dist") + 0.0).alias("dist"))
+
+
+def range_join(base: DataFrame, queries: DataFrame, within: float, metric: str = "l2", exclude_self: bool = True) -> DataFrame:
+    """qid, vid, dist of all pairs within an inclusive distance."""
+    parse_metric(metric)
+
+    def pairs(q: Side, b: Side) -> pa.RecordBatch | None:
+        d = np.round(block_distances(metric, q[1], b[1]), DIGITS) + 0.0
+        rows, cols = np.nonzero(_allowed(q, b, d, exclude_self, within))
+        return pa.RecordBatch.from_arrays([pa.array(q[0][rows]), pa.array(b[0][cols]), pa.array(d[rows, cols])], schema=MET) if len(rows) else None
+
+    return meet(base, queries, [], lambda: pairs, "qid long, vid long, dist double", broadcast_side(queries))
+
+
+COUNTED = pa.schema([("qid", pa.int64()), ("n", pa.int64()), ("farthest", pa.float64())])
+
+
+def range_counts(base: DataFrame, queries: DataFrame, within: float, metric: str = "l2", exclude_self: bool = True) -> DataFrame:
+    """qid, n, farthest: how many rows lie within an inclusive distance of each query that has any, and the farthest of these."""
+    parse_metric(metric)
+
+    def count(q: Side, b: Side) -> pa.RecordBatch | None:
+        d = np.round(block_distances(metric, q[1], b[1]), DIGITS) + 0.0
+        allowed = _allowed(q, b, d, exclude_self, within)
+        n = allowed.sum(axis=1)
+        some = n > 0
+        far = np.where(allowed, d, -np.inf).max(axis=1, initial=-np.inf)
+        return pa.RecordBatch.from_arrays([pa.array(q[0][some]), pa.array(n[some]), pa.array(far[some])], schema=COUNTED) if some.any() else None
+
+    met = meet(base, queries, [], lambda: count, "qid long, n long, farthest double", broadcast_side(queries))
+    return met.groupBy("qid").agg(F.sum("n").alias("n"), F.max("farthest").alias("farthest"))

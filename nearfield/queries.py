@@ -1,6 +1,6 @@
 """Registered queries of the vector engine and their SQL.
 
-Queries are the vectors whose id is divisible by 20, against all vectors.
+Searches take the vectors whose id is divisible by 20 as queries, against all vectors; graphs have rows of every vector.
 """
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from nearfield.operators import edges, evaluate, layered, levels, probes, refine, search
-from nearfield.operators.knn import knn
+from nearfield.operators.knn import knn, range_counts
 from nearfield.plans.config import NetConfig
 from nearfield.sources.vectors import read_embeddings
 
@@ -17,12 +17,14 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 _SIDES = "b AS (SELECT vec_id AS vid, embedding::DOUBLE[] AS v, label FROM embeddings), q AS (SELECT vid AS qid, v AS qv, label AS qlabel FROM b WHERE vid % 20 = 0)"
+#: Every vector is a query.
+_ALL = _SIDES.replace(" WHERE vid % 20 = 0", "")
 _FORMULA = {"l2": "list_distance(qv, v)", "l2sqr": "list_distance(qv, v) * list_distance(qv, v)", "ip": "-list_inner_product(qv, v)", "cosine": "list_cosine_distance(qv, v)"}
 
 
-def _knn_sql(metric: str = "l2", k: int = K, where: str = "true", order: str = "ASC") -> str:
+def _knn_sql(metric: str = "l2", k: int = K, where: str = "true", order: str = "ASC", sides: str = _SIDES) -> str:
     """CTEs up to near(qid, rank, vid, dist)."""
-    return f"""{_SIDES}, pairs AS (SELECT qid, vid, round({_FORMULA[metric]}, 6) + 0.0 AS dist FROM q, b WHERE {where}),
+    return f"""{sides}, pairs AS (SELECT qid, vid, round({_FORMULA[metric]}, 6) + 0.0 AS dist FROM q, b WHERE {where}),
     near AS (SELECT qid, rank, vid, dist FROM (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY dist {order}, vid))::INT AS rank FROM pairs) WHERE rank <= {k})"""
 
 
@@ -31,6 +33,11 @@ def _sides(spark, sf_dir):
     return base, base.where("vid % 20 = 0").select(F.col("vid").alias("qid"), "vec", "label")
 
 
+def _all(spark, sf_dir):
+    base = read_embeddings(spark, sf_dir)
+    return base, base.select(F.col("vid").alias("qid"), "vec", "label")
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -61,7 +68,7 @@ def knn_filtered_label(spark, sf_dir):
 @query(f"WITH {_knn_sql(k=1 << 30, where='vid <> qid AND round(list_distance(qv, v), 6) <= 1.2')} SELECT qid, count(*)::BIGINT AS n, round(max(dist), 6) AS farthest FROM near GROUP BY qid")
 def range_join_counts(spark, sf_dir):
     base, asked = _sides(spark, sf_dir)
-    return knn(base, asked, 1 << 30, exclude_self=True, within=1.2).groupBy("qid").agg(F.count("*").alias("n"), F.round(F.max("dist"), 6).alias("farthest"))
+    return range_counts(base, asked, 1.2)
 
 
 @query("WITH b AS (SELECT unnest(embedding)::DOUBLE AS x, unnest(range(0, 64))::INT AS pos FROM embeddings) SELECT pos, round(avg(x), 6) + 0.0 AS value FROM b GROUP BY pos")
@@ -104,9 +111,9 @@ def lid_rve(spark, sf_dir):
     return probes.intrinsic_dimension(*_sides(spark, sf_dir), (50, 75, 100))
 
 
-@query(f"WITH {_knn_sql(k=5, where='vid <> qid')}, fifth AS (SELECT 5 AS nth, dist FROM near WHERE rank = 5) {_quantile_sql('fifth', 'nth', (0.0, 0.5, 0.9))}")
+@query(f"WITH {_knn_sql(k=5, where='vid <> qid', sides=_ALL)}, fifth AS (SELECT 5 AS nth, dist FROM near WHERE rank = 5) {_quantile_sql('fifth', 'nth', (0.0, 0.5, 0.9))}")
 def radius_rank_quantile(spark, sf_dir):
-    rows = knn(*_sides(spark, sf_dir), 5, exclude_self=True).where("rank = 5").select(F.lit(5).alias("nth"), "dist")
+    rows = knn(*_all(spark, sf_dir), 5, exclude_self=True).where("rank = 5").select(F.lit(5).alias("nth"), "dist")
     return probes.floor_quantiles(rows, "dist", ["nth"], (0.0, 0.5, 0.9))
 
 
@@ -117,32 +124,30 @@ def pair_distances(spark, sf_dir):
     return probes.pair_distances(base, (F.col("vid") * 7919 + 13) % F.lit(base.count()))
 
 
-_EVEN = f"""{_knn_sql(where='true')}, found AS (SELECT qid, vid, dist, (row_number() OVER (PARTITION BY qid ORDER BY dist, vid))::INT AS rank FROM pairs WHERE vid % 2 = 0 AND vid <> qid)"""
+# the search of one partition: the nearest among vectors of the query's label
+_PROBED = "found AS (SELECT qid, vid, dist, (row_number() OVER (PARTITION BY qid ORDER BY dist, vid))::INT AS rank FROM (SELECT qid, vid, round(list_distance(qv, v), 6) AS dist FROM q, b WHERE label = qlabel AND {}))"
 
 
-def _found(spark, sf_dir):
-    """A poorer answer: the neighbours of even id."""
-    base, asked = _sides(spark, sf_dir)
-    return knn(base.where("vid % 2 = 0"), asked, K, exclude_self=True), knn(base, asked, K, exclude_self=False)
-
-
-@query(f"WITH {_EVEN} SELECT round(count(f.vid) / ((SELECT count(*) FROM q) * 10.0), 6) AS recall FROM near t JOIN (SELECT * FROM found WHERE rank <= 10) f ON t.qid = f.qid AND t.vid = f.vid")
+@query(f"WITH {_knn_sql()}, {_PROBED.format('true')} SELECT round(count(f.vid) / ((SELECT count(*) FROM q) * 10.0), 6) AS recall FROM near t JOIN (SELECT * FROM found WHERE rank <= 10) f ON t.qid = f.qid AND t.vid = f.vid")
 def recall_at_k(spark, sf_dir):
-    return evaluate.recall_at_k(*_found(spark, sf_dir), K)
+    """Recall of the search of one partition."""
+    base, asked = _sides(spark, sf_dir)
+    return evaluate.recall_at_k(knn(base, asked, K, same="label"), knn(base, asked, K), K)
 
 
-@query(f"""WITH {_knn_sql(k=2, where='vid <> qid')}, found AS (SELECT qid, dist FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, vid) AS r FROM pairs WHERE vid % 2 = 0) WHERE r = 1)
-SELECT round(avg(f.dist / t.dist), 6) AS adr FROM near t JOIN found f ON t.qid = f.qid WHERE t.rank = 1 AND t.dist > 0""")
+@query(f"WITH {_knn_sql(k=1, where='vid <> qid')}, {_PROBED.format('vid <> qid')} SELECT round(avg(f.dist / t.dist), 6) AS adr FROM near t JOIN found f ON t.qid = f.qid WHERE f.rank = 1 AND t.dist > 0")
 def adr_at_1(spark, sf_dir):
+    """Distance ratio of the search of one partition."""
     base, asked = _sides(spark, sf_dir)
-    return evaluate.distance_ratio_at_1(knn(base.where("vid % 2 = 0"), asked, 1, exclude_self=True), knn(base, asked, 1, exclude_self=True))
+    return evaluate.distance_ratio_at_1(knn(base, asked, 1, exclude_self=True, same="label"), knn(base, asked, 1, exclude_self=True))
 
 
-_EDGES = f"{_knn_sql(where='vid <> qid')}, e AS (SELECT qid AS src, vid AS dst, dist FROM near)"
+_EDGES = f"{_knn_sql(where='vid <> qid', sides=_ALL)}, e AS (SELECT qid AS src, vid AS dst, dist FROM near)"
 
 
 def _edges(spark, sf_dir):
-    near = knn(*_sides(spark, sf_dir), K, exclude_self=True)
+    """The exact graph of ten neighbours, a row for every vertex."""
+    near = knn(*_all(spark, sf_dir), K, exclude_self=True)
     return near.select(F.col("qid").alias("src"), F.col("vid").alias("dst"), "dist", F.lit(False).alias("is_new"))
 
 
@@ -176,10 +181,20 @@ def index_size(spark, sf_dir):
     return _edges(spark, sf_dir).agg(F.count("*").alias("edges"), (F.count("*") * 4).alias("bytes"))
 
 
-@query()
+def _pruned_sql(candidates: str, undone: str) -> str:
+    """CTE st(p, q, rk, state) over c(p, q, d, v, rk): candidates are decided from near to far, 1 stays and 2 goes."""
+    return f"""{candidates}, st(p, q, rk, state) USING KEY (p, q) AS (SELECT p, q, rk, CASE WHEN rk = 1 THEN 1 ELSE 0 END FROM c
+    UNION ALL SELECT n.p, n.q, n.rk, CASE WHEN EXISTS (SELECT 1 FROM recurring.st k JOIN c kc ON kc.p = k.p AND kc.q = k.q WHERE k.p = n.p AND k.state = 1 AND list_distance(kc.v, nc.v) < {undone}) THEN 2 ELSE 1 END
+    FROM (SELECT p, min(rk) AS rk FROM recurring.st WHERE state = 0 GROUP BY p) u JOIN recurring.st n ON n.p = u.p AND n.rk = u.rk JOIN c nc ON nc.p = n.p AND nc.q = n.q)"""
+
+
+_CANDIDATES = f"{_knn_sql(k=50, where='vid <> qid', sides=_ALL)}, c AS MATERIALIZED (SELECT qid AS p, near.vid AS q, dist AS d, v, rank AS rk FROM near JOIN b ON b.vid = near.vid)"
+
+
+@query(f"WITH RECURSIVE {_pruned_sql(_CANDIDATES, 'nc.d')} SELECT st.p AS src, st.q AS dst, c.d AS dist FROM st JOIN c ON c.p = st.p AND c.q = st.q WHERE state = 1")
 def prune_pivots(spark, sf_dir):
-    """Relative-neighbourhood pruning of each query's 50 nearest."""
-    base, asked = _sides(spark, sf_dir)
+    """Relative-neighbourhood pruning of each vector's 50 nearest."""
+    base, asked = _all(spark, sf_dir)
     near = knn(base, asked, 50, exclude_self=True).select(F.col("qid").alias("src"), F.col("vid").alias("dst"), "dist")
     return edges.prune(near, base)
 
@@ -214,12 +229,12 @@ def level_histogram(spark, sf_dir):
     return levels.histogram(_weighed(spark, sf_dir)[1].withColumnRenamed("weight", "highest_level"))
 
 
-@query(f"""WITH {_SIDES}, {_WEIGHTS}, p AS (SELECT qid, b.vid, round(list_distance(qv, v), 6) + 0.0 AS dist, weight FROM q, b JOIN w ON b.vid = w.vid WHERE b.vid <> qid),
+@query(f"""WITH {_ALL}, {_WEIGHTS}, p AS (SELECT qid, b.vid, round(list_distance(qv, v), 6) + 0.0 AS dist, weight FROM q, b JOIN w ON b.vid = w.vid WHERE b.vid <> qid),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, vid) AS r, row_number() OVER (PARTITION BY qid, weight ORDER BY dist, vid) AS rw FROM p)
 SELECT qid AS src, vid AS dst, dist FROM r WHERE r <= 5 OR rw <= 5""")
 def weighted_graph(spark, sf_dir):
     base, weighed, most = _weighed(spark, sf_dir)
-    return levels.weighted_graph(base, _sides(spark, sf_dir)[1], weighed, most, 5)
+    return levels.weighted_graph(base, _all(spark, sf_dir)[1], weighed, most, 5)
 
 
 @query()
