@@ -31,8 +31,10 @@ END = 1
 BUCKETS, DIMS, BITS, SEED = 256, 4, 8, 29
 #: Words remembered by a worker; beyond it those are forgotten that the slice at hand does not have.
 REMEMBER = 400_000
+#: Words that are encoded at once.
+TOGETHER = 10_000
 #: Bytes of text in a slice: the larger, the fewer words are looked up again.
-SLICE = 4 << 20
+SLICE = 3 << 20
 #: Tokens of a range: what a task packs.
 RANGE_TOKENS = 4 << 20
 
@@ -69,7 +71,11 @@ class Encoder:
         return [found.ids for found in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Number of ids of each word, and the ids end to end."""
+        """Number of ids of each word, and the ids end to end; ``TOGETHER`` words at a time, for the tokenizer takes much memory for each."""
+        parts = [self._encode_some(words[at : at + TOGETHER]) for at in range(0, len(words), TOGETHER)]
+        return np.concatenate([sizes for sizes, _ in parts]), np.concatenate([ids for _, ids in parts])
+
+    def _encode_some(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         letters = np.fromiter(map(str.isalpha, words), bool, len(words))
         sizes, parts = np.zeros(len(words), np.int64), [None, None]
         for at, rows in enumerate((np.flatnonzero(letters), np.flatnonzero(~letters))):
