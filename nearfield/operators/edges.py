@@ -39,23 +39,45 @@ def threshold(d, rule: str, alpha: float, shift: float):
     return {"origin": d, "scaled": d / alpha, "shifted": d - shift, "scaled_shifted": d / alpha - shift}[rule]
 
 
-def prune(candidates: DataFrame, vectors: DataFrame, alpha: float = 1.0, shift: float = 0.0, rule: str = "scaled", degree: int | None = None) -> DataFrame:
+def prune(candidates: DataFrame, vectors: DataFrame, alpha: float = 1.0, shift: float = 0.0, rule: str = "scaled", degree: int | None = None, skip_old: bool = False) -> DataFrame:
     """Relative-neighbourhood pruning: candidates of a pivot from near to far; one goes if a kept one is nearer to it than its threshold.
 
-    A pivot's candidates are bounded by what made them (a degree or k); each group is one small matrix. Distances are l2.
+    A pivot's candidates are bounded by what made them (a degree, k or a radius); each group is one small matrix. Distances are l2.
+    With ``skip_old`` two candidates that are both not ``is_new`` are not compared again.
     """
-    rows = candidates.join(vectors.select(F.col("vid").alias("dst"), "vec"), "dst").select("src", "dst", "dist", "vec")
+    new = F.col("is_new") if skip_old else F.lit(True).alias("is_new")
+    rows = candidates.join(vectors.select(F.col("vid").alias("dst"), "vec"), "dst").select("src", "dst", "dist", new, "vec")
 
     def keep(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["dist", "dst"])
         v = np.stack(group["vec"].to_numpy()).astype(np.float64)
-        d, kept = group["dist"].to_numpy(), []
+        d, new, kept = group["dist"].to_numpy(), group["is_new"].to_numpy(), []
         for c in range(len(d)):
             if degree is not None and len(kept) >= degree:
                 break
-            gap = v[kept] - v[c]
-            if not kept or np.sqrt((gap * gap).sum(axis=1)).min() >= threshold(d[c], rule, alpha, shift):
+            tried = kept if new[c] else [w for w in kept if new[w]]
+            gap = v[tried] - v[c]
+            if not tried or np.sqrt((gap * gap).sum(axis=1)).min() >= threshold(d[c], rule, alpha, shift):
                 kept.append(c)
         return group.iloc[kept][["src", "dst", "dist"]]
 
     return rows.groupBy("src").applyInPandas(keep, "src long, dst long, dist double")
+
+
+def row_faults(edges: DataFrame, vertices: int, degree: int | None = None) -> DataFrame:
+    """One row of counts that a sound graph has at 0: loops, repeats, outside, not_numbers, and rows longer than ``degree``."""
+    rows = edges.groupBy("src", "dst").agg(F.count("*").alias("n"), F.max(F.isnan("dist") | F.col("dist").isNull()).alias("bad"))
+    ends = (F.least("src", "dst") < 0) | (F.greatest("src", "dst") >= vertices)
+    counts = rows.agg(F.count_if(F.col("src") == F.col("dst")).alias("loops"), F.count_if(F.col("n") > 1).alias("repeats"), F.count_if(ends).alias("outside"), F.count_if("bad").alias("not_numbers"))
+    long = edges.groupBy("src").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > degree).alias("too_long") if degree is not None else F.lit(0).cast("long").alias("too_long"))
+    return counts.join(F.broadcast(long))  # one row
+
+
+def written_back(edges: DataFrame, level: int, upper: int, bottom: int) -> DataFrame:
+    """level, src, dst, dist: a flat graph as a layer, rows cut to the capacity of the level."""
+    return truncate(edges, upper if level else bottom).select(F.lit(level).alias("level"), "src", "dst", "dist")
+
+
+def taken_from(layers: DataFrame, level: int, degree: int) -> DataFrame:
+    """src, dst, dist, is_new: a layer as a flat graph whose edges are old, rows cut to ``degree``."""
+    return truncate(layers.where(F.col("level") == level).select("src", "dst", "dist", F.lit(False).alias("is_new")), degree)

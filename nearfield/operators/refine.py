@@ -7,11 +7,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.distance import distance
-from nearfield.operators.edges import merge_logs, prune, reverse, truncate
+from nearfield.operators.edges import merge_logs, prune, reverse, symmetric, truncate
 from nearfield.operators.search import beam
 from nearfield.sources.snapshots import cut
 
@@ -68,9 +68,9 @@ def triangle(edges: DataFrame, vectors: DataFrame, alpha: float = 1.0, shift: fl
 
 
 def routed(edges: DataFrame, vectors: DataFrame, width: int) -> DataFrame:
-    """Each vertex searches from its own row; what it finds is merged into it."""
+    """Each vertex searches from its own row, over edges both ways; what it finds is merged into its row."""
     queries = vectors.select(F.col("vid").alias("qid"), "vec")
-    found = beam(queries, edges, vectors, edges.select(F.col("src").alias("qid"), F.col("dst").alias("vid")), width)
+    found = beam(queries, cut(symmetric(edges)), vectors, edges.select(F.col("src").alias("qid"), F.col("dst").alias("vid")), width)
     logs = found.where("qid <> vid").select(F.col("qid").alias("src"), F.col("vid").alias("dst"), "dist", F.lit(True).alias("is_new"))
     return merge_logs(edges, logs)
 
@@ -95,6 +95,53 @@ def knn_graph(vectors: DataFrame, degree: int, loops: int = 3, triangles: int =
     return edges
 
 
+def symmetric_graph(vectors: DataFrame, degree: int, **options) -> DataFrame:
+    """The approximate graph of nearest neighbours with every edge also back, not truncated."""
+    return cut(symmetric(knn_graph(vectors, degree, **options)))
+
+
+def topped_up(edges: DataFrame, vectors: DataFrame, target: int, seed: int = 0, only: DataFrame | None = None) -> DataFrame:
+    """Random edges, as new ones, for vertices whose rows are shorter than ``target``; of those in ``only`` (vid) if given."""
+    size = edges.groupBy("src").agg(F.count("*").alias("_size"))
+    short = vectors.select(F.col("vid").alias("src")).join(size, "src", "left").where(F.coalesce("_size", F.lit(0)) < target)
+    if only is not None:
+        short = short.join(only.select(F.col("vid").alias("src")), "src", "left_semi")
+    drawn = random_graph(vectors, target, seed).join(short.withColumn("_short", target - F.coalesce("_size", F.lit(0))), "src")
+    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.xxhash64("dst")))
+    logs = drawn.withColumn("_rank", rank).where("_rank <= _short").select("src", "dst", "dist", "is_new")
+    return merge_logs(edges, logs)
+
+
+def profiled(build, loops: int, evaluate) -> list:
+    """What ``evaluate`` says of the graph after each number of loops, from one to ``loops``: ``build`` takes that number."""
+    return [evaluate(build(k)) for k in range(1, loops + 1)]
+
+
+def refine_layer(members: DataFrame, degree: int, alpha: float, shift: float, loops: int, triangles: int, routing: int = 1, prefill: float = 1.0, seed: int = 0, edges: DataFrame | None = None, fresh: DataFrame | None = None, width: int | None = None) -> DataFrame:
+    """One layer of a layered graph, by supersteps on rows half as long again as ``degree``; then cut back to it.
+
+    Starts from ``edges`` with random ones for ``fresh`` vertices (all, if there are no edges yet).
+    """
+    wide = degree + degree // 2
+    if edges is None:
+        edges = random_graph(members, max(1, int(wide * prefill)), seed)
+    else:
+        edges = topped_up(edges, members, max(1, int(wide * prefill)), seed, fresh)
+    edges = cut(edges)
+    for loop in range(loops):
+        for _ in range(triangles):
+            edges = truncate(triangle(edges, members, alpha, shift), wide)
+        if loop + 1 < loops:
+            edges = merge_logs(edges, reverse(edges))
+        edges = cut(truncate(edges, wide))
+    for turn in range(routing):
+        edges = prune(routed(edges, members, width or wide), members, alpha, rule="scaled").withColumn("is_new", F.lit(False))
+        if turn + 1 < routing:
+            edges = truncate(merge_logs(edges, reverse(edges)), wide)
+        edges = cut(edges)
+    return cut(truncate(edges, degree))
+
+
 def convergent_graph(vectors: DataFrame, degree: int, alpha: float = 1.05, shift: float = 0.0, loops: int = 2, triangles: int = 2, routing: int = 1, seed: int = 0) -> DataFrame:
     """A pruned graph for search: refined random graph; then searches from each row, pruning, and edges back."""
     edges = refine(cut(random_graph(vectors, degree, seed)), vectors, degree, alpha, shift, loops, triangles)

@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from nearfield.operators import edges, evaluate, layered, levels, probes, refine, search
+from nearfield.operators import edges, evaluate, exact, increments, layered, levels, probes, refine, rnets, search
 from nearfield.operators.knn import knn, range_counts
-from nearfield.plans.config import NetConfig
-from nearfield.sources.vectors import read_embeddings
+from nearfield.plans.config import NetConfig, PruneConfig, early_stop, edge_ratio, layer_capacity
+from nearfield.sources.vectors import read_embeddings, subset_of_ids
 
 K = 10
 QUERIES: dict = {}
@@ -237,10 +237,166 @@ def weighted_graph(spark, sf_dir):
     return levels.weighted_graph(base, _all(spark, sf_dir)[1], weighed, most, 5)
 
 
-@query()
+# nets and the exact index are of the first three coordinates: in all of them distances lie too close together
+_LOW = "low AS MATERIALIZED (SELECT vec_id AS vid, embedding[1:3]::DOUBLE[] AS v FROM embeddings)"
+NET, PRUNING = NetConfig(2.0, 1.0, 0.01), PruneConfig(2.0, 0.5, 0.01)
+TOP = 3
+
+
+def _low(spark, sf_dir):
+    return read_embeddings(spark, sf_dir).select("vid", F.slice("vec", 1, 3).alias("vec"))
+
+
+def _net_sql(level: int) -> str:
+    """CTE f<level>(vid, d, picked): the farthest-first net of the members m<level - 1>(vid, v), and m<level> of its centres."""
+    f, m, radius = f"f{level}", f"m{level - 1}", NET.radius(level)
+    return f"""{f}(vid, d, picked) USING KEY (vid) AS (SELECT x.vid, CASE WHEN x.vid = s.vid THEN 0.0 ELSE round(list_distance(x.v, s.v), 6) END, x.vid = s.vid FROM {m} x, (SELECT vid, v FROM {m} ORDER BY vid LIMIT 1) s
+    UNION ALL SELECT n.vid, least(n.d, round(list_distance(x.v, cv.v), 6)), n.picked OR n.vid = c.vid FROM (SELECT vid FROM recurring.{f} WHERE d > {radius} ORDER BY d DESC, vid LIMIT 1) c JOIN {m} cv ON cv.vid = c.vid, recurring.{f} n JOIN {m} x ON x.vid = n.vid),
+    m{level} AS MATERIALIZED (SELECT x.vid, v FROM {m} x JOIN {f} n ON n.vid = x.vid WHERE picked)"""
+
+
+_NETS = f"{_LOW}, m0 AS (SELECT vid, v FROM low), {', '.join(_net_sql(h) for h in range(1, TOP + 1))}"
+_LEVELS = f"levels AS (SELECT low.vid, ({' + '.join(f'(low.vid IN (SELECT vid FROM m{h}))::INT' for h in range(1, TOP + 1))})::INT AS highest_level FROM low)"
+
+
+@query(f"WITH RECURSIVE {_NETS}, {_LEVELS} SELECT vid, highest_level FROM levels")
+def rnet_levels_fps(spark, sf_dir):
+    """Highest level of each vector in farthest-first nets of growing radius."""
+    return rnets.net_levels(_low(spark, sf_dir), NET, TOP)
+
+
+@query(f"SELECT unnest(range(1, {TOP + 1}))::INT AS level, 0::BIGINT AS crowded, 0::BIGINT AS uncovered")
+def rnet_invariants(spark, sf_dir):
+    """Violations of packing and covering in the nets of both rules, added up: none."""
+    low = _low(spark, sf_dir)
+    both = [rnets.violations(low, rnets.net_levels(low, NET, TOP, order), NET) for order in (None, F.xxhash64("vid"))]
+    return both[0].unionByName(both[1]).groupBy("level").agg(F.sum("crowded").alias("crowded"), F.sum("uncovered").alias("uncovered"))
+
+
+_ORDERED = """o AS MATERIALIZED (SELECT vec_id AS vid, embedding::DOUBLE[] AS v, (vec_id * 7919 + 13) % 1000003 AS place FROM embeddings),
+n(vid, state) USING KEY (vid) AS (SELECT vid, 0 FROM o
+UNION ALL SELECT x.vid, CASE WHEN x.vid = c.vid THEN 1 ELSE 2 END FROM (SELECT o.vid, o.v FROM recurring.n r JOIN o ON o.vid = r.vid WHERE state = 0 ORDER BY place, o.vid LIMIT 1) c, recurring.n r JOIN o x ON x.vid = r.vid WHERE r.state = 0 AND round(list_distance(x.v, c.v), 6) <= 1.2)"""
+
+
+@query(f"WITH RECURSIVE {_ORDERED} SELECT vid, (state = 1)::INT AS highest_level FROM n")
 def net_levels(spark, sf_dir):
-    """Highest level of each vector in nets of growing radius."""
-    return levels.net_levels(read_embeddings(spark, sf_dir), NetConfig(1.2, 1.0, 0.5), 6)
+    """Highest level of each vector in a net of all coordinates, members taken in a given order."""
+    return rnets.net_levels(read_embeddings(spark, sf_dir), NetConfig(2.0, 0.0, 1.2), 1, (F.col("vid") * 7919 + 13) % 1000003)
+
+
+_THRESHOLDS = [(h, NET.radius(h), edge_ratio(h, NET, PRUNING), early_stop(h, NET, PRUNING) if h else 0.0, layer_capacity(h, 128)) for h in range(TOP + 1)]
+_LISTED = ", ".join(f"({h}, {r!r}::DOUBLE, {e!r}::DOUBLE, {t!r}::DOUBLE, {c}::BIGINT)" for h, r, e, t, c in _THRESHOLDS)
+
+
+@query(f"WITH RECURSIVE {_NETS}, {_LEVELS}, t(level, radius, ratio, stop, capacity) AS (VALUES {_LISTED}) SELECT level, radius, ratio, stop, capacity, (SELECT count(*) FROM levels WHERE highest_level >= level)::BIGINT AS members FROM t")
+def rnet_thresholds(spark, sf_dir):
+    """Each level of the nets: its radius, edge ratio, early stop and row capacity, and how many members it has."""
+    known = spark.createDataFrame(_THRESHOLDS, "level int, radius double, ratio double, stop double, capacity long")
+    apexes = levels.histogram(rnets.net_levels(_low(spark, sf_dir), NET, TOP))  # a row a level
+    rows = known.join(F.broadcast(apexes), F.col("highest_level") >= F.col("level"), "left")
+    return rows.groupBy("level", "radius", "ratio", "stop", "capacity").agg(F.coalesce(F.sum("vertices"), F.lit(0)).alias("members"))
+
+
+_CUTOFFS = [edge_ratio(h, NET, PRUNING) * NET.radius(h) for h in range(TOP + 1)]
+
+
+@query(f"WITH {_LOW} SELECT x.vid AS src, y.vid AS dst, round(list_distance(x.v, y.v), 6) AS dist FROM low x, low y WHERE x.vid <> y.vid AND round(list_distance(x.v, y.v), 6) <= {_CUTOFFS[0]!r}::DOUBLE")
+def arc_candidates(spark, sf_dir):
+    """Bottom candidates of the exact index: all pairs within the longest edge of the level."""
+    return exact.arc_candidates(_low(spark, sf_dir), 0, NET, PRUNING)
+
+
+def _exact_sql() -> str:
+    pairs = " UNION ALL ".join(f"SELECT {h} AS level, x.vid AS src, y.vid AS q, round(list_distance(x.v, y.v), 6) AS d, y.v FROM m{h} x, m{h} y WHERE x.vid <> y.vid AND round(list_distance(x.v, y.v), 6) <= {_CUTOFFS[h]!r}::DOUBLE" for h in range(TOP + 1))
+    shift = (PRUNING.alpha + 1) * PRUNING.tau * PRUNING.rho / PRUNING.alpha
+    candidates = f"{_NETS}, c AS MATERIALIZED (SELECT (level, src) AS p, level, src, q, d, v, (row_number() OVER (PARTITION BY level, src ORDER BY d, q))::INT AS rk FROM ({pairs}))"
+    limit = f"nc.d / {PRUNING.alpha!r}::DOUBLE - CASE WHEN nc.level = 0 THEN {shift!r}::DOUBLE ELSE 0 END"
+    return f"WITH RECURSIVE {_pruned_sql(candidates, limit)} SELECT c.level, c.src, c.q AS dst, c.d AS dist FROM st JOIN c ON c.p = st.p AND c.q = st.q WHERE state = 1"
+
+
+@query(_exact_sql())
+def exact_layers(spark, sf_dir):
+    """All layers of the exact index over farthest-first nets."""
+    low = _low(spark, sf_dir)
+    return exact.build(low, rnets.net_levels(low, NET, TOP), NET, PRUNING)[0]
+
+
+@query(f"WITH {_knn_sql(k=7, where='vid <> qid', sides=_ALL)} SELECT * FROM near")
+def knn_self_graph(spark, sf_dir):
+    return knn(*_all(spark, sf_dir), 7, exclude_self=True)
+
+
+@query(f"WITH {_knn_sql(k=12)}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, vid) AS r FROM near) {_quantile_sql('near', 'rank', probes.QUANTILES)}")
+def probe_query(spark, sf_dir):
+    """Quantiles over queries of the distances to a given truth, whose distances are computed anew."""
+    base, asked = _sides(spark, sf_dir)
+    return probes.query_probe(knn(base, asked, 12).select("qid", "vid"), base, asked)
+
+
+_PAIRS = "WITH b AS (SELECT vec_id AS vid, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT count(*) AS n FROM embeddings), d AS (SELECT 1 AS one, round(list_distance(x.v, y.v), 6) AS dist FROM b x, n, b y WHERE y.vid = (x.vid * 7919 + 13) % n.n)"
+
+
+@query(f"{_PAIRS} SELECT quantile, dist FROM ({_quantile_sql('d', 'one', probes.PAIR_QUANTILES)})")
+def pair_distance_quantiles(spark, sf_dir):
+    base = read_embeddings(spark, sf_dir)
+    return probes.pair_quantiles(probes.pair_distances(base, (F.col("vid") * 7919 + 13) % F.lit(base.count())))
+
+
+@query(f"WITH {_EDGES}, s AS (SELECT src, dst, dist FROM e UNION ALL SELECT dst, src, dist FROM e WHERE dist <= 1.2) SELECT src, dst, min(dist) AS dist, bool_and(is_new) AS is_new FROM (SELECT src, dst, dist, false AS is_new FROM e UNION ALL SELECT dst, src, dist, true FROM e WHERE dist <= 1.2) GROUP BY src, dst")
+def merge_logs(spark, sf_dir):
+    """Edges back that are short, merged into the rows; what was there stays old."""
+    rows = _edges(spark, sf_dir)
+    return edges.merge_logs(rows, edges.reverse(rows.where("dist <= 1.2")))
+
+
+@query("SELECT 0::BIGINT AS loops, 0::BIGINT AS repeats, 0::BIGINT AS outside, 0::BIGINT AS not_numbers, 0::BIGINT AS too_long")
+def row_checks(spark, sf_dir):
+    """Faults of the exact neighbour graph's rows: none."""
+    return edges.row_faults(_edges(spark, sf_dir), read_embeddings(spark, sf_dir).count(), K)
+
+
+@query("SELECT vec_id * 3 + 1 AS pos, vec_id AS vid, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings")
+def subset_by_ids(spark, sf_dir):
+    """Vectors gathered by a list of ids."""
+    base = read_embeddings(spark, sf_dir)
+    rows = subset_of_ids(base, base.select((F.col("vid") * 3 + 1).alias("pos"), "vid"))
+    return rows.select("pos", "vid", F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("total"))
+
+
+@query(f"WITH {_knn_sql()} SELECT * FROM near")
+def search_complete_graph(spark, sf_dir):
+    """Search on a graph of all edges finds the exact neighbours."""
+    base, asked = _sides(spark, sf_dir)
+    every = base.select(F.col("vid").alias("src")).join(base.select(F.col("vid").alias("dst")), F.col("src") != F.col("dst"))
+    entries = search.strided_entries(asked, base.select("vid"), 3)
+    return search.search_flat(asked, every, base, entries, K, K)
+
+
+@query("SELECT true AS recall_is_high, 0::BIGINT AS loops, 0::BIGINT AS repeats, 0::BIGINT AS outside, 0::BIGINT AS not_numbers, 0::BIGINT AS too_long")
+def flagship_checks(spark, sf_dir):
+    """The layered graph over nets, refined: recall of its search with early stop is 0.9 at least, and its bottom rows are sound."""
+    base, asked = _sides(spark, sf_dir)
+    net = NetConfig(1.1, 0.0, 1.15)
+    levels_of = rnets.net_levels(base, net, 2, F.xxhash64("vid"))
+    layers, entry, top = layered.refined(base, levels_of, 16, 32, 1.05, loops=1, routing=1)
+    stops = {h: early_stop(h, NetConfig(1.1, 0.0, 0.001), PruneConfig(1.5, 0.0, 0.001)) for h in range(1, top + 1)}
+    found = search.search_layered(asked, layers, base, entry, top, K, 40, stops=stops)
+    recall = evaluate.recall_at_k(found, knn(base, asked, K), K).select((F.col("recall") >= 0.9).alias("recall_is_high"))
+    return recall.join(F.broadcast(edges.row_faults(layers.where("level = 0"), base.count(), 32)))  # one row each
+
+
+@query("SELECT true AS recall_is_high, count(*)::BIGINT AS vertices FROM embeddings")
+def insert_batches(spark, sf_dir):
+    """A graph grown by two batches: recall of its search is 0.9 at least, and it has every vertex."""
+    base, asked = _sides(spark, sf_dir)
+    none = base.select("vid", "vec").limit(0)
+    graph, vectors = edges.truncate(knn(none, none.withColumnRenamed("vid", "qid"), 1).select(F.col("qid").alias("src"), F.col("vid").alias("dst"), "dist"), 1), none
+    for share in (0, 1):
+        graph, vectors = increments.add_vertices(graph, vectors, base.where(F.col("vid") % 2 == share).select("vid", "vec"), 24)
+    entries = asked.select("qid").join(F.broadcast(probes.medoid(vectors).select("vid")))  # one row
+    found = search.search_flat(asked, graph, vectors, entries, K, 60)
+    recall = evaluate.recall_at_k(found, knn(base, asked, K), K).select((F.col("recall") >= 0.9).alias("recall_is_high"))
+    return recall.join(F.broadcast(graph.agg(F.count_distinct("src").alias("vertices"))))  # one row each
 
 
 @query()

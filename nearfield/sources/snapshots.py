@@ -10,13 +10,19 @@ from pyspark.sql import functions as F
 
 VERSION = 1
 EDGES = "src long, dst long, dist double"
+LAYERS, LEVELS = f"level int, {EDGES}", "vid long, highest_level int"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder named by ``spark.checkpoint.dir``; a temporary one only if that is unset."""
+    """A reliable checkpoint in the folder named by ``spark.checkpoint.dir``; in a temporary one, where that is unset, only on one machine."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="nearfield-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = "file://" + tempfile.mkdtemp(prefix="nearfield-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -40,6 +46,39 @@ def load_graph(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, di
     return edges, about
 
 
+def save_layered(layers: DataFrame, levels: DataFrame, entry: int, path: str, kind: str, caps: tuple[int, int] | None = None, **parameters) -> None:
+    """A layered graph: level, src, dst, dist; vid, highest_level; the entry; capacities of upper and bottom rows, if there are any."""
+    spark = layers.sparkSession
+    layers.select("level", "src", "dst", "dist").write.mode("overwrite").parquet(f"{path}/layers")
+    levels.select("vid", "highest_level").write.mode("overwrite").parquet(f"{path}/levels")
+    stored = spark.read.schema(LEVELS).parquet(f"{path}/levels")
+    vertices, top = stored.agg(F.count("*"), F.max("highest_level")).first()
+    edges = spark.read.schema(LAYERS).parquet(f"{path}/layers").count()
+    about = {"version": VERSION, "kind": kind, "vertices": vertices, "edges": edges, "top": top or 0, "entry": entry, "caps": caps, "parameters": parameters}
+    spark.createDataFrame([(json.dumps(about, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+
+
+def load_layered(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, DataFrame, dict]:
+    """(layers, levels, metadata); an error if they do not agree: version, kind, counts, ids, levels, capacities or the entry."""
+    about = json.loads(spark.read.text(f"{path}/metadata").first()[0])
+    if about["version"] != VERSION or about["kind"] != kind:
+        raise ValueError(f"not a {kind} graph of version {VERSION}: {about['kind']}, {about['version']}")
+    layers, levels = spark.read.schema(LAYERS).parquet(f"{path}/layers"), spark.read.schema(LEVELS).parquet(f"{path}/levels")
+    n, low, high, most, apex = levels.agg(F.count("*"), F.min("vid"), F.max("vid"), F.max("highest_level"), F.max(F.when(F.col("vid") == about["entry"], F.col("highest_level")))).first()
+    if n != about["vertices"] or n and (low < 0 or high >= n or most != about["top"] or apex != about["top"]):
+        raise ValueError("the snapshot is damaged: vertices, levels or the entry are not what was saved")
+    ends = layers.select("level", F.explode(F.array("src", "dst")).alias("vid")).join(levels, "vid", "left")
+    outside = ends.where(F.coalesce((F.col("highest_level") < F.col("level")) | (F.col("level") < 0), F.lit(True)))
+    if layers.count() != about["edges"] or not outside.isEmpty():
+        raise ValueError("the snapshot is damaged: edges are missing or lead outside their level")
+    if about["caps"]:
+        upper, bottom = about["caps"]
+        size = layers.groupBy("level", "src").agg(F.count("*").alias("n"))
+        if not size.where(F.col("n") > F.when(F.col("level") > 0, upper).otherwise(bottom)).isEmpty():
+            raise ValueError("the snapshot is damaged: a row is longer than its capacity")
+    return layers, levels, about
+
+
 def register(spark: SparkSession, registry: str, algorithm: str, parameters: dict, path: str) -> None:
     """Adds an entry; one of the same algorithm and parameters takes its place."""
     key = json.dumps(parameters, sort_keys=True)

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from nearfield.operators import layered, levels, refine, search
 from nearfield.operators.knn import knn
-from nearfield.plans.config import NetConfig
 from nearfield.sources import snapshots
 
 POINTS = np.random.default_rng(3).normal(size=(70, 4)).astype(np.float32)
@@ -69,21 +68,7 @@ def test_graphs(base):
     assert found.join(knn(base, asked(base), 5), ["qid", "vid"]).count() >= 0.9 * found.count() > 0
 
 
-@pytest.mark.parametrize("batch", [5, 4096])
-def test_net_against_one_at_a_time(spark, base, batch, monkeypatch):
-    monkeypatch.setattr(levels, "BATCH", batch)
-    order = [r.vid for r in base.orderBy(F.xxhash64(F.lit(0), "vid"), "vid").collect()]
-    chosen = []
-    for v in order:
-        if all(np.linalg.norm(POINTS[v].astype(float) - POINTS[c]) > 2.5 for c in chosen):
-            chosen.append(v)
-    assert [r[0] for r in rows(levels.greedy_net(base, 2.5))] == sorted(chosen)
-    assert levels.greedy_net(base.limit(0), 1.0).count() == 0
-
-
 def test_levels(spark, base):
-    got = dict(rows(levels.net_levels(base, NetConfig(2, 0, 1), 9)))
-    assert len(got) == len(POINTS) and sum(h == max(got.values()) for h in got.values()) == 1
     rows_of = [(v, 3) for v in range(31)] + [(v, 2) for v in range(31, 63)] + [(63, 0)]
     assert {h for _, h in rows(levels.compacted(spark.createDataFrame(rows_of, "vid long, highest_level int")))} == {0, 2}
     assert {h for _, h in rows(levels.compacted(spark.createDataFrame(rows_of[:31], "vid long, highest_level int")))} == {0}
