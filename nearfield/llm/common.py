@@ -21,10 +21,12 @@ CHUNK_BYTES = 4 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of this application below ``spark.checkpoint.dir``; a temporary one only if that is unset."""
+    """The shared folder of this application below ``spark.checkpoint.dir``; in a temporary one, where that is unset, only on one machine."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="nearfield-")
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/nearfield-{sc.applicationId}"

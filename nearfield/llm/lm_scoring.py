@@ -13,7 +13,8 @@ a shard's shuffle files go before the next one's come; the texts are read once f
 A document's score is the mean over its tokens of target loss less background loss; lower is nearer to the target.
 
 Defined results: null and empty texts have 0 tokens and null scores; without trusted documents the target is uniform over
-the vocabulary; rows that repeat count as often in the background and score alike; an empty table gives an empty result.
+the vocabulary; rows that repeat count as often in the background and score alike, and documents of equal words tie; a very long
+text is more bigrams; an empty table gives an empty result; columns but doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -6,8 +6,8 @@ object that starts at byte 0 corrects the declared type; further ones are embedd
 
 Defined results: null blobs count as empty; an empty blob and one without any valid object have the type
 ``application/octet-stream`` and no objects; objects inside an accepted object are not reported again (its bytes are
-that object's content); of two valid objects at one place the longer wins. Rows are independent, so that ties,
-repeated rows, extra columns and empty tables need no care.
+that object's content), and objects are taken from the left. Rows are independent, so that ties, repeated rows, extra columns of
+any name and empty tables need no care; a very long blob is one pass over its bytes.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ Only a partition's stream is held in a task, one sequence at a time; the id brea
 group of copies is cut over ranges like all else.
 
 Defined results: null and empty texts have one token, the end mark; documents of one key keep the order of
-their ids; rows that repeat are packed as often as they occur; an empty table gives no pieces.
+their ids; rows that repeat are packed as often as they occur; a very long text is cut over as many sequences as it needs; an
+empty table gives no pieces; columns but doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,8 +10,12 @@ documents lose the words that windows of an earlier document cover.
 A frequent anchor is no group of rows in one task: minima are partial, joins are by (anchor, segment), and a shard with more
 than ``MOST`` words is indexed in blocks, with all its segments streamed through each.
 
+Words are compared by 64-bit hashes for anchors and by 32 bits of them inside a shard: two windows of one anchor that differ in one
+word are taken for equal with probability 2 ** -32.
+
 Defined results: null and empty texts have 0 words and keep none; texts shorter than a window keep all; a window
-repeated within one document only is kept; rows with equal ids count as one document's; an empty table gives an empty result.
+repeated within one document only is kept; rows with equal ids count as one document's, so that ties between them keep all; a very
+long text is many segments; an empty table gives an empty result; columns but doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,8 +8,8 @@ pieces come from a public vocabulary file; since such files give ranks, a piece
 The distinct pre-tokens of a slice are visited in the order of a depth-first walk of their trie: the forward scores of a
 prefix are computed once for all words below it, and each terminal's count is stored. Documents add up terminals.
 
-Defined results: null and empty texts, and texts of white space, have 0 words and 0 tokens; rows that repeat count alike;
-an empty table gives an empty result; a very long word costs its length times the longest piece.
+Defined results: null and empty texts, and texts of white space, have 0 words and 0 tokens; rows are independent, so that ties,
+rows that repeat (which count alike) and extra columns of any name need no care; an empty table gives an empty result; a very long word costs its length times the longest piece.
 """
 
 from __future__ import annotations

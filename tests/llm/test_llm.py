@@ -548,10 +548,35 @@ def test_mixing(docs, empty, texts):
     assert mixing.mix_sizes(empty).count() == 0
 
 
-def test_repeated_rows(docs):
-    twice = docs.unionByName(docs.where("doc_id < 3"))
-    assert near_dups.find_components(twice).count() == twice.count() and mixing.mix_sizes(twice).count() == twice.count()
-    assert substring.remove_repeats(twice).count() == twice.count() and packing.pack(twice).selectExpr("sum(length)").first()[0] > 0
+#: Names that operators use for columns of their own.
+NAMES = ["_row", "_text", "_gone", "_words", "_group", "_n", "_u", "_id", "_source", "_lang", "_median", "_width", "_hit", "key", "id", "rep", "band", "star", "n", "kept", "wanted", "gone", "pair", "spans", "a.b"]
+
+
+def test_repeated_rows_and_clashing_names(spark, docs, labels):
+    """Each row that repeats is answered, and answers do not depend on other columns' names."""
+    odd = docs.unionByName(docs.where("doc_id < 3")).withColumns({name: F.lit("x") for name in NAMES})
+    n = odd.count()
+    plain = docs.unionByName(docs.where("doc_id < 3"))
+    ops = [lambda d: quality.classify(d, labels), pii.find_pii, outliers.judge, substring.remove_repeats_digests, near_dups.find_components, lambda d: lm_scoring.score(d, labels), media.media_digests, token_counts.token_counts, mixing.mix_sizes]
+    for op in ops:
+        got = [sorted(map(tuple, op(d).collect()), key=str) for d in (odd, plain)]
+        assert got[0] == got[1] and len(got[0]) == n
+    assert packing.pack(odd).selectExpr("sum(length)").first()[0] == packing.pack(plain).selectExpr("sum(length)").first()[0] > 0
+    for keep in (lambda d: quality.keep_good(d, labels), near_dups.keep_first, pii.mask_pii, mixing.mix):
+        assert keep(odd).columns == odd.columns and keep(odd).where("`a.b` = 'x'").count() > 0
+
+
+def test_no_labels(docs, labels):
+    got = lm_scoring.score(docs, labels.limit(0)).toPandas()
+    assert len(got) == docs.count() and got.loc[got["n_tokens"] > 0, "target_loss"].notna().all()
+
+
+def test_pipeline_over_empty_tables(spark, empty, labels, tmp_path):
+    import corpus_pipeline
+
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_pipeline(spark, docs, labels, tmp_path):
