@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Words are maximal runs without ASCII white space (space, tab to carriage return).
 SPACE = " \t\n\x0b\x0c\r"
 #: A task works on slices of about this many bytes of text, whatever the Arrow batch holds.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
