@@ -22,12 +22,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, give_back, materialize, texts_of, to_batch
+from .common import chunks, materialize, texts_of, to_batch
 from .tagger import KINDS, Tagger, symbols, tag
 
 #: Documents, and windows of them, that the tagger is trained on, at most.
@@ -279,21 +278,16 @@ def mask_pii(docs: DataFrame, **options) -> DataFrame:
     """The documents with personal data masked; n_chars, where there is one, follows the text."""
     held = docs.sparkSession.sparkContext.broadcast(train(docs, **options))
 
-    @F.pandas_udf("string")
-    def mask(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def mask(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = held.value
         for column in columns:
-            out, texts, at = [], column.tolist(), 0
-            while at < len(texts):
-                size, end = 0, at
-                while end < len(texts) and (end == at or size + len(texts[end] or "") <= 2 << 20):
-                    size, end = size + len(texts[end] or ""), end + 1
-                some = texts[at:end]
-                for text, (base, added) in zip(some, find_spans(model, [t or "" for t in some])):
+            out = []
+            for part in chunks([pa.record_batch([column], names=["text"])], column=0, max_bytes=2 << 20):
+                texts = part.column(0).to_pylist()
+                for text, (base, added) in zip(texts, find_spans(model, [t or "" for t in texts])):
                     out.append(None if text is None else masked(text, [sorted(a + b) for a, b in zip(base, added)]))
-                at = end
-            yield pd.Series(out, dtype=object)
-        give_back()
+            yield pa.array(out, pa.string())
 
     out = docs.withColumn("text", mask("text"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
