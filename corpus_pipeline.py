@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before it kept, and is written as Parquet and read again.
-All but the last return the columns of documents.
+All but the last return the columns of documents, extra ones of any name among them; empty tables stay empty, and very long texts are
+worked on whole.
 """
 
 from __future__ import annotations
@@ -13,27 +14,27 @@ from nearfield.llm.common import materialize, read_table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity under trusted text is within their language's threshold."""
+    """Documents whose perplexity under trusted text is within their language's threshold; null and empty texts go, repeated rows are judged alike."""
     return quality.keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates."""
+    """The document of least id of each group of near-duplicates; rows of that id that repeat all stay, and so do texts without words."""
     return near_dups.keep_first(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data masked."""
+    """All documents, with personal data masked; null texts stay null."""
     return pii.mask_pii(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them; null sources are one source, and ties go by id."""
     return mixing.mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in token sequences, with their ids."""
+    """Pieces of documents in token sequences, with their ids; a text of null is its end mark alone."""
     return packing.pack(docs)
 
 
