@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nearfield.operators import edges, exact, increments, knn as blocks, layered, levels, probes, refine, rnets, search
+from nearfield.operators import edges, exact, increments, knn as blocks, layered, levels, probes, refine, rnets, search, supersteps
 from nearfield.operators.knn import knn, range_counts, range_join
 from nearfield.plans.config import NetConfig, PruneConfig, edge_ratio
 from nearfield.sources import snapshots, vectors as sources
@@ -260,3 +260,18 @@ def test_subsets_and_datasets(spark, base, tmp_path):
         with pytest.raises(ValueError):
             sources.read_dataset(spark, str(tmp_path / "sets.json"), name)
     assert levels.highest_random_level(32, 0.02) == 1 and levels.highest_random_level(32 * 50**2, 0.02) == 3
+
+
+def test_supersteps(spark):
+    places = line(spark, 0, 2, 3, -9)
+    start = spark.createDataFrame([(0, 1, 2.0, True), (0, 2, 3.0, True), (0, 3, 9.0, True), (3, 0, 9.0, True)], "src long, dst long, dist double, is_new boolean")
+    turn = [supersteps.triangle(), supersteps.reverse, supersteps.truncate(2)]
+    done = rows(supersteps.run(start, places, turn).select("src", "dst"))
+    assert done == rows(edges.truncate(edges.symmetric(refine.triangle(start, places)), 2).select("src", "dst"))
+    part = supersteps.step(start, places, supersteps.reverse, 1, 3)  # only vertex 3 has a row there: its log is an edge that stays
+    assert rows(part.select("src", "dst")) == [(0, 1), (0, 2), (0, 3), (3, 0)]
+    assert rows(supersteps.step(start, places, supersteps.truncate(1), 0, 0).select("src", "dst")) == [(0, 1), (3, 0)]
+    assert rows(supersteps.step(start, places, supersteps.pruning()).where("src = 0").select("dst")) == [(1,), (3,)]
+    own = lambda rows, vectors: (rows.where("dist < 5"), None)  # noqa: E731  an updater of one's own
+    assert supersteps.step(start, places, own).count() == 2
+    assert supersteps.step(start, places, supersteps.random_top_up(3)).where("src = 3").count() >= 1
