@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lm_scoring, media, mixing, near_dups, outliers, packing, pii, quality, substring, token_counts
+from . import conversation_repair, hard_negatives, lm_scoring, media, mixing, near_dups, outliers, packing, pii, quality, substring, token_counts, url_rules
 from .common import read_table
 
 
@@ -46,5 +46,21 @@ def op10_pareto_mixing(spark, sf_dir):
     return mixing.mix_sizes(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_packing, op2_kneser_ney_quality, op3_pii_tagger, op4_robust_outliers, op5_fm_substring_dedup, op6_setsketch_near_dedup, op7_cross_entropy_difference, op8_media_sniffing, op9_trie_token_counts, op10_pareto_mixing)}
-SQL = {"op10_pareto_mixing": mixing.SQL, "op5_fm_substring_dedup": substring.SQL}
+def op11_conversation_repair(spark, sf_dir):
+    return conversation_repair.damage_and_repair(read_table(spark, sf_dir, "conversations"))
+
+
+def op12_cover_tree_negatives(spark, sf_dir):
+    return hard_negatives.mine_embeddings(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_url_rules(spark, sf_dir):
+    return url_rules.judge(read_table(spark, sf_dir, "pages"))
+
+
+_ALL = (
+    op1_hilbert_packing, op2_kneser_ney_quality, op3_pii_tagger, op4_robust_outliers, op5_fm_substring_dedup, op6_setsketch_near_dedup, op7_cross_entropy_difference,
+    op8_media_sniffing, op9_trie_token_counts, op10_pareto_mixing, op11_conversation_repair, op12_cover_tree_negatives, op13_url_rules,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+SQL = {"op10_pareto_mixing": mixing.SQL, "op5_fm_substring_dedup": substring.SQL, "op12_cover_tree_negatives": hard_negatives.SQL, "op13_url_rules": url_rules.SQL}
