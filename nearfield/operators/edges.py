@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearfield.operators.rows import Row, by_vertex
+
+EDGE = [("src", pa.int64()), ("dst", pa.int64()), ("dist", pa.float64())]
+
 
 def reverse(edges: DataFrame) -> DataFrame:
     """For each edge the one back, as new."""
@@ -42,26 +46,29 @@ def threshold(d, rule: str, alpha: float, shift: float):
 def prune(candidates: DataFrame, vectors: DataFrame, alpha: float = 1.0, shift: float = 0.0, rule: str = "scaled", degree: int | None = None, skip_old: bool = False) -> DataFrame:
     """Relative-neighbourhood pruning: candidates of a pivot from near to far; one goes if a kept one is nearer to it than its threshold.
 
-    A pivot's candidates are bounded by what made them (a degree, k or a radius); each group is one small matrix. Distances are l2.
-    With ``skip_old`` two candidates that are both not ``is_new`` are not compared again.
+    A pivot's candidates are bounded by what made them (a degree, k or a radius). Distances are l2. A kept one strikes out, at once, all
+    later candidates that it is nearer to than their thresholds. With ``skip_old`` two candidates that are both not ``is_new`` are not compared again.
     """
-    new = F.col("is_new") if skip_old else F.lit(True).alias("is_new")
-    rows = candidates.join(vectors.select(F.col("vid").alias("dst"), "vec"), "dst").select("src", "dst", "dist", new, "vec")
 
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["dist", "dst"])
-        v = np.stack(group["vec"].to_numpy()).astype(np.float64)
-        d, new, kept = group["dist"].to_numpy(), group["is_new"].to_numpy(), []
+    def keep(row: Row) -> list[tuple]:
+        src, dst, d, new, v = row
+        limit = threshold(d, rule, alpha, shift)
+        alive, kept = np.ones(len(d), dtype=bool), []
         for c in range(len(d)):
+            if not alive[c]:
+                continue
             if degree is not None and len(kept) >= degree:
                 break
-            tried = kept if new[c] else [w for w in kept if new[w]]
-            gap = v[tried] - v[c]
-            if not tried or np.sqrt((gap * gap).sum(axis=1)).min() >= threshold(d[c], rule, alpha, shift):
-                kept.append(c)
-        return group.iloc[kept][["src", "dst", "dist"]]
+            kept.append((src, dst[c], d[c]))
+            later = np.flatnonzero(alive[c + 1 :]) + c + 1
+            if not new[c]:
+                later = later[new[later]]
+            gap = v[later] - v[c]
+            alive[later[np.sqrt(np.einsum("ij,ij->i", gap, gap)) < limit[later]]] = False
+        return kept
 
-    return rows.groupBy("src").applyInPandas(keep, "src long, dst long, dist double")
+    new = F.col("is_new") if skip_old else F.lit(True).alias("is_new")
+    return by_vertex(candidates.select("src", "dst", "dist", new), vectors, keep, EDGE, "src long, dst long, dist double")
 
 
 def row_faults(edges: DataFrame, vertices: int, degree: int | None = None) -> DataFrame:

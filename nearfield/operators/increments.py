@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.operators.edges import merge_logs, prune, reverse, truncate
+from nearfield.operators import compact, insertion, layered
+from nearfield.operators.edges import truncate
+from nearfield.operators.insertion import Caps, Layered, linked
 from nearfield.operators.knn import knn
 from nearfield.operators.probes import medoid
-from nearfield.operators.search import beam
+from nearfield.plans.config import NetConfig
 from nearfield.sources.snapshots import cut
 
 
@@ -46,11 +48,30 @@ def add_vertices(edges: DataFrame, vectors: DataFrame, batch: DataFrame, degree:
     asked = batch.select(F.col("vid").alias("qid"), "vec")
     near = knn(batch, asked, width, exclude_self=True).select("qid", "vid", "dist")
     if not edges.isEmpty():
-        entries = asked.select("qid").join(F.broadcast(medoid(vectors).select("vid")))  # one row
-        near = near.unionByName(beam(asked, edges, vectors, entries, width))
-    rows = prune(near.select(F.col("qid").alias("src"), F.col("vid").alias("dst"), "dist"), every, alpha, degree=degree).withColumn("is_new", F.lit(True))
-    rows = cut(rows)
-    merged = cut(merge_logs(edges.select("src", "dst", "dist", F.lit(False).alias("is_new")).unionByName(rows), reverse(rows)))
-    full = merged.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") > degree).select("src")
-    again = truncate(prune(merged.join(full, "src", "left_semi"), every, alpha, degree=degree), degree)
-    return cut(merged.join(full, "src", "left_anti").select("src", "dst", "dist").unionByName(again)), every
+        packed = cut(compact.pack(edges, vectors, degree))
+        found = compact.searched(compact.from_one(asked, medoid(vectors).first().vid), packed, width)
+        near = near.unionByName(found.select("qid", F.explode("found").alias("one")).select("qid", "one.vid", "one.dist"))
+    fresh = near.select(F.col("qid").alias("src"), F.col("vid").alias("dst"), "dist")
+    return cut(truncate(linked(edges, every, fresh, degree, alpha), degree)), every
+
+
+def add_layered(graph: Layered, batch: DataFrame, net: NetConfig, most: int, caps: Caps = Caps(), refine: dict | None = None) -> Layered:
+    """A layered graph over nets with a batch (vid, vec) of new ids; the nets stay as they are, but for members of the batch that no centre covers.
+
+    With ``refine`` (arguments of ``layered.refined``) the bottom is not linked by insertion: all levels are refined by supersteps that start
+    from the rows there are, with random edges for the vertices of the batch.
+    """
+    if refine is None:
+        return insertion.insert(graph, batch, net, most, caps)
+    batch = cut(batch.select("vid", "vec"))
+    grown = insertion.insert(graph, batch, net, most, caps, bottom=False)
+    old = grown.layers if graph.top >= 0 else None
+    layers, _, top = layered.refined(grown.vectors, grown.levels, caps.upper, caps.bottom, caps.alpha, old=old, fresh=batch.select("vid"), **refine)
+    return grown._replace(layers=layers, top=top)
+
+
+def add_hierarchical(graph: Layered, batch: DataFrame, ratio: float, most: int, caps: Caps = Caps(), seed: int = 0) -> Layered:
+    """A layered graph over a random hierarchy with a batch (vid, vec) of new ids, each of which draws its own level."""
+    draw = (F.pmod(F.xxhash64(F.lit(seed), "vid"), F.lit(1 << 52)) + 1) / float(1 << 52)
+    rise = batch.select("vid", F.least(F.floor(F.log(draw) / F.log(F.lit(ratio))), F.lit(most)).cast("int").alias("highest_level"))
+    return insertion.insert_wave(graph, batch, None, most, caps, rise=rise)

@@ -6,14 +6,15 @@ Vertex ids run from 0 to n - 1. A vertex's row is bounded by the degree, which t
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.distance import distance
-from nearfield.operators.edges import merge_logs, prune, reverse, symmetric, truncate
-from nearfield.operators.search import beam
-from nearfield.sources.snapshots import cut
+from nearfield.operators import compact
+from nearfield.operators.edges import EDGE, merge_logs, prune, reverse, symmetric, truncate
+from nearfield.operators.rows import Row, by_vertex
+from nearfield.sources.snapshots import cut, released
 
 
 def measured(pairs: DataFrame, vectors: DataFrame, metric: str = "l2") -> DataFrame:
@@ -40,17 +41,17 @@ def triangle(edges: DataFrame, vectors: DataFrame, alpha: float = 1.0, shift: fl
 
     Kept neighbours are tried from far to near; pairs of old ones are not compared again. What stays becomes old.
     """
-    rows = edges.join(vectors.select(F.col("vid").alias("dst"), "vec"), "dst").select("src", "dst", "dist", "is_new", "vec")
 
-    def work(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["dist", "dst"])
-        v, d = np.stack(group["vec"].to_numpy()).astype(np.float64), group["dist"].to_numpy()
-        ids, new, kept, out = group["dst"].to_numpy(), group["is_new"].to_numpy(), [], []
+    def work(row: Row) -> list[tuple]:
+        source, ids, d, new, v = row
+        kept: list[int] = []
+        out = []
         for c in range(len(d)):
             limit, goes = d[c] / alpha - (1 + 1 / alpha) * shift, False
             tried = np.array([w for w in reversed(kept) if new[w] or new[c]], dtype=int)
             if len(tried):
-                gap = np.round(np.sqrt(((v[tried] - v[c]) ** 2).sum(axis=1)), 6)
+                gap = v[tried] - v[c]
+                gap = np.round(np.sqrt(np.einsum("ij,ij->i", gap, gap)), 6)
                 under = np.flatnonzero(gap < limit)
                 goes = len(under) > 0
                 seen = gap[: under[0] + 1] if goes else gap
@@ -59,27 +60,32 @@ def triangle(edges: DataFrame, vectors: DataFrame, alpha: float = 1.0, shift: fl
                     out.append((ids[tried[best]], ids[c], seen[best], True))
             if not goes:
                 kept.append(c)
-        source = group["src"].iloc[0]
-        out += [(source, ids[c], d[c], False) for c in kept]
-        return pd.DataFrame(out, columns=["src", "dst", "dist", "is_new"])
+        return out + [(source, ids[c], d[c], False) for c in kept]
 
-    stepped = rows.groupBy("src").applyInPandas(work, "src long, dst long, dist double, is_new boolean").where("src <> dst")
+    stepped = by_vertex(edges, vectors, work, [*EDGE, ("is_new", pa.bool_())], "src long, dst long, dist double, is_new boolean").where("src <> dst")
     return stepped.groupBy("src", "dst").agg(F.min("dist").alias("dist"), F.min("is_new").alias("is_new"))
 
 
 def routed(edges: DataFrame, vectors: DataFrame, width: int) -> DataFrame:
     """Each vertex searches from its own row, over edges both ways; what it finds is merged into its row."""
-    queries = vectors.select(F.col("vid").alias("qid"), "vec")
-    found = beam(queries, cut(symmetric(edges)), vectors, edges.select(F.col("src").alias("qid"), F.col("dst").alias("vid")), width)
-    logs = found.where("qid <> vid").select(F.col("qid").alias("src"), F.col("vid").alias("dst"), "dist", F.lit(True).alias("is_new"))
+    both = cut(symmetric(edges))
+    widest = both.groupBy("src").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    packed = cut(compact.pack(both, vectors, min(widest, 4 * width)))
+    asked = compact.with_entries(vectors.select(F.col("vid").alias("qid"), "vec"), edges.select(F.col("src").alias("qid"), F.col("dst").alias("vid")))
+    found = compact.searched(asked, packed, width).select("qid", F.explode("found").alias("one"))
+    logs = found.where("qid <> one.vid").select(F.col("qid").alias("src"), F.col("one.vid").alias("dst"), F.col("one.dist").alias("dist"), F.lit(True).alias("is_new"))
     return merge_logs(edges, logs)
 
 
 def refine(edges: DataFrame, vectors: DataFrame, degree: int, alpha: float, shift: float, loops: int, triangles: int) -> DataFrame:
+    last = None
     for _ in range(loops):
         for _ in range(triangles):
             edges = truncate(triangle(edges, vectors, alpha, shift), degree)
-        edges = cut(truncate(merge_logs(edges, reverse(edges)), degree))
+        turned = cut(edges)
+        edges = cut(truncate(merge_logs(turned, reverse(turned)), degree))
+        released(turned, *[last] * (last is not None))
+        last = edges
     return edges
 
 

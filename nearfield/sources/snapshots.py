@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,17 +15,48 @@ EDGES = "src long, dst long, dist double"
 LAYERS, LEVELS = f"level int, {EDGES}", "vid long, highest_level int"
 
 
+_folders: set[str] = set()
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A folder of this application below ``spark.checkpoint.dir``; below a temporary one, where that is unset, only on one machine. Deleted when the application ends."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="nearfield-")
+        sc.setCheckpointDir(base)
+    folder = f"{base.rstrip('/')}/graphs-{sc.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_delete, spark, folder)
+    return folder
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    except Exception:  # noqa: BLE001  the session has gone
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder named by ``spark.checkpoint.dir``; in a temporary one, where that is unset, only on one machine."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = "file://" + tempfile.mkdtemp(prefix="nearfield-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    """The same rows, written to the shared folder and read back: lineage ends there, lost executors cost nothing, and Spark knows the size."""
+    spark = df.sparkSession
+    path = f"{_scratch(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def released(*cuts: DataFrame) -> None:
+    """Deletes what ``cut`` wrote, once nothing reads it any more; other tables are left alone."""
+    for df in cuts:
+        if path := getattr(df, "cut_path", None):
+            _delete(df.sparkSession, path)
 
 
 def save_graph(edges: DataFrame, path: str, kind: str, vertices: int, **parameters) -> None:

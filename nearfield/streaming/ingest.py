@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.operators.increments import add_vertices, appended
+from nearfield.operators.increments import add_layered, add_vertices, appended
+from nearfield.operators.insertion import NO_EDGES, NO_LEVELS, Caps, Layered
+from nearfield.plans.config import NetConfig
 
 VECTORS, EDGES = "vid long, vec array<float>", "src long, dst long, dist double"
 
@@ -46,3 +48,30 @@ def ingest(stream: DataFrame, folder: str, checkpoint: str, degree: int, alpha:
     """Starts a streaming query that adds every micro-batch of a stream with a column vec."""
     writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True}))
     return writer.foreachBatch(lambda batch, number: ingest_batch(batch, number, folder, degree, alpha)).start()
+
+
+def read_layered_version(spark: SparkSession, folder: str, version: int) -> Layered:
+    """A version of a layered graph; of none, an empty one."""
+    if version < 0:
+        return Layered(spark.createDataFrame([], NO_EDGES), spark.createDataFrame([], NO_LEVELS), spark.createDataFrame([], VECTORS), -1, -1)
+    read = lambda name, ddl: spark.read.schema(ddl).parquet(f"{folder}/{version}/{name}")
+    entry, top = read("about", "entry long, top int").first()
+    return Layered(read("edges", NO_EDGES), read("levels", NO_LEVELS), read("vectors", VECTORS), entry, top)
+
+
+def ingest_layered_batch(batch: DataFrame, number: int, folder: str, net: NetConfig, most: int, caps: Caps = Caps(), refine: dict | None = None) -> None:
+    """Adds one micro-batch (vec) to the last layered version before it and writes the next: vectors, levels, entry, and edges last."""
+    spark = batch.sparkSession
+    graph = read_layered_version(spark, folder, max([v for v in versions(spark, folder) if v < number], default=-1))
+    fresh = appended(graph.vectors, batch.select(F.col("vec").cast("array<float>").alias("vec")))
+    if not fresh.isEmpty():
+        graph = add_layered(graph, fresh, net, most, caps, refine)
+    about = spark.createDataFrame([(graph.entry, graph.top)], "entry long, top int")
+    for name, table in (("vectors", graph.vectors), ("levels", graph.levels), ("about", about), ("edges", graph.layers)):
+        table.write.mode("overwrite").parquet(f"{folder}/{number}/{name}")
+
+
+def ingest_layered(stream: DataFrame, folder: str, checkpoint: str, net: NetConfig, most: int, caps: Caps = Caps(), refine: dict | None = None, **trigger):
+    """Starts a streaming query that grows a layered graph by every micro-batch of a stream with a column vec."""
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True}))
+    return writer.foreachBatch(lambda batch, number: ingest_layered_batch(batch, number, folder, net, most, caps, refine)).start()
