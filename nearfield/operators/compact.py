@@ -12,7 +12,7 @@ A round follows a beam to the border of a part, not one step.
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -157,10 +157,11 @@ def entered(graph: Held, q: np.ndarray, places: np.ndarray, width: int, metric:
     return best(places, dist, places >= 0, width)
 
 
-def walk(graph: Held, q: np.ndarray, state: State, width: int, metric: str, expand: int = EXPAND, stop: float | None = None, limit: np.ndarray | None = None) -> tuple[State, list[np.ndarray]]:
+def walk(graph: Held, q: np.ndarray, state: State, width: int, metric: str, expand: int = EXPAND, stop: float | None = None, limit: np.ndarray | None = None, note: Callable | None = None) -> tuple[State, list[np.ndarray]]:
     """Expands the nearest open candidates of all queries, ``expand`` of each at a time, until none is open.
 
     With ``limit`` (a distance for each query) farther ones are not expanded. Also gives, round by round, (query, vid) of neighbours that lie elsewhere.
+    ``note`` is called with queries, the place each candidate came from, and the place of the candidate, for those that a state took.
     """
     away: list[np.ndarray] = []
     near, ids = graph.near, graph.ids
@@ -188,6 +189,12 @@ def walk(graph: Held, q: np.ndarray, state: State, width: int, metric: str, expa
             fresh = fresh.reshape(len(who), -1)
             dist = measured(metric, q[who], graph.vec[np.maximum(fresh, 0)])
             after = best(np.concatenate([state.place[who], fresh], axis=1), np.concatenate([state.dist[who], dist], axis=1), np.concatenate([state.open[who] & ~now, fresh >= 0], axis=1), state.place.shape[1])
+            if note is not None:
+                taken = (fresh >= 0) & (fresh[:, :, None] == after.place[:, None, :]).any(axis=2) & ~(fresh[:, :, None] == state.place[who][:, None, :]).any(axis=2)
+                r, c = np.nonzero(taken)
+                origin = np.full((len(who), min(expand, width)), -1, dtype=np.int64)
+                origin[row, turn] = from_
+                note(who[r], origin[r, c // degree], fresh[r, c])
             state.place[who], state.dist[who], state.open[who] = after
 
 
@@ -249,6 +256,37 @@ def searched(asked: DataFrame, packed: DataFrame, width: int, metric: str = "l2"
     return asked.select("qid", "vec", "entries").mapInArrow(task, f"qid long, vec {kind}, found {FOUND}")
 
 
+def pushes(asked: DataFrame, packed: DataFrame, width: int, metric: str = "l2", expand: int = EXPAND) -> DataFrame:
+    """qid, src, vid, length: the edges along which a search's state took a candidate, and how long they are. The parts must be few enough to be broadcast."""
+    parts = _broadcastable(packed)
+    if parts is None:
+        raise ValueError("pushes are traced on a graph or sample that can be broadcast")
+    shared, metric = asked.sparkSession.sparkContext.broadcast(held(parts)), parse_metric(metric)
+
+    def task(batches) -> Iterator[pa.RecordBatch]:
+        graph = shared.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, BLOCK):
+                some = batch.slice(a, BLOCK)
+                q, (owner, vids), ids = _vectors(some.column(1)), _lists(some.column(2)), np.asarray(some.column(0))
+                state, out = entered(graph, q, np.sort(_square(owner, graph.places(vids), some.num_rows, -1), axis=1), width, metric), []
+
+                def note(who, src, dst):
+                    length = measured(metric, graph.vec[src].astype(np.float64), graph.vec[dst][:, None, :])[:, 0] if len(src) else np.zeros(0)
+                    out.append(pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(graph.vid[src]), pa.array(graph.vid[dst]), pa.array(length)], names=["qid", "src", "vid", "length"]))
+
+                walk(graph, q, state, width, metric, expand, note=note)
+                yield from out
+
+    return asked.select("qid", "vec", "entries").mapInArrow(task, "qid long, src long, vid long, length double")
+
+
+def push_profile(asked: DataFrame, packed: DataFrame, width: int, metric: str = "l2", expand: int = EXPAND) -> DataFrame:
+    """level, pushes, mean_length of the edges that a search on one level took."""
+    level = packed.agg(F.max("level")).first()[0]
+    return pushes(asked, packed, width, metric, expand).agg(F.count("*").alias("pushes"), F.round(F.avg("length"), 6).alias("mean_length")).select(F.lit(level).alias("level"), "pushes", "mean_length")
+
+
 def _routed(asked: DataFrame, packed: DataFrame, width: int, metric: str, expand: int, stop: float | None) -> DataFrame:
     n = asked.count()
     blocks = max(1, -(-n // BLOCK))
@@ -310,7 +348,8 @@ def _members(batches) -> Iterator[pa.RecordBatch]:
 def with_entries(queries: DataFrame, entries: DataFrame) -> DataFrame:
     """qid, vec, entries of queries (qid, vec) and entries (qid, vid), a few of each query."""
     lists = entries.groupBy("qid").agg(F.collect_set("vid").alias("entries"))
-    return queries.select("qid", "vec").join(lists, "qid", "left").withColumn("entries", F.coalesce("entries", F.array().cast("array<long>")))
+    rows = queries.select("qid", "vec").join(lists, "qid", "left").withColumn("entries", F.coalesce("entries", F.array().cast("array<long>")))
+    return rows.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "qid")  # as many tasks as asked for, however few the bytes
 
 
 def from_one(queries: DataFrame, entry: int) -> DataFrame:

@@ -70,7 +70,7 @@ def promoted(graph: Layered, batch: DataFrame, net: NetConfig, most: int, near:
 
     ``near`` has for a level the distance (vid, dist) to a member that is known already; such vertices are not compared with the level again.
     """
-    left = cut(batch.select("vid", "vec"))
+    left = batch.select("vid", "vec")
     out = left.select("vid", F.lit(0).alias("highest_level"))
     for level in range(1, most + 1):
         radius = net.radius(level)
@@ -78,12 +78,12 @@ def promoted(graph: Layered, batch: DataFrame, net: NetConfig, most: int, near:
             if near and level in near:
                 left = left.join(near[level].where(F.col("dist") <= radius), "vid", "left_anti")
             left = cut(uncovered(cut(left), members(graph.vectors, graph.levels, level), radius, metric))
-        if left.isEmpty():
-            break
+            if left.isEmpty():
+                break
         chosen = ordered_net(left, radius, F.xxhash64("vid"), metric)
         out = out.unionByName(chosen.select("vid", F.lit(level).alias("highest_level")))
-        left = cut(left.join(chosen, "vid", "left_semi"))
-        if level > graph.top and left.count() <= 1:
+        left = left.join(chosen, "vid", "left_semi")
+        if level > graph.top and chosen.count() <= 1:
             break
     return out.groupBy("vid").agg(F.max("highest_level").alias("highest_level"))
 
@@ -137,7 +137,7 @@ def insert_wave(graph: Layered, batch: DataFrame, net: NetConfig | None, most: i
         one = graph.layers.where(F.col("level") == level).select("src", "dst", "dist")
         if level or bottom:
             wide, cap = (caps.upper_choice, caps.upper) if level else (caps.bottom_choice, caps.bottom)
-            fresh = cut(members(batch, rise, level)).withColumnRenamed("vid", "qid")
+            fresh = members(batch, rise, level).withColumnRenamed("vid", "qid")
             candidates = knn(fresh.withColumnRenamed("qid", "vid"), fresh, wide, metric, exclude_self=True).select("qid", "vid", "dist")
             if level in starts:
                 begun = starts[level].join(fresh.select("qid"), "qid", "left_semi")

@@ -5,6 +5,8 @@ Vertex ids run from 0 to n - 1. A vertex's row is bounded by the degree, which t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -77,27 +79,36 @@ def routed(edges: DataFrame, vectors: DataFrame, width: int) -> DataFrame:
     return merge_logs(edges, logs)
 
 
-def refine(edges: DataFrame, vectors: DataFrame, degree: int, alpha: float, shift: float, loops: int, triangles: int) -> DataFrame:
+#: Called with the number of a loop, from 1, and the edges after it.
+Observer = Callable[[int, DataFrame], None]
+
+
+def refine(edges: DataFrame, vectors: DataFrame, degree: int, alpha: float, shift: float, loops: int, triangles: int, observe: Observer | None = None) -> DataFrame:
+    """Loops of triangle steps and edges back. ``observe`` sees each loop's edges, from one build; they last until it returns."""
     last = None
-    for _ in range(loops):
+    for loop in range(loops):
         for _ in range(triangles):
             edges = truncate(triangle(edges, vectors, alpha, shift), degree)
         turned = cut(edges)
         edges = cut(truncate(merge_logs(turned, reverse(turned)), degree))
         released(turned, *[last] * (last is not None))
         last = edges
+        if observe is not None:
+            observe(loop + 1, edges)
     return edges
 
 
-def knn_graph(vectors: DataFrame, degree: int, loops: int = 3, triangles: int = 2, routing: int = 2, seed: int = 0, width: int | None = None) -> DataFrame:
+def knn_graph(vectors: DataFrame, degree: int, loops: int = 3, triangles: int = 2, routing: int = 2, seed: int = 0, width: int | None = None, observe: Observer | None = None) -> DataFrame:
     """Approximate nearest neighbours of each vertex: half the degree while looping, then searches from each row.
 
     The searches are wider than the rows (``width``, else the larger of 64 and four times the degree): the looped graph is sparse.
     """
     half = max(1, degree // 2)
-    edges = refine(cut(random_graph(vectors, half, seed)), vectors, half, 1.0, 0.0, loops, triangles)
-    for _ in range(routing):
+    edges = refine(cut(random_graph(vectors, half, seed)), vectors, half, 1.0, 0.0, loops, triangles, observe)
+    for turn in range(routing):
         edges = cut(truncate(routed(edges, vectors, width or max(64, 4 * degree)), degree))
+        if observe is not None:
+            observe(loops + turn + 1, edges)
     return edges
 
 
@@ -118,9 +129,11 @@ def topped_up(edges: DataFrame, vectors: DataFrame, target: int, seed: int = 0,
     return merge_logs(edges, logs)
 
 
-def profiled(build, loops: int, evaluate) -> list:
-    """What ``evaluate`` says of the graph after each number of loops, from one to ``loops``: ``build`` takes that number."""
-    return [evaluate(build(k)) for k in range(1, loops + 1)]
+def profiled(build: Callable[[Observer], DataFrame], evaluate: Callable[[DataFrame], object]) -> tuple[DataFrame, list]:
+    """The graph that ``build`` makes with an observer, and what ``evaluate`` says of the edges after each loop; one build in all."""
+    said: list = []
+    graph = build(lambda loop, edges: said.append(evaluate(edges)))
+    return graph, said
 
 
 def refine_layer(members: DataFrame, degree: int, alpha: float, shift: float, loops: int, triangles: int, routing: int = 1, prefill: float = 1.0, seed: int = 0, edges: DataFrame | None = None, fresh: DataFrame | None = None, width: int | None = None) -> DataFrame:
@@ -148,11 +161,13 @@ def refine_layer(members: DataFrame, degree: int, alpha: float, shift: float, lo
     return cut(truncate(edges, degree))
 
 
-def convergent_graph(vectors: DataFrame, degree: int, alpha: float = 1.05, shift: float = 0.0, loops: int = 2, triangles: int = 2, routing: int = 1, seed: int = 0) -> DataFrame:
+def convergent_graph(vectors: DataFrame, degree: int, alpha: float = 1.05, shift: float = 0.0, loops: int = 2, triangles: int = 2, routing: int = 1, seed: int = 0, observe: Observer | None = None) -> DataFrame:
     """A pruned graph for search: refined random graph; then searches from each row, pruning, and edges back."""
-    edges = refine(cut(random_graph(vectors, degree, seed)), vectors, degree, alpha, shift, loops, triangles)
-    for _ in range(routing):
+    edges = refine(cut(random_graph(vectors, degree, seed)), vectors, degree, alpha, shift, loops, triangles, observe)
+    for turn in range(routing):
         edges = from_graph(routed(edges, vectors, degree), vectors, degree, alpha)
+        if observe is not None:
+            observe(loops + turn + 1, edges)
     return edges
 
 

@@ -5,11 +5,13 @@ Searches take the vectors whose id is divisible by 20 as queries, against all ve
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from nearfield.operators import edges, evaluate, exact, increments, layered, levels, probes, refine, rnets, search
+from nearfield.operators import builders, compact, edges, evaluate, exact, graph_nets, increments, insertion, layered, levels, permute, probes, refine, rnets, search
 from nearfield.operators.knn import knn, range_counts
 from nearfield.plans.config import NetConfig, PruneConfig, early_stop, edge_ratio, layer_capacity
+from nearfield.sources.snapshots import cut, scratch
 from nearfield.sources.vectors import read_embeddings, subset_of_ids
 
 K = 10
@@ -284,11 +286,13 @@ def net_levels(spark, sf_dir):
     return rnets.net_levels(read_embeddings(spark, sf_dir), NetConfig(2.0, 0.0, 1.2), 1, (F.col("vid") * 7919 + 13) % 1000003)
 
 
-_THRESHOLDS = [(h, NET.radius(h), edge_ratio(h, NET, PRUNING), early_stop(h, NET, PRUNING) if h else 0.0, layer_capacity(h, 128)) for h in range(TOP + 1)]
-_LISTED = ", ".join(f"({h}, {r!r}::DOUBLE, {e!r}::DOUBLE, {t!r}::DOUBLE, {c}::BIGINT)" for h, r, e, t, c in _THRESHOLDS)
+_THRESHOLDS = [(h, round(NET.radius(h), 9), round(edge_ratio(h, NET, PRUNING), 9), round(early_stop(h, NET, PRUNING), 9) if h else 0.0, layer_capacity(h, 128)) for h in range(TOP + 1)]
+_RADII_SQL = f"radii AS (SELECT h, CASE WHEN h = 0 THEN {NET.rho} ELSE {NET.rho} * (1 + {NET.tau_k}) * pow({NET.beta}, h - 1) END AS r FROM (SELECT unnest(range(0, {TOP + 2})) AS h))"
+_FORMULAS = f"""{_RADII_SQL}, g AS (SELECT ({PRUNING.alpha} + 1) / ({PRUNING.alpha} - 1) + 1 AS g), psi AS (SELECT h, r, {PRUNING.tau} * {PRUNING.rho} + sum(r) OVER (ORDER BY h) AS psi, lead(r) OVER (ORDER BY h) AS above FROM radii),
+t AS (SELECT h::INT AS level, round(r, 9)::DOUBLE AS radius, round((g + 1) * psi / r + g * above / r, 9)::DOUBLE AS ratio, CASE WHEN h = 0 THEN 0.0 ELSE round(g * psi, 9) END::DOUBLE AS stop, greatest(32, floor(128 * pow(0.5, h)))::BIGINT AS capacity FROM psi, g WHERE h <= {TOP})"""
 
 
-@query(f"WITH RECURSIVE {_NETS}, {_LEVELS}, t(level, radius, ratio, stop, capacity) AS (VALUES {_LISTED}) SELECT level, radius, ratio, stop, capacity, (SELECT count(*) FROM levels WHERE highest_level >= level)::BIGINT AS members FROM t")
+@query(f"WITH RECURSIVE {_NETS}, {_LEVELS}, {_FORMULAS} SELECT level, radius, ratio, stop, capacity, (SELECT count(*) FROM levels WHERE highest_level >= level)::BIGINT AS members FROM t")
 def rnet_thresholds(spark, sf_dir):
     """Each level of the nets: its radius, edge ratio, early stop and row capacity, and how many members it has."""
     known = spark.createDataFrame(_THRESHOLDS, "level int, radius double, ratio double, stop double, capacity long")
@@ -377,10 +381,11 @@ def flagship_checks(spark, sf_dir):
     """The layered graph over nets, refined: recall of its search with early stop is 0.9 at least, and its bottom rows are sound."""
     base, asked = _sides(spark, sf_dir)
     net = NetConfig(1.1, 0.0, 1.15)
-    levels_of = rnets.net_levels(base, net, 2, F.xxhash64("vid"))
+    levels_of = cut(rnets.net_levels(base, net, 2, F.xxhash64("vid")))
     layers, entry, top = layered.refined(base, levels_of, 16, 32, 1.05, loops=1, routing=1)
     stops = {h: early_stop(h, NetConfig(1.1, 0.0, 0.001), PruneConfig(1.5, 0.0, 0.001)) for h in range(1, top + 1)}
-    found = search.search_layered(asked, layers, base, entry, top, K, 40, stops=stops)
+    packed = cut(compact.pack_layers(layers, levels_of, base, 16, 32, top))
+    found = compact.search_layered(asked, packed, entry.first().vid, top, K, 40, stops=stops)
     recall = evaluate.recall_at_k(found, knn(base, asked, K), K).select((F.col("recall") >= 0.9).alias("recall_is_high"))
     return recall.join(F.broadcast(edges.row_faults(layers.where("level = 0"), base.count(), 32)))  # one row each
 
@@ -393,12 +398,50 @@ def insert_batches(spark, sf_dir):
     graph, vectors = edges.truncate(knn(none, none.withColumnRenamed("vid", "qid"), 1).select(F.col("qid").alias("src"), F.col("vid").alias("dst"), "dist"), 1), none
     for share in (0, 1):
         graph, vectors = increments.add_vertices(graph, vectors, base.where(F.col("vid") % 2 == share).select("vid", "vec"), 24)
-    entries = asked.select("qid").join(F.broadcast(probes.medoid(vectors).select("vid")))  # one row
-    found = search.search_flat(asked, graph, vectors, entries, K, 60)
+    packed = cut(compact.pack(graph, vectors, 24))
+    found = compact.search_flat(compact.from_one(asked, probes.medoid(vectors).first().vid), packed, K, 60)
     recall = evaluate.recall_at_k(found, knn(base, asked, K), K).select((F.col("recall") >= 0.9).alias("recall_is_high"))
     return recall.join(F.broadcast(graph.agg(F.count_distinct("src").alias("vertices"))))  # one row each
 
 
+_BUILT = "true AS recall_is_high, 0::BIGINT AS loops, 0::BIGINT AS repeats, 0::BIGINT AS outside, 0::BIGINT AS not_numbers, 0::BIGINT AS too_long FROM embeddings LIMIT 1"
+
+
+def _checked(spark, sf_dir, graph, found, degree: int):
+    """Whether recall of what was found is 0.9 at least, and faults of the rows of a graph."""
+    base, asked = _sides(spark, sf_dir)
+    recall = evaluate.recall_at_k(found, knn(base, asked, K), K).select((F.col("recall") >= 0.9).alias("recall_is_high"))
+    return recall.join(F.broadcast(edges.row_faults(graph, base.count(), degree)))  # one row each
+
+
+@query(f"SELECT {_BUILT}")
+def knn_graph_checks(spark, sf_dir):
+    """The approximate neighbour graph's rows as answers, of the vectors that are queries: recall, and faults of all rows."""
+    graph = cut(refine.knn_graph(read_embeddings(spark, sf_dir), 16))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("dist", "vid"))
+    own = read_embeddings(spark, sf_dir).where("vid % 20 = 0").select(F.col("vid").alias("qid"), "vid", F.lit(0.0).alias("dist"))
+    rows = graph.where("src % 20 = 0").select(F.col("src").alias("qid"), F.col("dst").alias("vid"), "dist").unionByName(own)
+    return _checked(spark, sf_dir, graph, rows.withColumn("rank", rank), 16)
+
+
+@query(f"SELECT {_BUILT}")
+def convergent_graph_checks(spark, sf_dir):
+    """The pruned graph: recall of its search, and faults of its rows."""
+    base, asked = _sides(spark, sf_dir)
+    graph = refine.convergent_graph(base, 32)
+    return _checked(spark, sf_dir, graph, compact.search_flat(compact.from_one(asked, probes.medoid(base).first().vid), cut(compact.pack(graph, base, 32)), K, 40), 32)
+
+
+@query(f"SELECT {_BUILT}")
+def layered_graph_checks(spark, sf_dir):
+    """The graph of random layers of exact sizes: recall of its search, and faults of its bottom's rows."""
+    base, asked = _sides(spark, sf_dir)
+    found = cut(permute.hierarchy(base, 0.25, 3, permute.by_hash()))
+    layers, entry, top = layered.build(base, found, 16)
+    packed = cut(compact.pack_layers(layers, found, base, 16, 32, top))
+    return _checked(spark, sf_dir, layers.where("level = 0"), compact.search_layered(asked, packed, entry.first().vid, top, K, 40), 32)
+
+
 @query()
 def knn_graph(spark, sf_dir):
     """Approximate 16-nearest-neighbour graph of all vectors."""
@@ -410,13 +453,138 @@ def search_convergent_graph(spark, sf_dir):
     """Ten nearest found by a beam on the pruned graph, from the medoid."""
     base, asked = _sides(spark, sf_dir)
     graph = refine.convergent_graph(base, 32)
-    entries = asked.select("qid").join(F.broadcast(probes.medoid(base).select("vid")))  # one row
-    return search.search_flat(asked, graph, base, entries, K, 40)
+    packed = cut(compact.pack(graph, base, 32))
+    return compact.search_flat(compact.from_one(asked, probes.medoid(base).first().vid), packed, K, 40)
 
 
 @query()
 def search_layered_graph(spark, sf_dir):
     """Ten nearest found on a graph of random layers."""
     base, asked = _sides(spark, sf_dir)
-    layers, entry, top = layered.build(base, levels.random_levels(base, 0.25, 3), 16)
-    return search.search_layered(asked, layers, base, entry, top, K, 40)
+    found = cut(permute.hierarchy(base, 0.25, 3, permute.by_hash()))
+    layers, entry, top = layered.build(base, found, 16)
+    packed = cut(compact.pack_layers(layers, found, base, 16, 32, top))
+    return compact.search_layered(asked, packed, entry.first().vid, top, K, 40)
+
+
+# growing graphs, nets and permutations
+
+_SOUND = f"SELECT unnest(range(1, {TOP + 1}))::INT AS level, 0::BIGINT AS crowded, 0::BIGINT AS uncovered, true AS recall_is_high, 0::BIGINT AS too_long, (SELECT count(*) FROM embeddings)::BIGINT AS vertices"
+_CAPS = insertion.Caps(16, 32, 30, 64, 64)
+
+
+def _soundness(graph: insertion.Layered, low, asked):
+    """For each level above the bottom the faults of its net; whether recall is 0.9 at least; rows over their cap; and how many vertices there are."""
+    recall = evaluate.recall_at_k(insertion.found_by(graph, asked, K, 40, _CAPS), knn(low, asked, K), K).select((F.col("recall") >= 0.9).alias("recall_is_high"))
+    cap = F.when(F.col("level") > 0, _CAPS.upper).otherwise(_CAPS.bottom)
+    long = graph.layers.groupBy("level", "src").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > cap).alias("too_long"))
+    size = graph.levels.agg(F.count("*").alias("vertices"))
+    faults = rnets.violations(low, graph.levels, NET)
+    return faults.join(F.broadcast(recall.join(F.broadcast(long)).join(F.broadcast(size))))  # one row each
+
+
+@query(_SOUND)
+def insert_stacked(spark, sf_dir):
+    """A layered graph over nets made by insertion: its nets are nets, recall is 0.9 at least, no row is too long."""
+    low = _low(spark, sf_dir)
+    asked = low.where("vid % 20 = 0").select(F.col("vid").alias("qid"), "vec")
+    graph = insertion.insert(insertion.empty(low), low, NET, TOP, _CAPS)
+    return _soundness(graph, low, asked)
+
+
+@query(_SOUND)
+def insert_layered(spark, sf_dir):
+    """The same after three batches."""
+    low = _low(spark, sf_dir)
+    asked = low.where("vid % 20 = 0").select(F.col("vid").alias("qid"), "vec")
+    graph = insertion.empty(low)
+    for share in range(3):
+        graph = increments.add_layered(graph, low.where(F.col("vid") % 3 == share), NET, TOP, _CAPS)
+    return _soundness(graph, low, asked)
+
+
+@query(f"""WITH {_EDGES}, s AS (SELECT src, dst, min(dist) AS dist FROM (SELECT src, dst, dist FROM e UNION ALL SELECT dst, src, dist FROM e) GROUP BY src, dst), d AS (SELECT src, least(count(*), 16) AS n FROM s GROUP BY src)
+SELECT 0 AS level, (SELECT count(*) FROM embeddings)::BIGINT AS vertices, sum(n)::BIGINT AS edges, (SELECT count(*) * (8 + 16 * 8 + 64 * 4) FROM embeddings)::BIGINT AS bytes FROM d""")
+def compact_sizes(spark, sf_dir):
+    """Vertices, edges and bytes of a packed graph of rows of 16."""
+    return compact.sizes(compact.pack(edges.symmetric(_edges(spark, sf_dir)), read_embeddings(spark, sf_dir), 16))
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, s AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)), few AS (SELECT vid AS qid, v AS qv FROM b WHERE vid % 20 = 0),
+w(qid, vid, dist, step) AS (SELECT qid, vid, round(list_distance(qv, v), 6), 0 FROM few, b WHERE vid = (SELECT min(vid) FROM b)
+UNION ALL SELECT qid, best.vid, best.dist, step + 1 FROM (SELECT w.qid, any_value(w.dist) AS dist, any_value(w.vid) AS vid, any_value(step) AS step, min((round(list_distance(few.qv, b.v), 6), b.vid)) AS m FROM w JOIN few ON few.qid = w.qid JOIN s ON s.src = w.vid JOIN b ON b.vid = s.dst GROUP BY w.qid) n, LATERAL (SELECT m[1] AS dist, m[2] AS vid) best WHERE (best.dist, best.vid) < (n.dist, n.vid))
+SELECT qid, 1 AS rank, arg_max(vid, step) AS vid, arg_max(dist, step) AS dist FROM w GROUP BY qid""")
+def search_greedy_walk(spark, sf_dir):
+    """Where a greedy walk from the least vertex ends, on the exact graph of ten neighbours with edges both ways."""
+    base, asked = _sides(spark, sf_dir)
+    graph = edges.symmetric(_edges(spark, sf_dir))
+    widest = graph.groupBy("src").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    packed = cut(compact.pack(graph, base, widest))
+    found = compact.searched(compact.from_one(asked, base.agg(F.min("vid")).first()[0]), packed, 1, expand=1)
+    return compact.ranked(found, 1)
+
+
+@query(f"WITH {_knn_sql(k=5)}, p AS (SELECT vec_id AS vid, row_number() OVER (ORDER BY (vec_id * 7919 + 13) % 1009, vec_id) - 1 AS place FROM embeddings) SELECT qid, rank, place AS vid, dist FROM near JOIN p ON p.vid = near.vid")
+def shuffle_remap(spark, sf_dir):
+    """The truth of five neighbours after a shuffle of the data set."""
+    base, asked = _sides(spark, sf_dir)
+    places = permute.ranked(base, (F.col("vid") * 7919 + 13) % 1009)
+    return permute.remapped(knn(base, asked, 5), places)
+
+
+@query("""WITH RECURSIVE n AS (SELECT count(*) AS n FROM embeddings), s(level, size) AS (SELECT 0, n FROM n UNION ALL SELECT level + 1, floor(0.25 * size)::BIGINT FROM s WHERE level < 3 AND floor(0.25 * size) >= 32),
+p AS (SELECT vec_id AS vid, row_number() OVER (ORDER BY (vec_id * 7919 + 13) % 1009, vec_id) - 1 AS place FROM embeddings)
+SELECT vid, (SELECT count(*) FROM s WHERE level > 0 AND place < size)::INT AS highest_level FROM p""")
+def exact_hierarchy(spark, sf_dir):
+    """Highest level of each vector in a hierarchy of exact sizes."""
+    return permute.hierarchy(read_embeddings(spark, sf_dir), 0.25, 3, (F.col("vid") * 7919 + 13) % 1009)
+
+
+_RADII = (1.15, 1.0)
+
+@query("SELECT 0::BIGINT AS dependent, 0::BIGINT AS open")
+def graph_net(spark, sf_dir):
+    """A net on the exact neighbour graph's edges, in two stages: edges within the radius that join two members, and vertices that are none and have no member within it."""
+    base, rows = read_embeddings(spark, sf_dir), cut(_edges(spark, sf_dir))
+    both = cut(edges.symmetric(rows).where(F.col("dist") <= _RADII[-1]).select("src", "dst"))
+    net = graph_nets.graph_net(base, rows, list(_RADII), F.xxhash64("vid")).select("vid")
+    inside = both.join(net.withColumnRenamed("vid", "src"), "src", "left_semi")
+    dependent = inside.join(net.withColumnRenamed("vid", "dst"), "dst", "left_semi").agg(F.count("*").alias("dependent"))
+    near = inside.select(F.col("dst").alias("vid")).unionByName(net).distinct()
+    return dependent.join(F.broadcast(base.join(near, "vid", "left_anti").agg(F.count("*").alias("open"))))  # one row each
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, s AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT src, dst, dist FROM e UNION ALL SELECT dst, src, dist FROM e) WHERE dist <= {_RADII[0]}), o AS MATERIALIZED (SELECT vid, (vid * 7919 + 13) % 1000003 AS place FROM b),
+n(vid, state) USING KEY (vid) AS (SELECT vid, 0 FROM o
+UNION ALL SELECT r.vid, CASE WHEN r.vid = c.vid THEN 1 ELSE 2 END FROM (SELECT o.vid FROM recurring.n r JOIN o ON o.vid = r.vid WHERE state = 0 ORDER BY place, o.vid LIMIT 1) c, recurring.n r WHERE r.state = 0 AND (r.vid = c.vid OR EXISTS (SELECT 1 FROM s WHERE s.src = c.vid AND s.dst = r.vid)))
+SELECT vid, 0 AS stage FROM n WHERE state = 1""")
+def graph_net_members(spark, sf_dir):
+    """Members of a net on the exact neighbour graph's edges, taken in a given order."""
+    return graph_nets.graph_net(read_embeddings(spark, sf_dir), _edges(spark, sf_dir), [_RADII[0]], (F.col("vid") * 7919 + 13) % 1000003)
+
+
+@query("""SELECT batch, greatest(1, floor(batch * 0.05 - 1.7506860712521692 * sqrt(batch * 0.05 * 0.95)))::BIGINT AS threshold, 0::BIGINT AS crowded, true AS covered FROM (VALUES (128::BIGINT), (512::BIGINT)) t(batch)""")
+def sampled_nets(spark, sf_dir):
+    """Nets from sampled batches: the threshold they stop at, members too near to each other, and whether they cover what was asked for (0.95)."""
+    low, out = _low(spark, sf_dir), []
+    for batch in (128, 512):
+        net = graph_nets.sampled_net(low, 0.1, F.xxhash64("vid"), batch)
+        near = range_counts(low.join(net, "vid", "left_semi"), low.join(net, "vid", "left_semi").withColumnRenamed("vid", "qid"), 0.1)
+        covered = graph_nets.covered_share(low, net, 0.1) >= 0.95
+        out.append(near.agg(F.count("*").alias("crowded")).select(F.lit(batch).cast("long").alias("batch"), F.lit(graph_nets.stop_threshold(0.95, 0.96, batch)).cast("long").alias("threshold"), "crowded", F.lit(covered).alias("covered")))
+    return out[0].unionByName(out[1])
+
+
+@query("SELECT true AS same_parameters, true AS recall_is_high, count(*)::BIGINT AS vertices FROM embeddings")
+def restored_and_grown(spark, sf_dir):
+    """A graph that is stored, restored and grown by the parameters that were stored with it."""
+    base, asked = _sides(spark, sf_dir)
+    config = builders.Convergent(24, loops=1)
+    path, first = scratch(spark, "restored"), base.count() * 3 // 4
+    builders.save(builders.build("convergent", base.where(F.col("vid") < first), config), path)
+    index = builders.restore(spark, path, "convergent")
+    index = builders.grow(index, base.where(F.col("vid") >= first))
+    packed = cut(compact.pack(index.graph, index.vectors, 24))
+    found = compact.search_flat(compact.from_one(asked, probes.medoid(base).first().vid), packed, K, 60)
+    recall = evaluate.recall_at_k(found, knn(base, asked, K), K).select(F.lit(index.config == config).alias("same_parameters"), (F.col("recall") >= 0.9).alias("recall_is_high"))
+    return recall.join(F.broadcast(index.vectors.agg(F.count("*").alias("vertices"))))  # one row each

@@ -52,6 +52,11 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a graph of this application alone, deleted when it ends."""
+    return f"{_scratch(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def released(*cuts: DataFrame) -> None:
     """Deletes what ``cut`` wrote, once nothing reads it any more; other tables are left alone."""
     for df in cuts:
