@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.distance import parse_metric
+from nearfield.operators.cells import CELLS, placed
 from nearfield.operators.search import EXPAND
 from nearfield.sources.snapshots import cut, released
 
@@ -40,13 +41,18 @@ class Part(NamedTuple):
     vec: np.ndarray
 
 
-def pack(edges: DataFrame, vectors: DataFrame, width: int, level: int = 0, part: int | None = None) -> DataFrame:
-    """Parts of a graph by ranges of vertices (PACKED): the ``width`` nearest neighbours of each. Vertices without edges have empty rows."""
+def pack(edges: DataFrame, vectors: DataFrame, width: int, level: int = 0, part: int | None = None, homes: DataFrame | None = None) -> DataFrame:
+    """Parts of a graph (PACKED): the ``width`` nearest neighbours of each vertex. Vertices without edges have empty rows.
+
+    Parts are ranges of vertices, or as ``homes`` (vid, part) says; see ``local_parts`` for such as a routed search seldom leaves.
+    """
     part = part or PART
-    count, most = vectors.agg(F.count("*"), F.max("vid")).first()
-    step = max(part, part * ((most or 0) + 1) // max(count, 1))
+    if homes is None:
+        count, most = vectors.agg(F.count("*"), F.max("vid")).first()
+        step = max(part, part * ((most or 0) + 1) // max(count, 1))
+        homes = vectors.select("vid", F.floor(F.col("vid") / step).cast("long").alias("part"))
     rows = edges.groupBy("src").agg(F.slice(F.sort_array(F.collect_list(F.struct("dist", "dst"))), 1, width)["dst"].alias("row"))
-    joined = vectors.select("vid", "vec").join(rows.withColumnRenamed("src", "vid"), "vid", "left").select("vid", "vec", "row", F.floor(F.col("vid") / step).cast("long").alias("part"))
+    joined = vectors.select("vid", "vec").join(rows.withColumnRenamed("src", "vid"), "vid", "left").join(homes, "vid").select("vid", "vec", "row", "part")
 
     def flat(key, table):
         table = table.combine_chunks().sort_by("vid")
@@ -63,6 +69,16 @@ def pack(edges: DataFrame, vectors: DataFrame, width: int, level: int = 0, part:
     return joined.groupBy("part").applyInArrow(flat, PACKED)
 
 
+def local_parts(vectors: DataFrame, part: int | None = None) -> DataFrame:
+    """vid, part: vertices by the cell of a net that they lie in; a cell of more than ``part`` vertices is several parts, by a hash."""
+    size = part or PART
+    n = vectors.count()
+    rows, _ = placed(vectors, max(1, min(CELLS, -(-n // size))))
+    count = rows.groupBy("cell").agg(F.ceil(F.count("*") / size).alias("many"))  # a row a cell
+    named = rows.join(F.broadcast(count), "cell")
+    return cut(named.select("vid", (F.col("cell").cast("long") * F.lit(1 << 32) + F.pmod(F.xxhash64("vid"), F.col("many"))).alias("part")))
+
+
 def pack_layers(layers: DataFrame, levels: DataFrame, vectors: DataFrame, upper: int, bottom: int, top: int) -> DataFrame:
     """Parts of all levels of a layered graph."""
     out = None
@@ -105,8 +121,10 @@ class Held(NamedTuple):
 def held(parts: list[Part]) -> Held:
     if not parts:
         return Held(np.zeros(0, np.int64), np.zeros((0, 1), np.int64), np.zeros((0, 1), np.int64), np.zeros((0, 1), np.float32))
-    parts = sorted(parts, key=lambda p: p.vid[0])
     vid, ids, vec = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    if (np.diff(vid) < 0).any():
+        order = np.argsort(vid)
+        vid, ids, vec = vid[order], ids[order], vec[order]
     one = Held(vid, ids, ids, vec)
     return one._replace(near=one.places(ids))
 
@@ -319,7 +337,7 @@ def _routed(asked: DataFrame, packed: DataFrame, width: int, metric: str, expand
     state = asked.sparkSession.createDataFrame([], "qid long, vid long, dist double, open boolean")
     todo = asked.select("qid", F.explode("entries").alias("vid")).distinct()
     old: list[DataFrame] = []
-    while True:
+    while True:  # rounds
         worst = state.groupBy("qid").agg(F.when(F.count("*") >= width, F.max("dist")).otherwise(F.lit(float("inf"))).alias("worst"))
         visits = todo.join(homes, "vid").groupBy("qid", "part").agg(F.collect_list("vid").alias("todo"))  # of one query: its open ones and their neighbours
         visits = visits.join(worst, "qid", "left").join(queries, "qid").select("part", "block", "qid", "vec", F.coalesce("worst", F.lit(float("inf"))).alias("worst"), "todo")

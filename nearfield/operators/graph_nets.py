@@ -77,6 +77,29 @@ def sampled_net(members: DataFrame, radius: float, order: Column, batch: int = 2
     return net
 
 
+def farthest_of_batches(members: DataFrame, radius: float, order: Column, batch: int = 512, empty: int = 3, most: int | None = None, metric: str = "l2") -> DataFrame:
+    """vid, step: a net that takes of each batch of members in ``order``, again and again from the first, the one farthest from the net, if it is farther than the radius.
+
+    Ends after ``empty`` batches in a row without one, or at ``most`` members. Each step is a job over one batch and the net: for nets of some hundreds.
+    """
+    if batch < 1 or empty < 1:
+        raise ValueError("a batch, and the number of batches in vain, must be positive")
+    n = members.count()
+    places = cut(members.select("vid", "vec").join(ranked(members, order), "vid"))
+    spark, taken, number, vain = members.sparkSession, [], 0, 0
+    while n and vain < min(empty, -(-n // batch)) and (most is None or len(taken) < most):
+        start = number * batch % (-(-n // batch) * batch)
+        some = places.where((F.col("place") >= start) & (F.col("place") < start + batch)).select(F.col("vid").alias("qid"), "vec")
+        net = places.where(F.col("vid").isin(taken)).select("vid", "vec")
+        near = knn(net, some, 1, metric).select("qid", "dist")
+        far = some.join(near, "qid", "left").select(F.struct(F.coalesce("dist", F.lit(float("inf"))).alias("dist"), (-F.col("qid")).alias("rank")).alias("far"))
+        dist, rank = far.agg(F.max("far")).select("max(far).*").first()
+        vain = 0 if dist > radius else vain + 1
+        taken += [-rank] if dist > radius else []
+        number += 1
+    return spark.createDataFrame([(v, k) for k, v in enumerate(taken)], "vid long, step int")
+
+
 def covered_share(members: DataFrame, net: DataFrame, radius: float, metric: str = "l2") -> float:
     """The share of members that a member of the net covers; exact."""
     n = members.count()

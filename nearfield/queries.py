@@ -8,11 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from nearfield.operators import builders, compact, edges, evaluate, exact, graph_nets, increments, insertion, layered, levels, permute, probes, refine, rnets, search
+from nearfield.functions.distance import dot_product
+from nearfield.operators import builders, compact, edges, evaluate, exact, graph_nets, increments, insertion, layered, levels, permute, probes, refine, rnets, search, supersteps
 from nearfield.operators.knn import knn, range_counts
-from nearfield.plans.config import NetConfig, PruneConfig, early_stop, edge_ratio, layer_capacity
+from nearfield.plans.config import NetConfig, PruneConfig, early_stop, edge_ratio, highest_level, layer_capacity
+from nearfield.sources import snapshots
 from nearfield.sources.snapshots import cut, scratch
-from nearfield.sources.vectors import read_embeddings, subset_of_ids
+from nearfield.sources.vectors import read_embeddings, subset_of_ids, subset_of_range
 
 K = 10
 QUERIES: dict = {}
@@ -369,11 +371,15 @@ def subset_by_ids(spark, sf_dir):
 
 @query(f"WITH {_knn_sql()} SELECT * FROM near")
 def search_complete_graph(spark, sf_dir):
-    """Search on a graph of all edges finds the exact neighbours."""
+    """A complete search: on a connected graph (ten neighbours, edges both ways, and a chain of all ids) a state that drops nothing ends with the exact neighbours."""
     base, asked = _sides(spark, sf_dir)
-    every = base.select(F.col("vid").alias("src")).join(base.select(F.col("vid").alias("dst")), F.col("src") != F.col("dst"))
+    n = base.count()
+    chain = base.where("vid > 0").select(F.col("vid").alias("src"), (F.col("vid") - 1).alias("dst"), F.lit(9.0).alias("dist"), F.lit(False).alias("is_new"))
+    graph = edges.symmetric(_edges(spark, sf_dir).unionByName(chain))
+    widest = cut(graph.groupBy("src").agg(F.count("*").alias("n"))).agg(F.max("n")).first()[0]
     entries = search.strided_entries(asked, base.select("vid"), 3)
-    return search.search_flat(asked, every, base, entries, K, K)
+    found = compact.searched(compact.with_entries(asked, entries), cut(compact.pack(graph, base, widest)), n, expand=64)
+    return compact.ranked(found, K)
 
 
 @query("SELECT true AS recall_is_high, 0::BIGINT AS loops, 0::BIGINT AS repeats, 0::BIGINT AS outside, 0::BIGINT AS not_numbers, 0::BIGINT AS too_long")
@@ -510,10 +516,12 @@ def compact_sizes(spark, sf_dir):
     return compact.sizes(compact.pack(edges.symmetric(_edges(spark, sf_dir)), read_embeddings(spark, sf_dir), 16))
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, s AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)), few AS (SELECT vid AS qid, v AS qv FROM b WHERE vid % 20 = 0),
+_WALK = f"""WITH RECURSIVE {_EDGES}, s AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)), few AS (SELECT vid AS qid, v AS qv FROM b WHERE vid % 20 = 0),
 w(qid, vid, dist, step) AS (SELECT qid, vid, round(list_distance(qv, v), 6), 0 FROM few, b WHERE vid = (SELECT min(vid) FROM b)
-UNION ALL SELECT qid, best.vid, best.dist, step + 1 FROM (SELECT w.qid, any_value(w.dist) AS dist, any_value(w.vid) AS vid, any_value(step) AS step, min((round(list_distance(few.qv, b.v), 6), b.vid)) AS m FROM w JOIN few ON few.qid = w.qid JOIN s ON s.src = w.vid JOIN b ON b.vid = s.dst GROUP BY w.qid) n, LATERAL (SELECT m[1] AS dist, m[2] AS vid) best WHERE (best.dist, best.vid) < (n.dist, n.vid))
-SELECT qid, 1 AS rank, arg_max(vid, step) AS vid, arg_max(dist, step) AS dist FROM w GROUP BY qid""")
+UNION ALL SELECT qid, best.vid, best.dist, step + 1 FROM (SELECT w.qid, any_value(w.dist) AS dist, any_value(w.vid) AS vid, any_value(step) AS step, min((round(list_distance(few.qv, b.v), 6), b.vid)) AS m FROM w JOIN few ON few.qid = w.qid JOIN s ON s.src = w.vid JOIN b ON b.vid = s.dst GROUP BY w.qid) n, LATERAL (SELECT m[1] AS dist, m[2] AS vid) best WHERE (best.dist, best.vid) < (n.dist, n.vid))"""
+
+
+@query(f"{_WALK} SELECT qid, 1 AS rank, arg_max(vid, step) AS vid, arg_max(dist, step) AS dist FROM w GROUP BY qid")
 def search_greedy_walk(spark, sf_dir):
     """Where a greedy walk from the least vertex ends, on the exact graph of ten neighbours with edges both ways."""
     base, asked = _sides(spark, sf_dir)
@@ -524,6 +532,14 @@ def search_greedy_walk(spark, sf_dir):
     return compact.ranked(found, 1)
 
 
+@query(f"{_WALK}, t AS (SELECT w.qid, arg_max(w.vid, step) AS vid, arg_max(w.dist, step) AS dist FROM w GROUP BY w.qid), n AS (SELECT qid, min((round(list_distance(qv, v), 6), vid)) AS m FROM few, b GROUP BY qid) SELECT round(count(*) FILTER (WHERE n.m[2] = t.vid) / count(*), 6) AS recall, coalesce(round(avg(t.dist / n.m[1]) FILTER (WHERE n.m[1] > 0), 6), 0.0) AS adr FROM t JOIN n USING (qid)")
+def walk_quality(spark, sf_dir):
+    """Recall and distance ratio at one of the greedy walk."""
+    base, asked = _sides(spark, sf_dir)
+    found, true = cut(search_greedy_walk(spark, sf_dir)), cut(knn(base, asked, 1))
+    return evaluate.recall_at_k(found, true, 1).join(F.broadcast(evaluate.distance_ratio_at_1(found, true)))  # one row each
+
+
 @query(f"WITH {_knn_sql(k=5)}, p AS (SELECT vec_id AS vid, row_number() OVER (ORDER BY (vec_id * 7919 + 13) % 1009, vec_id) - 1 AS place FROM embeddings) SELECT qid, rank, place AS vid, dist FROM near JOIN p ON p.vid = near.vid")
 def shuffle_remap(spark, sf_dir):
     """The truth of five neighbours after a shuffle of the data set."""
@@ -588,3 +604,94 @@ def restored_and_grown(spark, sf_dir):
     found = compact.search_flat(compact.from_one(asked, probes.medoid(base).first().vid), packed, K, 60)
     recall = evaluate.recall_at_k(found, knn(base, asked, K), K).select(F.lit(index.config == config).alias("same_parameters"), (F.col("recall") >= 0.9).alias("recall_is_high"))
     return recall.join(F.broadcast(index.vectors.agg(F.count("*").alias("vertices"))))  # one row each
+
+
+# single steps and numbers
+
+@query(f"WITH {_SIDES} SELECT qid, vid, round(list_inner_product(qv, v), 6) + 0.0 AS dot FROM q, b WHERE (vid + qid) % 97 = 0")
+def dot_products(spark, sf_dir):
+    """Raw inner products of queries with every vector whose id and theirs add up to a multiple of 97: about one in 97 pairs, an equi-join on the remainder."""
+    base, asked = _sides(spark, sf_dir)
+    left = asked.select("qid", F.col("vec").alias("_q"), ((97 - F.col("qid") % 97) % 97).alias("rest"))
+    right = base.select("vid", "vec", (F.col("vid") % 97).alias("rest"))
+    return left.join(right, "rest").select("qid", "vid", (F.round(dot_product(F.col("_q"), F.col("vec")), 6) + 0.0).alias("dot"))
+
+
+@query("SELECT vec_id - (SELECT count(*) // 4 FROM embeddings) AS pos, vec_id AS vid, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings, (SELECT count(*) AS n FROM embeddings) WHERE vec_id >= n // 4 AND vec_id < n // 4 + n // 2")
+def subset_by_range(spark, sf_dir):
+    """The middle half of the vectors, by a range of ids."""
+    base = read_embeddings(spark, sf_dir)
+    n = base.count()
+    rows = subset_of_range(base, n // 4, n // 2)
+    return rows.select((F.col("vid") - n // 4).alias("pos"), "vid", F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("total"))
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM embeddings)
+SELECT n::BIGINT AS vertices, greatest(1, ceil(ln(n / 1000.0)))::INT AS net_levels, (CASE WHEN n <= 32 THEN 1 ELSE greatest(1, ceil(ln(n / 32.0) / ln(4.0)) + 1) END)::INT AS random_levels,
+ceil(pow(1.959963984540054, 2) * (1 - 0.25) / (0.25 * pow(0.05, 2)))::BIGINT AS pairs, ceil(ln(n) / ln(4.0) - 1e-9)::INT AS most_weight FROM n""")
+def planned_numbers(spark, sf_dir):
+    """What follows from the number of vectors: highest levels of nets and of random hierarchies, the greatest weight; and the pairs that a quantile needs."""
+    n = read_embeddings(spark, sf_dir).count()
+    row = (n, highest_level(n), levels.highest_random_level(n, 0.25), probes.pairs_sampled(0.25, 0.95, 0.05), levels.max_weight(n, 0.25))
+    return spark.createDataFrame([row], "vertices long, net_levels int, random_levels int, pairs long, most_weight int")
+
+
+@query(f"WITH {_EDGES} SELECT 'knn' AS kind, count(*)::BIGINT AS edges, round(sum(dist), 3) AS total, 10::BIGINT AS degree, true AS registered FROM e")
+def snapshot_roundtrip(spark, sf_dir):
+    """The exact neighbour graph, stored, found in a registry, and loaded."""
+    base = read_embeddings(spark, sf_dir)
+    path, registry = scratch(spark, "snapshot"), scratch(spark, "registry")
+    snapshots.save_graph(_edges(spark, sf_dir), path, "knn", base.count(), degree=K)
+    snapshots.register(spark, registry, "knn", {"degree": K}, path)
+    found = snapshots.find(spark, registry, "knn", {"degree": K})
+    stored, about = snapshots.load_graph(spark, found or path, "knn")
+    registered = found == path and snapshots.find(spark, registry, "knn", {"degree": K + 1}) is None
+    total = stored.agg(F.count("*").alias("edges"), F.round(F.sum("dist"), 3).alias("total"))
+    return total.select(F.lit(about["kind"]).alias("kind"), "edges", "total", F.lit(about["parameters"]["degree"]).cast("long").alias("degree"), F.lit(registered).alias("registered"))
+
+
+@query("SELECT count(*)::BIGINT AS vectors, (count(*) * (3 * count(*) - 1) // 2)::BIGINT AS id_sum, count(*)::BIGINT AS first, (2 * count(*) - 1)::BIGINT AS last, round(sum(embedding[1]::DOUBLE), 3) AS total FROM embeddings")
+def append_batch(spark, sf_dir):
+    """Ids that a batch of all vectors gets after these vectors."""
+    base = read_embeddings(spark, sf_dir)
+    fresh = increments.appended(base.select("vid", "vec"), base.select("vec"))
+    return fresh.agg(F.count("*").alias("vectors"), F.sum("vid").alias("id_sum"), F.min("vid").alias("first"), F.max("vid").alias("last"), F.round(F.sum(F.col("vec")[0].cast("double")), 3).alias("total"))
+
+
+@query(f"WITH {_EDGES}, r AS (SELECT dst AS src, src AS dst, dist, true AS is_new FROM e WHERE src BETWEEN 100 AND 299 UNION ALL SELECT src, dst, dist, false FROM e) SELECT src, dst, min(dist) AS dist, bool_and(is_new) AS is_new FROM r GROUP BY src, dst")
+def superstep_of_a_range(spark, sf_dir):
+    """Edges back from the rows of vertices 100 to 299 alone, merged into all rows."""
+    return supersteps.step(_edges(spark, sf_dir), read_embeddings(spark, sf_dir), supersteps.reverse, 100, 299)
+
+
+@query(f"WITH {_EDGES}, r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS r FROM e) SELECT 1 AS level, src, dst, dist FROM r WHERE r <= 3 UNION ALL SELECT 0, src, dst, dist FROM r WHERE r <= 5")
+def layer_rows(spark, sf_dir):
+    """Flat rows written to layers within their capacities, taken from a layer, and written again."""
+    rows = _edges(spark, sf_dir)
+    bottom = edges.written_back(rows, 0, 3, 5)
+    return edges.written_back(edges.taken_from(bottom, 0, 4), 1, 3, 5).unionByName(bottom)
+
+
+_TEN = f"{_knn_sql(k=10, where='vid <> qid', sides=_ALL)}, c AS MATERIALIZED (SELECT qid AS p, near.vid AS q, dist AS d, v, rank AS rk FROM near JOIN b ON b.vid = near.vid)"
+
+
+@query(f"""WITH RECURSIVE {_pruned_sql(_TEN, 'nc.d / 1.05::DOUBLE')}, kept AS (SELECT st.p AS src, st.q AS dst, c.d AS dist FROM st JOIN c ON c.p = st.p AND c.q = st.q WHERE state = 1),
+m AS (SELECT src, dst, min(dist) AS dist, bool_and(is_new) AS is_new FROM (SELECT src, dst, dist, false AS is_new FROM kept UNION ALL SELECT dst, src, dist, true FROM kept) GROUP BY src, dst)
+SELECT src, dst, dist, is_new FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS r FROM m) WHERE r <= 12""")
+def converted_graph(spark, sf_dir):
+    """A graph for search from the exact neighbour graph: pruned, with edges back, truncated."""
+    return refine.from_graph(_edges(spark, sf_dir), read_embeddings(spark, sf_dir), 12, 1.05)
+
+
+_EXACT = _exact_sql()
+
+
+@query(f"""WITH RECURSIVE {_NETS}, {_LEVELS}, x AS (FROM ({_EXACT})), w AS (SELECT max(n) AS w FROM (SELECT count(*) AS n FROM x GROUP BY level, src)), m AS (SELECT level, count(*) AS n FROM x GROUP BY level),
+v AS (SELECT level, count(*) AS n FROM m, levels WHERE highest_level >= level GROUP BY level) SELECT level, v.n::BIGINT AS vertices, m.n::BIGINT AS edges, (v.n * (8 + 8 * w + 12))::BIGINT AS bytes FROM m JOIN v USING (level), w""")
+def layered_sizes(spark, sf_dir):
+    """Vertices, edges and bytes of each level of the exact index, packed to rows of its longest."""
+    low = _low(spark, sf_dir)
+    found = cut(rnets.net_levels(low, NET, TOP))
+    layers, _, top = exact.build(low, found, NET, PRUNING)
+    widest = layers.groupBy("level", "src").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    return compact.sizes(compact.pack_layers(layers, found, low, widest, widest, top))

@@ -97,6 +97,18 @@ def test_net_from_batches(base):
     assert graph_nets.sampled_net(base, 0.5, order, batch=40, most=3).count() <= 3
 
 
+def test_farthest_of_batches(base):
+    order, d = F.col("vid") * 37 % 150, np.round(np.sqrt(((POINTS[:, None].astype(float) - POINTS[None]) ** 2).sum(axis=2)), 6)
+    turn, taken, number, vain = sorted(range(150), key=lambda v: (v * 37 % 150, v)), [], 0, 0
+    while vain < 2:
+        some = turn[number * 50 % 150 :][:50]
+        best = min(some, key=lambda v: (-(d[v, taken].min() if taken else np.inf), v))
+        far = bool(not taken or d[best, taken].min() > 1.2)
+        taken, vain, number = taken + [best] * far, 0 if far else vain + 1, number + 1
+    assert [r.vid for r in graph_nets.farthest_of_batches(base, 1.2, order, 50, 2).orderBy("step").collect()] == taken
+    assert graph_nets.farthest_of_batches(base, 1.2, order, 50, 2, most=2).count() == 2 and graph_nets.farthest_of_batches(base.limit(0), 1.2, order).count() == 0
+
+
 def test_loops_are_observed_in_one_build(base):
     queries = base.where("vid % 10 = 0").select(F.col("vid").alias("qid"), "vec")
     true = near_edges(base, 4)
