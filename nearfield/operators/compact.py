@@ -306,13 +306,10 @@ def push_profile(asked: DataFrame, packed: DataFrame, width: int, metric: str =
 
 
 def _routed(asked: DataFrame, packed: DataFrame, width: int, metric: str, expand: int, stop: float | None) -> DataFrame:
-    n = asked.count()
-    blocks = max(1, -(-n // BLOCK))
     packed = cut(packed.select("part", "content"))
     kind = asked.schema["vec"].dataType.simpleString()
     homes = cut(packed.mapInArrow(_members, "part long, vid long"))
-    copies = packed.select("part", "content", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    queries = cut(asked.select("qid", "vec", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block")))
+    queries = cut(asked.select("qid", "vec"))
 
     def visit(key, graph, visits):
         visits, n = visits.combine_chunks(), visits.num_rows
@@ -337,18 +334,23 @@ def _routed(asked: DataFrame, packed: DataFrame, width: int, metric: str, expand
     state = asked.sparkSession.createDataFrame([], "qid long, vid long, dist double, open boolean")
     todo = asked.select("qid", F.explode("entries").alias("vid")).distinct()
     old: list[DataFrame] = []
-    while True:  # rounds
+    while True:
         worst = state.groupBy("qid").agg(F.when(F.count("*") >= width, F.max("dist")).otherwise(F.lit(float("inf"))).alias("worst"))
         visits = todo.join(homes, "vid").groupBy("qid", "part").agg(F.collect_list("vid").alias("todo"))  # of one query: its open ones and their neighbours
-        visits = visits.join(worst, "qid", "left").join(queries, "qid").select("part", "block", "qid", "vec", F.coalesce("worst", F.lit(float("inf"))).alias("worst"), "todo")
-        met = cut(copies.groupBy("part", "block").cogroup(visits.groupBy("part", "block")).applyInArrow(visit, "qid long, vid long, dist double, open boolean"))
+        visits = cut(visits.join(worst, "qid", "left").select("part", "qid", F.coalesce("worst", F.lit(float("inf"))).alias("worst"), "todo"))
+        # a part is copied as often as its visits need, and not at all without one
+        many = cut(visits.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).alias("many")))
+        copies = packed.join(many, "part").select("part", "content", F.explode(F.sequence(F.lit(0), F.col("many").cast("int") - 1)).alias("block"))
+        dealt = visits.join(many, "part").withColumn("block", F.pmod(F.xxhash64("qid"), F.col("many")).cast("int")).join(queries, "qid")
+        dealt = dealt.select("part", "block", "qid", "vec", "worst", "todo")
+        met = cut(copies.groupBy("part", "block").cogroup(dealt.groupBy("part", "block")).applyInArrow(visit, "qid long, vid long, dist double, open boolean"))
         known = state.unionByName(met.where("dist IS NOT NULL")).groupBy("qid", "vid").agg(F.min("dist").alias("dist"), F.min("open").alias("open"))
         after = cut(known.withColumn("_rank", rank).where(F.col("_rank") <= width).drop("_rank"))
         opened = after.where("open") if stop is None else after.withColumn("_best", F.min("dist").over(Window.partitionBy("qid"))).where(F.col("open") & (F.col("_best") > stop))
         todo = opened.select("qid", "vid").unionByName(met.where("dist IS NULL").select("qid", "vid")).distinct()
         todo = cut(todo.join(after.where("NOT open").select("qid", "vid"), ["qid", "vid"], "left_anti"))
         released(*old)
-        old, state = [met, after, todo], after
+        old, state = [visits, many, met, after, todo], after
         if todo.isEmpty():
             break
     lists = state.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("dist", "vid"))).alias("near"))  # ``width`` of each query
