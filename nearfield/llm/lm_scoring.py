@@ -3,12 +3,18 @@
 The background model counts all documents, the target model all trusted labelled ones. Both have every word and every bigram of
 the corpus and one smoothing: absolute discounting, whose left-over mass goes to the unigram. Words are 64-bit hashes.
 
-A token's two losses follow from its bigram alone. Counts of bigrams, of contexts and of words are tables in Spark; joins of them
-give a table of each bigram's losses, in fixed point, so that sums do not depend on their order. A document's distinct bigrams
-are joined with that table and summed. Heads of these tables, at most ``WORDS`` words and ``BIGRAMS`` bigrams by count cuts at any
-corpus size, are broadcast as a shortcut, which also keeps frequent keys out of the joins; what is not in a head goes the way of
-the join and gets the same losses. Bigrams are counted and joined in ``ROUNDS`` shards of their keys, one after the other, so that
-a shard's shuffle files go before the next one's come; the texts are read once for each.
+A token's two losses follow from its bigram alone, in fixed point, so that sums do not depend on their order:
+
+1. Words are counted, as words and as contexts: one table. At most ``WORDS`` frequent ones are broadcast (the head), the rest is joined.
+2. Bigrams of the most frequent words of the head alone, at most ``BIGRAMS``, are counted as a matrix and never shuffled by document.
+3. All other tokens are dealt to shards, packed as arrays (a row holds a slice's bigrams of one shard, how often each comes, and
+   the documents it comes from): by context, so that a shard has all followers of a context; those of contexts in the head by
+   bigram, so that no frequent context lies in one shard. A shard asks the table of words for the counts of its rare words, prices
+   its bigrams and sends each slice the sums of its documents. This is done for the contexts in ``ROUNDS`` parts, one after
+   the other, so that the disk holds one part at a time; the texts are read once for each.
+
+The heads are shortcuts that also keep frequent keys out of shuffles; results do not depend on their sizes. A bigram outside of the
+matrix comes at most as often as the least frequent word that the matrix has.
 
 A document's score is the mean over its tokens of target loss less background loss; lower is nearer to the target.
 
@@ -19,8 +25,11 @@ text is more bigrams; an empty table gives an empty result; columns but doc_id a
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,23 +42,16 @@ DISCOUNT, ADD = 0.75, 0.5
 START = 0
 #: Losses are whole multiples of 1 / UNIT nats; the greatest one, of probability LEAST, fits 31 bits.
 UNIT, LEAST = 1 << 26, 1e-12
-#: Shards of bigrams. All of them are worked on; more of them take less disk at once.
-ROUNDS = 6
-#: Bigrams that a task holds before it counts them.
-HELD = 2 << 20
-
+#: Parts of the contexts. All of them are worked on; more of them take less disk at once.
+ROUNDS = 2
+#: Tokens that a task holds before it counts or packs them, and tokens of a shard.
+HELD, SHARD = 1 << 20, 1 << 19
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
     good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).select("doc_id").distinct()
     return materialize(good, "lm-trusted")
 
 
-def marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """text, and 1 for documents of the target, else 0. The ids grow with the labels: Spark chooses the join by their size."""
-    hit = ids.select(F.col("doc_id").alias("_hit"))
-    return docs.select("doc_id", "text").join(hit, F.col("doc_id") == F.col("_hit"), "left").select("text", F.when(F.col("_hit").isNull(), 0).otherwise(1).cast("int").alias("is_target"))
-
-
 def cut_for(counts: DataFrame, most: int) -> int:
     """The smallest count such that at most ``most`` rows reach it; from a histogram, whose rows are few (counts of counts)."""
     bins = counts.groupBy(F.when(F.col("n") < 1000, F.col("n")).otherwise(F.ceil(F.pow(F.lit(2.0), F.floor(F.log2("n") * 16) / 16))).alias("at")).agg(F.count("*").alias("rows"))
@@ -72,109 +74,320 @@ def bigrams_of(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def pair_keys(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """One 64-bit key of each bigram; :func:`pair_key` is the same for columns."""
+    """One 64-bit key of each bigram."""
     return (before << np.uint64(1) | before >> np.uint64(63)) ^ ids
 
 
-def shards_of(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(40)) % np.uint64(ROUNDS)
+def marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """text, doc_id, and 1 for documents of the target, else 0. The ids grow with the labels: Spark chooses the join by their size."""
+    hit = ids.select(F.col("doc_id").alias("_hit"))
+    found = docs.select("doc_id", "text").join(hit, F.col("doc_id") == F.col("_hit"), "left")
+    return found.select("text", F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("_hit").isNull(), 0).otherwise(1).cast("int").alias("is_target"))
 
 
-def pair_key(before, word):
-    return F.shiftleft(before, 1).bitwiseOR(F.shiftrightunsigned(before, 63)).bitwiseXOR(word)
+def union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for table in tables[1:]:
+        out = out.unionByName(table)
+    return out
 
 
-PAIRS = pa.schema([("before", pa.int64()), ("word", pa.int64()), ("n", pa.int64()), ("n_target", pa.int64())])
+def starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    new = np.ones(len(keys[0]), dtype=bool)
+    new[1:] = False
+    for key in keys:
+        new[1:] |= key[1:] != key[:-1]
+    return np.flatnonzero(new)
 
 
-def bigram_counts(texts: DataFrame, shard: int) -> DataFrame:
-    """before, word, n, n_target: counts of a shard's bigrams in all documents, and in those of the target."""
+def find(keys: np.ndarray, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``sought`` in the sorted ``keys``, and whether they are there."""
+    if not len(keys):
+        return np.zeros(len(sought), dtype=np.int64), np.zeros(len(sought), dtype=bool)
+    at = np.minimum(np.searchsorted(keys, sought), len(keys) - 1)
+    return at, keys[at] == sought
 
-    def count(before, ids, weights):
-        before, ids, weights = np.concatenate(before), np.concatenate(ids), np.concatenate(weights)
-        keys = pair_keys(before, ids)
+
+def target_of(part, offsets: np.ndarray) -> np.ndarray:
+    """1 for each token of a trusted document."""
+    return np.repeat(np.asarray(part.column(2), dtype=np.int64), np.diff(offsets))
+
+
+COUNTS = pa.schema([(c, pa.int64()) for c in ("word", "u", "u_target", "c", "c_target")])
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """word, u, u_target, c, c_target: how often each word comes, and how often something follows it, in all documents and in the target's."""
+
+    def summed(keys, weights):
+        keys, weights = np.concatenate(keys), np.concatenate(weights)
         order = np.argsort(keys)
         keys, weights = keys[order], weights[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        first = starts(keys)
         n = np.diff(np.concatenate([first, [len(keys)]]))
-        target, at = np.add.reduceat(weights, first), order[first]
-        before, ids = before[at].view(np.int64), ids[at].view(np.int64)
-        for a in range(0, len(first), 100_000):
-            b = a + 100_000
-            yield to_batch(PAIRS, before[a:b], ids[a:b], n[a:b], target[a:b])
+        return keys[first].view(np.int64), n, np.add.reduceat(weights, first)
+
+    def rows(held):
+        ids, weights, lasts, ends = held
+        n, n_target = sum(map(len, ends)), sum(int(e.sum()) for e in ends)
+        yield to_batch(COUNTS, [START], [0], [0], [n], [n_target])
+        word, u, u_target = summed(ids, weights)
+        yield to_batch(COUNTS, word, u, u_target, u, u_target)
+        word, c, c_target = summed(lasts, ends)  # nothing follows a document's last word
+        none = np.zeros(len(word), dtype=np.int64)
+        yield to_batch(COUNTS, word, none, none, -c, -c_target)
 
     def work(batches):
-        held, n = [[], [], []], 0
+        held, n = [[], [], [], []], 0
         for part in chunks(batches, column=0):
-            before, ids, offsets = bigrams_of(part.column(0))
-            mine = shards_of(pair_keys(before, ids)) == shard
-            if not mine.any():
+            ids, offsets = hashed_words(texts_of(part.column(0)))
+            if not len(ids):
                 continue
-            for into, some in zip(held, (before, ids, np.repeat(np.asarray(part.column(1), dtype=np.int64), np.diff(offsets)))):
-                into.append(some[mine])
-            n += int(mine.sum())
+            weights, last = target_of(part, offsets), offsets[1:][np.diff(offsets) > 0] - 1
+            for into, some in zip(held, (ids, weights, ids[last], weights[last])):
+                into.append(some)
+            n += len(ids)
             if n >= HELD:
-                yield from count(*held)
-                held, n = [[], [], []], 0
+                yield from rows(held)
+                held, n = [[], [], [], []], 0
         if n:
-            yield from count(*held)
+            yield from rows(held)
 
-    counted = texts.mapInArrow(work, "before long, word long, n long, n_target long")
-    return counted.groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+    counted = texts.mapInArrow(work, "word long, u long, u_target long, c long, c_target long")
+    return counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("u", "u_target", "c", "c_target")])
 
 
-def union(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for table in tables[1:]:
-        out = out.unionByName(table)
-    return out
+class Head:
+    """Frequent words with their counts, sorted; ``rank`` numbers those that the matrix of bigrams has, and is -1 for the others."""
 
+    def __init__(self, rows: pa.Table, side: int):
+        word = np.asarray(rows.column("word").combine_chunks()).view(np.uint64)
+        order = np.argsort(word)
+        self.words = word[order]
+        self.u, self.u_target, self.c, self.c_target = (np.asarray(rows.column(c).combine_chunks())[order] for c in ("u", "u_target", "c", "c_target"))
+        top = np.lexsort((self.words, -np.maximum(self.u, self.c)))[:side]
+        self.side = len(top)
+        self.rank = np.full(len(word), -1, dtype=np.int64)
+        self.rank[top] = np.arange(len(top))
+        self.top = top
+
+    def ranks(self, before: np.ndarray, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each token the place of its bigram in the matrix, or -1; and whether its context is in the head."""
+        at, hit = find(self.words, ids)
+        own = np.where(hit, self.rank[at], -1) if len(self.words) else np.full(len(ids), -1)
+        begin = find(self.words, np.array([START], dtype=np.uint64))
+        ahead, hot = np.empty_like(own), np.empty_like(hit)
+        ahead[1:], hot[1:] = own[:-1], hit[:-1]
+        first = offsets[:-1][np.diff(offsets) > 0]
+        hot[first] = begin[1][0]
+        ahead[first] = self.rank[begin[0][0]] if begin[1][0] else -1
+        return np.where((own >= 0) & (ahead >= 0), ahead * self.side + own, -1), hot
+
+
+CELLS = pa.schema([("cell", pa.int64()), ("n", pa.int64()), ("n_target", pa.int64())])
 
-class Losses:
-    """Losses of bigrams, from tables of contexts and of words that occur more than once; of the others the bigram itself says all."""
-
-    def __init__(self, pairs: DataFrame, most: int):
-        some = F.sum((F.col("n_target") > 0).cast("long"))
-        self.contexts = pairs.groupBy("before").agg(F.sum("n").alias("c"), F.count("*").alias("d"), F.sum("n_target").alias("c_target"), some.alias("d_target"))
-        self.contexts = materialize(self.contexts.where("c > 1"), "lm-contexts")
-        release(pairs.sparkSession)
-        known = materialize(pairs.groupBy("word").agg(F.sum("n").alias("u"), F.sum("n_target").alias("u_target")), "lm-words")
-        self.total = known.agg(F.count("*").alias("size"), F.sum("u").alias("u"), F.sum("u_target").alias("u_target")).first()
-        self.words = materialize(known.where("u > 1"), "lm-known")
-        discard(known)
-        self.cuts = [cut_for(self.contexts.withColumnRenamed("c", "n"), most), cut_for(self.words.withColumnRenamed("u", "n"), most)]
-
-    @staticmethod
-    def _joined(rows: DataFrame, table: DataFrame, key: str, cut: int) -> DataFrame:
-        """By broadcast for the frequent keys, by join for the others."""
-        count, *more = [c for c in table.columns if c != key]
-        found = rows.join(F.broadcast(table.where(F.col(count) >= cut)), key, "left")  # ``most`` rows at most
-        rest = found.where(F.col(count).isNull()).drop(count, *more)
-        return found.where(F.col(count).isNotNull()).unionByName(rest.join(table.where(F.col(count) < cut), key, "left"))
-
-    def of(self, pairs: DataFrame) -> DataFrame:
-        """pair, background, target: in units of 1 / UNIT nats."""
-        size = self.total["size"] + 2  # a word never seen and the start, as in Model
-
-        def loss(kind: str):
-            n = F.col(f"n{kind}")
-            c, u = F.coalesce(f"c{kind}", n), F.coalesce(f"u{kind}", n)
-            d = F.coalesce(f"d{kind}", F.least(n, F.lit(1)))
-            back = F.when(c > 0, DISCOUNT * d / F.greatest(c, F.lit(1))).otherwise(1.0)
-            p = F.greatest(n - DISCOUNT, F.lit(0.0)) / F.greatest(c, F.lit(1)) + back * (u + ADD) / ((self.total[f"u{kind}"] or 0) + ADD * size)
-            return F.round(-F.log(F.greatest(p, F.lit(LEAST))) * UNIT).cast("int")
-
-        rows = self._joined(self._joined(pairs, self.contexts, "before", self.cuts[0]), self.words, "word", self.cuts[1])
-        return rows.select(pair_key(F.col("before"), F.col("word")).alias("pair"), loss("").alias("background"), loss("_target").alias("target"))
-
-
-def count(docs: DataFrame, labels: DataFrame) -> list[DataFrame]:
-    """Counts of all bigrams, a table for each shard."""
-    texts, out = marked(docs, trusted_ids(labels)), []
-    for shard in range(ROUNDS):
-        out.append(materialize(bigram_counts(texts, shard), f"lm-bigrams-{shard}"))
-        release(docs.sparkSession)
-    return out
+
+def matrix(texts: DataFrame, held) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the bigrams of frequent words: all, and those of the target. side * side of them, at most ``BIGRAMS``."""
+
+    def work(batches):
+        head = held.value
+        sums = np.zeros((2, head.side**2), dtype=np.int64)
+        for part in chunks(batches, column=0):
+            before, ids, offsets = bigrams_of(part.column(0))
+            cell, _ = head.ranks(before, ids, offsets)
+            inside = cell >= 0
+            sums[0] += np.bincount(cell[inside], minlength=head.side**2)
+            sums[1] += np.bincount(cell[inside & (target_of(part, offsets) > 0)], minlength=head.side**2)
+        some = np.flatnonzero(sums[0])
+        for a in range(0, len(some), 100_000):
+            b = some[a : a + 100_000]
+            yield to_batch(CELLS, b, sums[0][b], sums[1][b])
+
+    found = texts.mapInArrow(work, "cell long, n long, n_target long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).toArrow()
+    out = np.zeros((2, held.value.side**2), dtype=np.int64)
+    at = np.asarray(found.column("cell").combine_chunks())
+    for k, c in enumerate(("n", "n_target")):
+        out[k][at] = np.asarray(found.column(c).combine_chunks())
+    return out.reshape(2, held.value.side, held.value.side)
+
+
+def loss(n, c, d, u, total: int, size: int) -> np.ndarray:
+    """Loss of bigrams in units of 1 / UNIT nats: of their counts, their contexts' counts and numbers of followers, and their words' counts."""
+    back = np.where(c > 0, DISCOUNT * d / np.maximum(c, 1), 1.0)
+    p = np.maximum(n - DISCOUNT, 0) / np.maximum(c, 1) + back * (u + ADD) / (total + ADD * size)
+    return np.rint(-np.log(np.maximum(p, LEAST)) * UNIT).astype(np.int64)
+
+
+def row_keys(doc_ids, keys: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A row's key, of its id and its text: ids may repeat with other texts."""
+    places = np.arange(len(keys)) - np.repeat(offsets[:-1], np.diff(offsets))
+    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(keys + places.astype(np.uint64)), dtype=np.uint64)])
+    return mix64(mix64(np.asarray(doc_ids, dtype=np.int64).view(np.uint64)) + run[offsets[1:]] - run[offsets[:-1]]).view(np.int64)
+
+
+DEALT = "shard int, chunk long, pairs binary, times binary, docs binary"
+PACKED = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("pairs", pa.binary()), ("times", pa.binary()), ("docs", pa.binary())])
+ASKED = pa.schema([("shard", pa.int32()), ("word", pa.int64()), ("d", pa.int64()), ("d_target", pa.int64())])
+SUMS = pa.schema([("chunk", pa.int64()), ("docs", pa.binary()), ("rest", pa.binary()), ("background", pa.binary()), ("target", pa.binary())])
+FOUND = pa.schema([("row", pa.int64()), ("rest", pa.int64()), ("rest_background", pa.int64()), ("rest_target", pa.int64())])
+
+
+def deal(texts: DataFrame, held, turn: int, shards: int) -> DataFrame:
+    """Tokens of a round's contexts beyond the matrix, packed by slice (chunk) and shard; shard -1 has the keys of a chunk's rows.
+
+    docs: twice the row's place in the chunk for each token, and one more for rows of the target.
+    """
+
+    def packed(chunk, before, ids, hot, docs, rows):
+        before, ids, hot, docs, rows = (np.concatenate(x) for x in (before, ids, hot, docs, rows))
+        keys = pair_keys(before, ids)
+        order = np.argsort(keys, kind="stable")
+        before, ids, docs, keys = before[order], ids[order], docs[order], keys[order]
+        first = starts(before, ids)
+        times = np.diff(np.concatenate([first, [len(keys)]]))
+        shard = (mix64(np.where(hot[order[first]], keys[first], before[first])) >> np.uint64(20)) % np.uint64(shards)
+        by = np.argsort(shard, kind="stable")
+        shard, first, times = shard[by], first[by], times[by]
+        ends = np.cumsum(times)
+        docs = docs[np.repeat(first - ends + times, times) + np.arange(len(docs))].astype(np.uint32)
+        before, ids, times = before[first], ids[first], times.astype(np.uint32)
+        at = starts(shard)
+        cuts = [*at, len(shard)]
+        run = np.concatenate([[0], ends])
+        out = [[-1, *shard[at].tolist()], [chunk] * (len(at) + 1), [rows.tobytes()], [b""], [b""]]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            out[2].append(before[a:b].tobytes() + ids[a:b].tobytes())
+            out[3].append(times[a:b].tobytes())
+            out[4].append(docs[run[a] : run[b]].tobytes())
+        return to_batch(PACKED, *out)
+
+    def work(batches):
+        head, chunk = held.value, TaskContext.get().partitionId() << 32
+        waiting, n, rows = [[], [], [], [], []], 0, 0
+        for part in chunks(batches, column=0):
+            before, ids, offsets = bigrams_of(part.column(0))
+            cell, hot = head.ranks(before, ids, offsets)
+            mine = np.flatnonzero((cell < 0) & (mix64(before) % np.uint64(ROUNDS) == turn))
+            if not len(mine):
+                continue
+            docs = (owners(offsets)[mine] + rows) * 2 + target_of(part, offsets)[mine]
+            for into, some in zip(waiting, (before[mine], ids[mine], hot[mine], docs, row_keys(part.column(1), pair_keys(before, ids), offsets))):
+                into.append(some)
+            n, rows = n + len(mine), rows + part.num_rows
+            if n >= HELD:
+                yield packed(chunk, *waiting)
+                chunk, waiting, n, rows = chunk + 1, [[], [], [], [], []], 0, 0
+        if n:
+            yield packed(chunk, *waiting)
+
+    return texts.mapInArrow(work, DEALT)
+
+
+class Shard:
+    """Bigrams of a shard, from its packed rows: sorted, each once, with their counts; ``of`` says which one each packed bigram is."""
+
+    def __init__(self, table: pa.Table):
+        table = table.combine_chunks()
+        self.chunks = np.asarray(table.column("chunk"))
+
+        def arrays(name, kind):
+            return [np.frombuffer(b.as_buffer(), kind) for b in table.column(name)]
+
+        self.docs, pairs, times = arrays("docs", np.uint32), arrays("pairs", np.uint64), arrays("times", np.uint32)
+        self.times = times
+        before, word = (np.concatenate([p.reshape(2, -1)[k] for p in pairs]) for k in (0, 1))
+        every = np.concatenate(times).astype(np.int64)
+        run = np.concatenate([[0], np.cumsum(np.concatenate(self.docs) & 1, dtype=np.int64)])
+        ends = np.cumsum(every)
+        order = np.lexsort((word, before))
+        first = starts(before[order], word[order])
+        self.before, self.word = before[order[first]], word[order[first]]
+        self.n = np.add.reduceat(every[order], first)
+        self.n_target = np.add.reduceat((run[ends] - run[ends - every])[order], first)
+        self.of = np.empty(len(order), dtype=np.int64)
+        self.of[order] = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(order)]])))
+        self.contexts = starts(self.before)
+        self.followers = np.diff(np.concatenate([self.contexts, [len(self.before)]]))
+        self.followers_target = np.add.reduceat((self.n_target > 0).astype(np.int64), self.contexts)
+
+
+def asked(dealt: DataFrame, held) -> DataFrame:
+    """shard, word of rare words whose counts a shard needs; and, as shard -1, a frequent context's followers in a shard (d, d_target)."""
+
+    def work(key, table):
+        shard, head = Shard(table), held.value
+        rare = np.unique(shard.word[~find(head.words, shard.word)[1]]).view(np.int64)
+        known = find(head.words, shard.before[shard.contexts])[1]
+        hot = shard.before[shard.contexts][known].view(np.int64)
+        none = np.zeros(len(rare), dtype=np.int64)
+        number = np.concatenate([np.full(len(rare), key[0].as_py()), np.full(len(hot), -1)]).astype(np.int32)
+        d = [np.concatenate([none, x[known]]) for x in (shard.followers, shard.followers_target)]
+        return pa.Table.from_batches([to_batch(ASKED, number, np.concatenate([rare, hot]), *d)], schema=ASKED)
+
+    return dealt.groupBy("shard").applyInArrow(work, "shard int, word long, d long, d_target long")
+
+
+def priced(dealt: DataFrame, replies: DataFrame, held, followers, totals: tuple[int, int, int]) -> DataFrame:
+    """Of each chunk and shard: its rows, their tokens there and the sums of their losses."""
+
+    def whole_sums(docs, values, size):
+        """Sums of whole numbers by row, exact beyond 53 bits."""
+        high, low = values >> 20, values & ((1 << 20) - 1)
+        return (np.bincount(docs, high, size).astype(np.int64) << 20) + np.bincount(docs, low, size).astype(np.int64)
+
+    def work(key, table, told):
+        out = [[] for _ in SUMS]
+        if table.num_rows:
+            shard, head = Shard(table), held.value
+            told = told.combine_chunks()
+            rare = np.asarray(told.column("word"), dtype=np.int64).view(np.uint64)
+            order = np.argsort(rare)
+            in_head, in_told = find(head.words, shard.word), find(rare[order], shard.word)
+            at, hot = find(head.words, shard.before[shard.contexts])
+            of_context = np.repeat(np.arange(len(shard.contexts)), shard.followers)
+            losses = []
+            for k, (n, own, d, name) in enumerate(((shard.n, shard.followers, followers.value[0], ""), (shard.n_target, shard.followers_target, followers.value[1], "_target"))):
+                c = np.add.reduceat(n, shard.contexts)
+                u = n.copy()  # a word that nobody knows comes here alone
+                for (place, hit), values in ((in_head, getattr(head, f"u{name}")), (in_told, np.asarray(told.column(f"u{name}"), dtype=np.int64)[order])):
+                    u[hit] = values[place[hit]]
+                c[hot], own = getattr(head, f"c{name}")[at[hot]], own.copy()
+                own[hot] = d[at[hot]]
+                losses.append(loss(n, c[of_context], own[of_context], u, totals[k], totals[2]))
+            run = 0
+            for chunk, docs, times in zip(shard.chunks, shard.docs, shard.times):
+                of = np.repeat(shard.of[run : run + len(times)], times)
+                run += len(times)
+                rows, place = np.unique(docs >> 1, return_inverse=True)
+                out[0].append(chunk)
+                out[1].append(rows.astype(np.uint32).tobytes())
+                out[2].append(np.bincount(place, minlength=len(rows)).astype(np.int64).tobytes())
+                for into, values in zip(out[3:], losses):
+                    into.append(whole_sums(place, values[of], len(rows)).tobytes())
+        return pa.Table.from_batches([to_batch(SUMS, *out)], schema=SUMS)
+
+    both = dealt.groupBy("shard").cogroup(replies.groupBy("shard"))
+    return both.applyInArrow(work, "chunk long, docs binary, rest binary, background binary, target binary")
+
+
+def gathered(keys: DataFrame, sums: DataFrame) -> DataFrame:
+    """row, rest, rest_background, rest_target: of each row of a chunk, over all shards."""
+
+    def work(key, rows, sums):
+        names = np.concatenate([np.frombuffer(b.as_buffer(), np.int64) for b in rows.column("pairs").combine_chunks()])
+        total = np.zeros((3, len(names)), dtype=np.int64)
+        columns = [sums.column(c).combine_chunks() for c in ("docs", "rest", "background", "target")]
+        for docs, *values in zip(*columns):
+            at = np.frombuffer(docs.as_buffer(), np.uint32)  # each row once
+            for into, some in zip(total, values):
+                into[at] += np.frombuffer(some.as_buffer(), np.int64)
+        some = total[0] > 0
+        return pa.Table.from_batches([to_batch(FOUND, names[some], *[t[some] for t in total])], schema=FOUND)
+
+    both = keys.groupBy("chunk").cogroup(sums.groupBy("chunk"))
+    return both.applyInArrow(work, "row long, rest long, rest_background long, rest_target long")
 
 
 class Model:
@@ -207,89 +420,71 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame):
-    """(hashes of the words, model) on the driver: what tests hold :func:`score` against. Scoring does not use it."""
-    rows = union(count(docs, labels)).toArrow().to_pandas()
-    words, ids = np.unique(rows["word"].to_numpy(), return_inverse=True)
-    before = rows["before"].to_numpy()
-    before = np.where(before == START, 1, np.searchsorted(words, before) + 2)
-    return words, Model(len(words) + 2, before, ids + 2, [rows[c].to_numpy(dtype=np.float64) for c in ("n", "n_target")])
+    """(hashes of the words, model) on the driver, counted plainly: what tests hold :func:`score` against. Scoring does not use it."""
+    rows = marked(docs, trusted_ids(labels)).toArrow().combine_chunks()
+    before, ids, offsets = bigrams_of(rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string()))
+    target = np.repeat(np.asarray(rows.column("is_target"), dtype=np.int64), np.diff(offsets))
+    pairs, at = np.unique(np.stack([before.view(np.int64), ids.view(np.int64)]), axis=1, return_inverse=True)
+    at = at.ravel()
+    counts = [np.bincount(at, weights=w, minlength=pairs.shape[1]) for w in (None, target)]
+    words, ids = np.unique(pairs[1], return_inverse=True)
+    before = np.where(pairs[0] == START, 1, np.searchsorted(words, pairs[0]) + 2)
+    return words, Model(len(words) + 2, before, ids + 2, [c.astype(np.float64) for c in counts])
 
 
 LOCAL = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("n_rest", pa.int64()), ("background", pa.int64()), ("target", pa.int64())])
-REST = pa.schema([("row", pa.int64()), ("pair", pa.int64()), ("k", pa.int32())])
 
 
 def score(docs: DataFrame, labels: DataFrame, words: int = WORDS, bigrams: int = BIGRAMS) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss (nats a token) and their difference."""
-    shards = count(docs, labels)
-    pairs = union(shards)
-    losses = Losses(pairs, words)
-    cut = cut_for(pairs, bigrams)
-    head = losses.of(pairs.where(F.col("n") >= cut)).toArrow()  # ``bigrams`` rows at most
-    release(docs.sparkSession)
-    arrays = [np.asarray(head.column(c).combine_chunks()) for c in ("pair", "background", "target")]
-    order = np.argsort(arrays[0].view(np.uint64))
-    held = docs.sparkSession.sparkContext.broadcast([arrays[0].view(np.uint64)[order], arrays[1][order], arrays[2][order]])
-
-    def tokens(part):
-        """Of a slice: keys of rows and of tokens, and where each row's tokens begin."""
-        before, ids, offsets = bigrams_of(part.column(0))
-        keys = pair_keys(before, ids)
-        # a row's key is of its id and its text: ids may repeat with other texts
-        places = np.arange(len(keys)) - np.repeat(offsets[:-1], np.diff(offsets))
-        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(keys + places.astype(np.uint64)), dtype=np.uint64)])
-        row = mix64(mix64(np.asarray(part.column(1), dtype=np.int64).view(np.uint64)) + run[offsets[1:]] - run[offsets[:-1]])
-        return row.view(np.int64), keys, offsets
-
-    def in_head(keys):
-        """Where the head has a token, and its losses there."""
-        known, *values = held.value
-        if not len(known):
-            return np.zeros(len(keys), dtype=bool), [np.zeros(len(keys), np.int64) for _ in values]
-        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        hit = known[at] == keys
-        return hit, [np.where(hit, v[at], 0) for v in values]
+    spark = docs.sparkSession
+    texts = marked(docs, trusted_ids(labels))
+    known = materialize(word_counts(texts), "lm-words").withColumn("n", F.greatest("u", "c"))
+    cut = cut_for(known, words)
+    total = known.agg(F.sum((F.col("u") > 0).cast("long")).alias("size"), F.sum("u").alias("u"), F.sum("u_target").alias("u_target")).first()
+    totals = (total["u"] or 0, total["u_target"] or 0, (total["size"] or 0) + 2)  # a word never seen and the start, as in Model
+    head = Head(known.where(F.col("n") >= cut).toArrow(), math.isqrt(bigrams))  # ``words`` rows at most
+    held = spark.sparkContext.broadcast(head)
+    cells = matrix(texts, held)
+    followers = np.zeros((2, len(head.words)), dtype=np.int64)
+    followers[:, head.top] = (cells > 0).sum(axis=2)
+    shards = max(1, math.ceil(totals[0] / ROUNDS / SHARD))
+    found = []
+    for turn in range(ROUNDS):
+        dealt = materialize(deal(texts, held, turn, shards), f"lm-dealt-{turn}")
+        packed = dealt.where("shard >= 0")
+        wanted = materialize(asked(packed, held), f"lm-asked-{turn}")
+        release(spark)
+        hot = wanted.where("shard < 0").groupBy("word").agg(F.sum("d").alias("d"), F.sum("d_target").alias("d_target")).toArrow()  # of the head alone
+        at, _ = find(head.words, np.asarray(hot.column("word").combine_chunks()).view(np.uint64))
+        for k, c in enumerate(("d", "d_target")):
+            followers[k][at] += np.asarray(hot.column(c).combine_chunks())
+        replies = wanted.where("shard >= 0").join(known.where((F.col("u") > 1) & (F.col("n") < cut)), "word").select("shard", "word", "u", "u_target")
+        sums = materialize(priced(packed, replies, held, spark.sparkContext.broadcast(followers.copy()), totals), f"lm-sums-{turn}")
+        release(spark)
+        found.append(materialize(gathered(dealt.where("shard < 0").select("chunk", "pairs"), sums), f"lm-rest-{turn}"))
+        discard(dealt, wanted, sums)
+    found = union(found).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("rest", "rest_background", "rest_target")])
+
+    rows, columns = np.arange(head.side).repeat(head.side), np.tile(np.arange(head.side), head.side)
+    prices = []
+    for k, name in enumerate(("", "_target")):
+        c, u = getattr(head, f"c{name}")[head.top], getattr(head, f"u{name}")[head.top]
+        prices.append(loss(cells[k].ravel(), c[rows], followers[k][head.top][rows], u[columns], totals[k], totals[2]))
+    prices = spark.sparkContext.broadcast(prices)
 
     def local(batches):
         for part in chunks(batches, column=0):
-            row, keys, offsets = tokens(part)
-            hit, values = in_head(keys)
-            sums = []
-            for some in (~hit, *values):
+            before, ids, offsets = bigrams_of(part.column(0))
+            cell, _ = held.value.ranks(before, ids, offsets)
+            inside, sums = cell >= 0, []
+            for some in (~inside, *[np.where(inside, p[cell], 0) if len(p) else np.zeros(len(cell)) for p in prices.value]):
                 run = np.concatenate([[0], np.cumsum(some, dtype=np.int64)])
                 sums.append(run[offsets[1:]] - run[offsets[:-1]])
-            yield to_batch(LOCAL, part.column(1), row, np.diff(offsets), *sums)
-
-    def rest(shard):
-        def work(batches):
-            for part in chunks(batches, column=0):
-                row, keys, offsets = tokens(part)
-                mine = np.flatnonzero(shards_of(keys) == shard)
-                mine = mine[~in_head(keys[mine])[0]]
-                owner, keys = owners(offsets)[mine], keys[mine]
-                order = np.lexsort((keys, owner))
-                owner, keys = owner[order], keys[order]
-                first = np.ones(len(keys), dtype=bool)
-                first[1:] = (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1])
-                first = np.flatnonzero(first)
-                k = np.diff(np.concatenate([first, [len(keys)]])).astype(np.int32)
-                for a in range(0, len(first), 100_000):
-                    some = first[a : a + 100_000]
-                    yield to_batch(REST, row[owner[some]], keys[some].view(np.int64), k[a : a + 100_000])
-
-        return work
-
-    texts = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"))
-    sums = [F.sum(F.col(c).cast("long") * F.col("k")).alias(f"rest_{c}") for c in ("background", "target")]
-    found = []
-    for shard, some in enumerate(shards):
-        priced = materialize(losses.of(some.where(F.col("n") < cut)), f"lm-losses-{shard}")
-        discard(some)
-        sought = texts.mapInArrow(rest(shard), "row long, pair long, k int")
-        found.append(materialize(sought.join(priced, "pair").groupBy("row").agg(F.sum("k").alias("rest"), *sums), f"lm-rest-{shard}"))
-        discard(priced)
-    found = union(found).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("rest", "rest_background", "rest_target")])
-    rows = texts.mapInArrow(local, "doc_id long, row long, n_tokens long, n_rest long, background long, target long").join(found, "row", "left")
+            yield to_batch(LOCAL, part.column(1), row_keys(part.column(1), pair_keys(before, ids), offsets), np.diff(offsets), *sums)
+
+    plain = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"))
+    rows = plain.mapInArrow(local, "doc_id long, row long, n_tokens long, n_rest long, background long, target long").join(found, "row", "left")
 
     def mean(name: str):
         # rows that repeat share a key: their sum is that of all, for ``rest`` / ``n_rest`` copies
