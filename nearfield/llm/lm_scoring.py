@@ -43,7 +43,7 @@ START = 0
 #: Losses are whole multiples of 1 / UNIT nats; the greatest one, of probability LEAST, fits 31 bits.
 UNIT, LEAST = 1 << 26, 1e-12
 #: Parts of the contexts. All of them are worked on; more of them take less disk at once.
-ROUNDS = 2
+ROUNDS = 4
 #: Tokens that a task holds before it counts or packs them, and tokens of a shard.
 HELD, SHARD = 1 << 20, 1 << 19
 
@@ -440,12 +440,14 @@ def score(docs: DataFrame, labels: DataFrame, words: int = WORDS, bigrams: int =
     spark = docs.sparkSession
     texts = marked(docs, trusted_ids(labels))
     known = materialize(word_counts(texts), "lm-words").withColumn("n", F.greatest("u", "c"))
+    release(spark)
     cut = cut_for(known, words)
     total = known.agg(F.sum((F.col("u") > 0).cast("long")).alias("size"), F.sum("u").alias("u"), F.sum("u_target").alias("u_target")).first()
     totals = (total["u"] or 0, total["u_target"] or 0, (total["size"] or 0) + 2)  # a word never seen and the start, as in Model
     head = Head(known.where(F.col("n") >= cut).toArrow(), math.isqrt(bigrams))  # ``words`` rows at most
     held = spark.sparkContext.broadcast(head)
     cells = matrix(texts, held)
+    release(spark)
     followers = np.zeros((2, len(head.words)), dtype=np.int64)
     followers[:, head.top] = (cells > 0).sum(axis=2)
     shards = max(1, math.ceil(totals[0] / ROUNDS / SHARD))
