@@ -43,7 +43,7 @@ START = 0
 #: Losses are whole multiples of 1 / UNIT nats; the greatest one, of probability LEAST, fits 31 bits.
 UNIT, LEAST = 1 << 26, 1e-12
 #: Parts of the contexts. All of them are worked on; more of them take less disk at once.
-ROUNDS = 4
+ROUNDS = 3
 #: Tokens that a task holds before it counts or packs them, and tokens of a shard.
 HELD, SHARD = 1 << 20, 1 << 19
 
@@ -171,10 +171,27 @@ class Head:
         self.rank = np.full(len(word), -1, dtype=np.int64)
         self.rank[top] = np.arange(len(top))
         self.top = top
+        self.begins = np.searchsorted(self.words >> np.uint64(43), np.arange((1 << 21) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def places(self, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As :func:`find`, from where words of the same first 21 bits begin, of which there are few."""
+        if not len(self.words):
+            return find(self.words, sought)
+        at, last = self.begins[sought >> np.uint64(43)], np.int32(len(self.words) - 1)
+        np.minimum(at, last, out=at)
+        found = self.words[at]
+        hit, behind = found == sought, np.flatnonzero(found < sought)
+        while len(behind):
+            behind = behind[at[behind] < last]
+            at[behind] += 1
+            found = self.words[at[behind]]
+            hit[behind] = found == sought[behind]
+            behind = behind[found < sought[behind]]
+        return at, hit
 
     def ranks(self, before: np.ndarray, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each token the place of its bigram in the matrix, or -1; and whether its context is in the head."""
-        at, hit = find(self.words, ids)
+        at, hit = self.places(ids)
         own = np.where(hit, self.rank[at], -1) if len(self.words) else np.full(len(ids), -1)
         begin = find(self.words, np.array([START], dtype=np.uint64))
         ahead, hot = np.empty_like(own), np.empty_like(hit)
@@ -223,7 +240,8 @@ def loss(n, c, d, u, total: int, size: int) -> np.ndarray:
 def row_keys(doc_ids, keys: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A row's key, of its id and its text: ids may repeat with other texts."""
     places = np.arange(len(keys)) - np.repeat(offsets[:-1], np.diff(offsets))
-    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(keys + places.astype(np.uint64)), dtype=np.uint64)])
+    run = np.zeros(len(keys) + 1, dtype=np.uint64)
+    np.cumsum(keys * (2 * places + 1).astype(np.uint64), out=run[1:])  # keys are mixed; odd factors tell their order
     return mix64(mix64(np.asarray(doc_ids, dtype=np.int64).view(np.uint64)) + run[offsets[1:]] - run[offsets[:-1]]).view(np.int64)
 
 
@@ -247,7 +265,7 @@ def deal(texts: DataFrame, held, turn: int, shards: int) -> DataFrame:
         before, ids, docs, keys = before[order], ids[order], docs[order], keys[order]
         first = starts(before, ids)
         times = np.diff(np.concatenate([first, [len(keys)]]))
-        shard = (mix64(np.where(hot[order[first]], keys[first], before[first])) >> np.uint64(20)) % np.uint64(shards)
+        shard = (np.where(hot[order[first]], keys[first], before[first]) >> np.uint64(32)) % np.uint64(shards)  # bits of mixed hashes
         by = np.argsort(shard, kind="stable")
         shard, first, times = shard[by], first[by], times[by]
         ends = np.cumsum(times)
@@ -269,7 +287,7 @@ def deal(texts: DataFrame, held, turn: int, shards: int) -> DataFrame:
         for part in chunks(batches, column=0):
             before, ids, offsets = bigrams_of(part.column(0))
             cell, hot = head.ranks(before, ids, offsets)
-            mine = np.flatnonzero((cell < 0) & (mix64(before) % np.uint64(ROUNDS) == turn))
+            mine = np.flatnonzero((cell < 0) & ((before >> np.uint64(8)) % np.uint64(ROUNDS) == turn))
             if not len(mine):
                 continue
             docs = (owners(offsets)[mine] + rows) * 2 + target_of(part, offsets)[mine]
