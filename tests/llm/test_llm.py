@@ -144,6 +144,19 @@ def test_thresholds_and_decisions_against_brute_force(spark):
     assert judged[901].perplexity is None and not judged[901].kept and judged[900].threshold is not None
 
 
+def test_quality_trains_on_all_trusted(spark, monkeypatch):
+    """More than 20000 trusted documents, as many counts as they have characters; also when tasks send their counts in parts."""
+    texts = [VOCABULARY[i % 400][: 1 + i // 400 % 5] for i in range(21_000)]
+    docs = spark.createDataFrame([*enumerate(texts), (30_000, "zzzz")], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(21_000)] + [(30_000, 0, 0)], "doc_id long, quality int, toxic int")
+    kind, size = {c: int(quality.grams([c], 1)[0][0]) for c in set("".join(texts))}, len(quality.CLASSES)
+    pairs = collections.Counter((kind.get(a, 0) * size + kind[b]) for t in texts for a, b in zip("\x02" + t, t))
+    counts = spark.createDataFrame(sorted(pairs.items()), "gram long, n long")
+    want = quality.dense_model(quality.kneser_ney(counts, 2).toArrow(), 2)
+    monkeypatch.setattr(quality, "HELD", 5000)
+    assert np.array_equal(quality.train(docs, labels, order=2)[0], want)
+
+
 def test_kneser_ney_against_brute_force(spark):
     """Probabilities of a size-2 model by the formula, and that each context's sum to one."""
     text, size = "abab abba cab. a bad cab", len(quality.CLASSES)
