@@ -6,7 +6,7 @@ the corpus and one smoothing: absolute discounting, whose left-over mass goes to
 A token's two losses follow from its bigram alone, in fixed point, so that sums do not depend on their order:
 
 1. Words are counted, as words and as contexts: one table. At most ``WORDS`` frequent ones are broadcast (the head), the rest is joined.
-2. Bigrams of the most frequent words of the head alone, at most ``BIGRAMS``, are counted as a matrix and never shuffled by document.
+2. Bigrams of the most frequent words of the head alone, at most ``BIGRAMS``, are counted as a matrix, in the pass of the first round, and never shuffled by document.
 3. All other tokens are dealt to shards, packed as arrays (a row holds a slice's bigrams of one shard, how often each comes, and
    the documents it comes from): by context, so that a shard has all followers of a context; those of contexts in the head by
    bigram, so that no frequent context lies in one shard. A shard asks the table of words for the counts of its rare words, prices
@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, discard, hashed_words, materialize, mix64, owners, release, texts_of, to_batch
+from .common import chunks, discard, materialize, mix64, owners, release, texts_of, to_batch
 
 #: Sizes of the broadcast heads; results do not depend on them.
 WORDS, BIGRAMS = 1 << 15, 1 << 20
@@ -64,9 +64,47 @@ def cut_for(counts: DataFrame, most: int) -> int:
     return int(cut) if cut is not None else 1 << 62
 
 
+_ODD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Of eight bytes, read from the lowest, the first k.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`.common.hashed_words`, with other hashes: a word is read as its pieces of eight bytes, and most words are one."""
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    ends = np.frombuffer(texts.buffers()[1], wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    if not len(texts) or ends[-1] == ends[0]:
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(texts) + 1, dtype=np.int64)
+    n = int(ends[-1] - ends[0])
+    data = np.zeros(n + 8, dtype=np.uint8)
+    data[:n] = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    inside = (data[:n] != 32) & (data[:n] - np.uint8(9) > 4)  # wraps
+    change = np.empty(n + 1, dtype=bool)
+    change[0], change[n] = inside[0], inside[-1]
+    np.not_equal(inside[1:], inside[:-1], out=change[1:n])
+    inner = ends[(ends > 0) & (ends < n)]
+    split = np.unique(inner[inside[inner - 1] & inside[inner]])  # one text ends with a word and the next begins with one
+    at = np.flatnonzero(change)
+    if len(split):
+        at = np.sort(np.concatenate([at, split, split]))
+    first, size = at[::2], at[1::2] - at[::2]
+    eight = np.ndarray((n + 1,), dtype="<u8", buffer=data, strides=(1,))
+    held = eight[first] & _FIRST[np.minimum(size, 8)]
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        parts = (size[long] + 7) >> 3
+        begin = np.cumsum(parts) - parts
+        number = np.arange(int(parts.sum())) - np.repeat(begin, parts)
+        left = np.repeat(size[long], parts) - 8 * number
+        pieces = eight[np.repeat(first[long], parts) + 8 * number] & _FIRST[np.minimum(left, 8)]
+        held[long] = np.add.reduceat(mix64(pieces + (number + 1).astype(np.uint64) * _STEP), begin)
+    return mix64(held + size.astype(np.uint64) * _ODD), np.searchsorted(first, ends)
+
+
 def bigrams_of(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of each token's previous word and of its own, and where each document's begin."""
-    ids, offsets = hashed_words(texts_of(column))
+    ids, offsets = word_hashes(texts_of(column))
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
     before[offsets[:-1][np.diff(offsets) > 0]] = START
@@ -109,6 +147,15 @@ def find(keys: np.ndarray, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == sought
 
 
+def numbered(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ``rows``, sorted, and which of them each is."""
+    if int(rows.max()) > 4 * len(rows):
+        return np.unique(rows, return_inverse=True)
+    seen = np.zeros(int(rows.max()) + 1, dtype=bool)
+    seen[rows] = True
+    return np.flatnonzero(seen), (np.cumsum(seen) - 1)[rows]
+
+
 def target_of(part, offsets: np.ndarray) -> np.ndarray:
     """1 for each token of a trusted document."""
     return np.repeat(np.asarray(part.column(2), dtype=np.int64), np.diff(offsets))
@@ -141,7 +188,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     def work(batches):
         held, n = [[], [], [], []], 0
         for part in chunks(batches, column=0):
-            ids, offsets = hashed_words(texts_of(part.column(0)))
+            ids, offsets = word_hashes(texts_of(part.column(0)))
             if not len(ids):
                 continue
             weights, last = target_of(part, offsets), offsets[1:][np.diff(offsets) > 0] - 1
@@ -205,24 +252,18 @@ class Head:
 CELLS = pa.schema([("cell", pa.int64()), ("n", pa.int64()), ("n_target", pa.int64())])
 
 
-def matrix(texts: DataFrame, held) -> tuple[np.ndarray, np.ndarray]:
+def matrix(dealt: DataFrame, held) -> np.ndarray:
     """Counts of the bigrams of frequent words: all, and those of the target. side * side of them, at most ``BIGRAMS``."""
 
     def work(batches):
-        head = held.value
-        sums = np.zeros((2, head.side**2), dtype=np.int64)
-        for part in chunks(batches, column=0):
-            before, ids, offsets = bigrams_of(part.column(0))
-            cell, _ = head.ranks(before, ids, offsets)
-            inside = cell >= 0
-            sums[0] += np.bincount(cell[inside], minlength=head.side**2)
-            sums[1] += np.bincount(cell[inside & (target_of(part, offsets) > 0)], minlength=head.side**2)
-        some = np.flatnonzero(sums[0])
-        for a in range(0, len(some), 100_000):
-            b = some[a : a + 100_000]
-            yield to_batch(CELLS, b, sums[0][b], sums[1][b])
-
-    found = texts.mapInArrow(work, "cell long, n long, n_target long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).toArrow()
+        for batch in batches:
+            for columns in zip(*[batch.column(c) for c in ("pairs", "times", "docs")]):
+                some = [np.frombuffer(c.as_buffer(), np.int64) for c in columns]
+                for a in range(0, len(some[0]), 100_000):
+                    yield to_batch(CELLS, *[c[a : a + 100_000] for c in some])
+
+    counted = dealt.where(F.col("shard") == MATRIX).mapInArrow(work, "cell long, n long, n_target long")
+    found = counted.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).toArrow()
     out = np.zeros((2, held.value.side**2), dtype=np.int64)
     at = np.asarray(found.column("cell").combine_chunks())
     for k, c in enumerate(("n", "n_target")):
@@ -245,6 +286,8 @@ def row_keys(doc_ids, keys: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mix64(mix64(np.asarray(doc_ids, dtype=np.int64).view(np.uint64)) + run[offsets[1:]] - run[offsets[:-1]]).view(np.int64)
 
 
+#: Instead of a shard's number: rows with the keys of a chunk's rows, and with the cells of the matrix that a task has counted.
+KEYS, MATRIX = -1, -2
 DEALT = "shard int, chunk long, pairs binary, times binary, docs binary"
 PACKED = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("pairs", pa.binary()), ("times", pa.binary()), ("docs", pa.binary())])
 ASKED = pa.schema([("shard", pa.int32()), ("word", pa.int64()), ("d", pa.int64()), ("d_target", pa.int64())])
@@ -253,8 +296,9 @@ FOUND = pa.schema([("row", pa.int64()), ("rest", pa.int64()), ("rest_background"
 
 
 def deal(texts: DataFrame, held, turn: int, shards: int) -> DataFrame:
-    """Tokens of a round's contexts beyond the matrix, packed by slice (chunk) and shard; shard -1 has the keys of a chunk's rows.
+    """Tokens of a round's contexts beyond the matrix, packed by slice (chunk) and shard, and the keys of a chunk's rows.
 
+    The first round counts the matrix as well: cells, how often each comes, and how often in the target.
     docs: twice the row's place in the chunk for each token, and one more for rows of the target.
     """
 
@@ -274,7 +318,7 @@ def deal(texts: DataFrame, held, turn: int, shards: int) -> DataFrame:
         at = starts(shard)
         cuts = [*at, len(shard)]
         run = np.concatenate([[0], ends])
-        out = [[-1, *shard[at].tolist()], [chunk] * (len(at) + 1), [rows.tobytes()], [b""], [b""]]
+        out = [[KEYS, *shard[at].tolist()], [chunk] * (len(at) + 1), [rows.tobytes()], [b""], [b""]]
         for a, b in zip(cuts[:-1], cuts[1:]):
             out[2].append(before[a:b].tobytes() + ids[a:b].tobytes())
             out[3].append(times[a:b].tobytes())
@@ -284,9 +328,14 @@ def deal(texts: DataFrame, held, turn: int, shards: int) -> DataFrame:
     def work(batches):
         head, chunk = held.value, TaskContext.get().partitionId() << 32
         waiting, n, rows = [[], [], [], [], []], 0, 0
+        cells = np.zeros((2, head.side**2), dtype=np.int64) if turn == 0 else None
         for part in chunks(batches, column=0):
             before, ids, offsets = bigrams_of(part.column(0))
             cell, hot = head.ranks(before, ids, offsets)
+            if turn == 0:
+                inside = cell >= 0
+                cells[0] += np.bincount(cell[inside], minlength=head.side**2)
+                cells[1] += np.bincount(cell[inside & (target_of(part, offsets) > 0)], minlength=head.side**2)
             mine = np.flatnonzero((cell < 0) & ((before >> np.uint64(8)) % np.uint64(ROUNDS) == turn))
             if not len(mine):
                 continue
@@ -299,6 +348,9 @@ def deal(texts: DataFrame, held, turn: int, shards: int) -> DataFrame:
                 chunk, waiting, n, rows = chunk + 1, [[], [], [], [], []], 0, 0
         if n:
             yield packed(chunk, *waiting)
+        if turn == 0 and cells[0].any():
+            some = np.flatnonzero(cells[0])
+            yield to_batch(PACKED, [MATRIX], [chunk], [some.tobytes()], [cells[0][some].tobytes()], [cells[1][some].tobytes()])
 
     return texts.mapInArrow(work, DEALT)
 
@@ -336,8 +388,9 @@ def asked(dealt: DataFrame, held) -> DataFrame:
 
     def work(key, table):
         shard, head = Shard(table), held.value
-        rare = np.unique(shard.word[~find(head.words, shard.word)[1]]).view(np.int64)
-        known = find(head.words, shard.before[shard.contexts])[1]
+        rare = np.sort(shard.word[~head.places(shard.word)[1]])
+        rare = rare[starts(rare)].view(np.int64)
+        known = head.places(shard.before[shard.contexts])[1]
         hot = shard.before[shard.contexts][known].view(np.int64)
         none = np.zeros(len(rare), dtype=np.int64)
         number = np.concatenate([np.full(len(rare), key[0].as_py()), np.full(len(hot), -1)]).astype(np.int32)
@@ -362,8 +415,8 @@ def priced(dealt: DataFrame, replies: DataFrame, held, followers, totals: tuple[
             told = told.combine_chunks()
             rare = np.asarray(told.column("word"), dtype=np.int64).view(np.uint64)
             order = np.argsort(rare)
-            in_head, in_told = find(head.words, shard.word), find(rare[order], shard.word)
-            at, hot = find(head.words, shard.before[shard.contexts])
+            in_head, in_told = head.places(shard.word), find(rare[order], shard.word)
+            at, hot = head.places(shard.before[shard.contexts])
             of_context = np.repeat(np.arange(len(shard.contexts)), shard.followers)
             losses = []
             for k, (n, own, d, name) in enumerate(((shard.n, shard.followers, followers.value[0], ""), (shard.n_target, shard.followers_target, followers.value[1], "_target"))):
@@ -378,7 +431,7 @@ def priced(dealt: DataFrame, replies: DataFrame, held, followers, totals: tuple[
             for chunk, docs, times in zip(shard.chunks, shard.docs, shard.times):
                 of = np.repeat(shard.of[run : run + len(times)], times)
                 run += len(times)
-                rows, place = np.unique(docs >> 1, return_inverse=True)
+                rows, place = numbered(docs >> 1)
                 out[0].append(chunk)
                 out[1].append(rows.astype(np.uint32).tobytes())
                 out[2].append(np.bincount(place, minlength=len(rows)).astype(np.int64).tobytes())
@@ -464,14 +517,14 @@ def score(docs: DataFrame, labels: DataFrame, words: int = WORDS, bigrams: int =
     totals = (total["u"] or 0, total["u_target"] or 0, (total["size"] or 0) + 2)  # a word never seen and the start, as in Model
     head = Head(known.where(F.col("n") >= cut).toArrow(), math.isqrt(bigrams))  # ``words`` rows at most
     held = spark.sparkContext.broadcast(head)
-    cells = matrix(texts, held)
-    release(spark)
     followers = np.zeros((2, len(head.words)), dtype=np.int64)
-    followers[:, head.top] = (cells > 0).sum(axis=2)
     shards = max(1, math.ceil(totals[0] / ROUNDS / SHARD))
     found = []
     for turn in range(ROUNDS):
         dealt = materialize(deal(texts, held, turn, shards), f"lm-dealt-{turn}")
+        if turn == 0:
+            cells = matrix(dealt, held)
+            followers[:, head.top] = (cells > 0).sum(axis=2)
         packed = dealt.where("shard >= 0")
         wanted = materialize(asked(packed, held), f"lm-asked-{turn}")
         release(spark)
@@ -482,7 +535,7 @@ def score(docs: DataFrame, labels: DataFrame, words: int = WORDS, bigrams: int =
         replies = wanted.where("shard >= 0").join(known.where((F.col("u") > 1) & (F.col("n") < cut)), "word").select("shard", "word", "u", "u_target")
         sums = materialize(priced(packed, replies, held, spark.sparkContext.broadcast(followers.copy()), totals), f"lm-sums-{turn}")
         release(spark)
-        found.append(materialize(gathered(dealt.where("shard < 0").select("chunk", "pairs"), sums), f"lm-rest-{turn}"))
+        found.append(materialize(gathered(dealt.where(F.col("shard") == KEYS).select("chunk", "pairs"), sums), f"lm-rest-{turn}"))
         discard(dealt, wanted, sums)
     found = union(found).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("rest", "rest_background", "rest_target")])
 

@@ -501,6 +501,39 @@ def test_lm_scoring_has_no_cut(spark, docs, labels, texts):
     assert len(again) == 2 and again["background_loss"].nunique() == 1
 
 
+def test_word_hashes_agree():
+    """One hash a word, whatever its length and neighbours: against the plain split of odd texts, whole and sliced."""
+    draw, parts, seen = np.random.default_rng(7), ["a", "b", "é", " ", "\n", "\0", "\x0b", "😀", "abcdefgh", "x" * 17, ""], {}
+    for k in range(300):
+        texts = ["".join(parts[j] for j in draw.integers(0, len(parts), draw.integers(0, 9))) for _ in range(1 + k % 9)]
+        hashes, starts = lm_scoring.word_hashes(pa.array(texts, pa.string()))
+        words = [WORD.findall(t) for t in texts]
+        assert starts.tolist() == [0, *np.cumsum([len(w) for w in words]).tolist()]
+        assert all(seen.setdefault(w, h) == h for w, h in zip(itertools.chain(*words), hashes.tolist()))
+        part = lm_scoring.word_hashes(pa.array(texts, pa.string()).slice(k % 3, 4))[0]
+        assert part.tolist() == hashes[starts[min(k % 3, len(texts))] : starts[min(k % 3 + 4, len(texts))]].tolist()
+    assert len(set(seen.values())) == len(seen) > 500
+
+
+def test_lm_matrix_comes_from_the_first_round(spark, docs, labels, texts):
+    """Bigrams of frequent words are counted while the first round is dealt, each once; later rounds count none."""
+    rows = lm_scoring.marked(docs, lm_scoring.trusted_ids(labels))
+    known = lm_scoring.word_counts(rows).toArrow()
+    head = lm_scoring.Head(known, 20)
+    held = spark.sparkContext.broadcast(head)
+    own = lm_scoring.matrix(lm_scoring.deal(rows, held, 0, 3), held)
+    name = {int(head.words[k]): int(head.rank[k]) for k in head.top}
+    want = np.zeros((2, 20, 20), dtype=np.int64)
+    for i, text in texts.items():
+        before, ids, _ = lm_scoring.bigrams_of(pa.array([text]))
+        for v, w in zip(before.tolist(), ids.tolist()):
+            if v in name and w in name:
+                want[0, name[v], name[w]] += 1
+                want[1, name[v], name[w]] += 100 <= i < 150
+    assert want[0].sum() > 0 and (own == want).all()
+    assert not lm_scoring.matrix(lm_scoring.deal(rows, held, 1, 3), held).any()
+
+
 def test_media(docs, empty, texts):
     for r in media.media_digests(docs).collect():
         raw = texts[r.doc_id].encode()
