@@ -87,7 +87,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     split = np.unique(inner[inside[inner - 1] & inside[inner]])  # one text ends with a word and the next begins with one
     at = np.flatnonzero(change)
     if len(split):
-        at = np.sort(np.concatenate([at, split, split]))
+        at = np.insert(at, np.searchsorted(at, split.repeat(2)), split.repeat(2))
     first, size = at[::2], at[1::2] - at[::2]
     eight = np.ndarray((n + 1,), dtype="<u8", buffer=data, strides=(1,))
     held = eight[first] & _FIRST[np.minimum(size, 8)]
@@ -214,7 +214,7 @@ class Head:
         self.words = word[order]
         self.u, self.u_target, self.c, self.c_target = (np.asarray(rows.column(c).combine_chunks())[order] for c in ("u", "u_target", "c", "c_target"))
         top = np.lexsort((self.words, -np.maximum(self.u, self.c)))[:side]
-        self.side = len(top)
+        self.side, self.kind = len(top), np.uint16 if len(word) <= 1 << 16 else np.uint32
         self.rank = np.full(len(word), -1, dtype=np.int64)
         self.rank[top] = np.arange(len(top))
         self.top = top
@@ -257,7 +257,7 @@ def matrix(dealt: DataFrame, held) -> np.ndarray:
 
     def work(batches):
         for batch in batches:
-            for columns in zip(*[batch.column(c) for c in ("pairs", "times", "docs")]):
+            for columns in zip(*[batch.column(c) for c in ("far", "times", "docs")]):
                 some = [np.frombuffer(c.as_buffer(), np.int64) for c in columns]
                 for a in range(0, len(some[0]), 100_000):
                     yield to_batch(CELLS, *[c[a : a + 100_000] for c in some])
@@ -288,8 +288,8 @@ def row_keys(doc_ids, keys: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 #: Instead of a shard's number: rows with the keys of a chunk's rows, and with the cells of the matrix that a task has counted.
 KEYS, MATRIX = -1, -2
-DEALT = "shard int, chunk long, pairs binary, times binary, docs binary"
-PACKED = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("pairs", pa.binary()), ("times", pa.binary()), ("docs", pa.binary())])
+DEALT = "shard int, chunk long, kinds binary, near binary, far binary, times binary, docs binary"
+PACKED = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), *[(c, pa.binary()) for c in ("kinds", "near", "far", "times", "docs")]])
 ASKED = pa.schema([("shard", pa.int32()), ("word", pa.int64()), ("d", pa.int64()), ("d_target", pa.int64())])
 SUMS = pa.schema([("chunk", pa.int64()), ("docs", pa.binary()), ("rest", pa.binary()), ("background", pa.binary()), ("target", pa.binary())])
 FOUND = pa.schema([("row", pa.int64()), ("rest", pa.int64()), ("rest_background", pa.int64()), ("rest_target", pa.int64())])
@@ -299,10 +299,12 @@ def deal(texts: DataFrame, held, turn: int, shards: int) -> DataFrame:
     """Tokens of a round's contexts beyond the matrix, packed by slice (chunk) and shard, and the keys of a chunk's rows.
 
     The first round counts the matrix as well: cells, how often each comes, and how often in the target.
-    docs: twice the row's place in the chunk for each token, and one more for rows of the target.
+    A row's bigrams come in four kinds, and kinds says how many of each: 1 if the context is in the head, and 2 if the word is. Of their
+    contexts and words, in turn, near has the places of those in the head, far the others.
+    docs: twice the row's place in the chunk for each token, and one more for rows of the target; in 16 bits where these do.
     """
 
-    def packed(chunk, before, ids, hot, docs, rows):
+    def packed(head, chunk, before, ids, hot, docs, rows):
         before, ids, hot, docs, rows = (np.concatenate(x) for x in (before, ids, hot, docs, rows))
         keys = pair_keys(before, ids)
         order = np.argsort(keys, kind="stable")
@@ -310,19 +312,26 @@ def deal(texts: DataFrame, held, turn: int, shards: int) -> DataFrame:
         first = starts(before, ids)
         times = np.diff(np.concatenate([first, [len(keys)]]))
         shard = (np.where(hot[order[first]], keys[first], before[first]) >> np.uint64(32)) % np.uint64(shards)  # bits of mixed hashes
-        by = np.argsort(shard, kind="stable")
-        shard, first, times = shard[by], first[by], times[by]
+        place, near = head.places(np.stack([before[first], ids[first]], axis=1).ravel())
+        kind = near[::2] + np.uint8(2) * near[1::2]
+        by = np.argsort(shard * np.uint64(4) + kind, kind="stable")
+        shard, first, times, kind = shard[by], first[by], times[by], kind[by]
+        place, near = place.reshape(-1, 2)[by].ravel(), near.reshape(-1, 2)[by].ravel()
         ends = np.cumsum(times)
-        docs = docs[np.repeat(first - ends + times, times) + np.arange(len(docs))].astype(np.uint32)
-        before, ids, times = before[first], ids[first], times.astype(np.uint32)
+        docs = docs[np.repeat(first - ends + times, times) + np.arange(len(docs))].astype(np.uint16 if 2 * len(rows) <= 1 << 16 else np.uint32)
+        far, times = np.stack([before[first], ids[first]], axis=1).ravel()[~near], times.astype(np.uint32)
         at = starts(shard)
-        cuts = [*at, len(shard)]
-        run = np.concatenate([[0], ends])
-        out = [[KEYS, *shard[at].tolist()], [chunk] * (len(at) + 1), [rows.tobytes()], [b""], [b""]]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            out[2].append(before[a:b].tobytes() + ids[a:b].tobytes())
-            out[3].append(times[a:b].tobytes())
-            out[4].append(docs[run[a] : run[b]].tobytes())
+        cuts = np.concatenate([at, [len(shard)]])
+        kinds = np.bincount(np.repeat(np.arange(len(at)) * 4, np.diff(cuts)) + kind, minlength=4 * len(at)).astype(np.uint32).reshape(-1, 4)
+        run, nears = np.concatenate([[0], ends]), np.concatenate([[0], np.cumsum(near)])[2 * cuts]
+        place, fars = place[near].astype(head.kind), 2 * cuts - nears
+        out = [[KEYS, *shard[at].tolist()], [chunk] * (len(at) + 1), [b""], [b""], [rows.tobytes()], [b""], [b""]]
+        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+            out[2].append(kinds[k].tobytes())
+            out[3].append(place[nears[k] : nears[k + 1]].tobytes())
+            out[4].append(far[fars[k] : fars[k + 1]].tobytes())
+            out[5].append(times[a:b].tobytes())
+            out[6].append(docs[run[a] : run[b]].tobytes())
         return to_batch(PACKED, *out)
 
     def work(batches):
@@ -344,36 +353,45 @@ def deal(texts: DataFrame, held, turn: int, shards: int) -> DataFrame:
                 into.append(some)
             n, rows = n + len(mine), rows + part.num_rows
             if n >= HELD:
-                yield packed(chunk, *waiting)
+                yield packed(head, chunk, *waiting)
                 chunk, waiting, n, rows = chunk + 1, [[], [], [], [], []], 0, 0
         if n:
-            yield packed(chunk, *waiting)
+            yield packed(head, chunk, *waiting)
         if turn == 0 and cells[0].any():
             some = np.flatnonzero(cells[0])
-            yield to_batch(PACKED, [MATRIX], [chunk], [some.tobytes()], [cells[0][some].tobytes()], [cells[1][some].tobytes()])
+            yield to_batch(PACKED, [MATRIX], [chunk], [b""], [b""], [some.tobytes()], [cells[0][some].tobytes()], [cells[1][some].tobytes()])
 
     return texts.mapInArrow(work, DEALT)
 
 
 class Shard:
-    """Bigrams of a shard, from its packed rows: sorted, each once, with their counts; ``of`` says which one each packed bigram is."""
+    """Bigrams of a shard, from its packed rows: sorted, each once, with their counts; ``of`` says which one each packed bigram is.
 
-    def __init__(self, table: pa.Table):
+    ``before_at`` and ``word_at`` are places in the head, or -1.
+    """
+
+    def __init__(self, table: pa.Table, head: Head):
         table = table.combine_chunks()
         self.chunks = np.asarray(table.column("chunk"))
 
         def arrays(name, kind):
             return [np.frombuffer(b.as_buffer(), kind) for b in table.column(name)]
 
-        self.docs, pairs, times = arrays("docs", np.uint32), arrays("pairs", np.uint64), arrays("times", np.uint32)
-        self.times = times
-        before, word = (np.concatenate([p.reshape(2, -1)[k] for p in pairs]) for k in (0, 1))
+        self.times = times = arrays("times", np.uint32)
+        self.docs = [d.view(np.uint32) if len(d) > t.sum() else d for d, t in zip(arrays("docs", np.uint16), times)]
+        kinds, near, far = (np.concatenate(arrays(*x)) for x in (("kinds", np.uint32), ("near", head.kind), ("far", np.uint64)))
+        kind = np.repeat(np.tile(np.arange(4), len(times)), kinds)
+        known = np.stack([kind & 1, kind >> 1], axis=1).ravel() > 0
+        both, at = np.empty(len(known), dtype=np.uint64), np.full(len(known), -1, dtype=np.int32)
+        both[known], both[~known], at[known] = head.words[near], far, near
+        before, word = both[::2].copy(), both[1::2].copy()
         every = np.concatenate(times).astype(np.int64)
         run = np.concatenate([[0], np.cumsum(np.concatenate(self.docs) & 1, dtype=np.int64)])
         ends = np.cumsum(every)
         order = np.lexsort((word, before))
         first = starts(before[order], word[order])
         self.before, self.word = before[order[first]], word[order[first]]
+        self.before_at, self.word_at = (at[k::2][order[first]] for k in (0, 1))
         self.n = np.add.reduceat(every[order], first)
         self.n_target = np.add.reduceat((run[ends] - run[ends - every])[order], first)
         self.of = np.empty(len(order), dtype=np.int64)
@@ -387,10 +405,10 @@ def asked(dealt: DataFrame, held) -> DataFrame:
     """shard, word of rare words whose counts a shard needs; and, as shard -1, a frequent context's followers in a shard (d, d_target)."""
 
     def work(key, table):
-        shard, head = Shard(table), held.value
-        rare = np.sort(shard.word[~head.places(shard.word)[1]])
+        shard = Shard(table, held.value)
+        rare = np.sort(shard.word[shard.word_at < 0])
         rare = rare[starts(rare)].view(np.int64)
-        known = head.places(shard.before[shard.contexts])[1]
+        known = shard.before_at[shard.contexts] >= 0
         hot = shard.before[shard.contexts][known].view(np.int64)
         none = np.zeros(len(rare), dtype=np.int64)
         number = np.concatenate([np.full(len(rare), key[0].as_py()), np.full(len(hot), -1)]).astype(np.int32)
@@ -411,12 +429,13 @@ def priced(dealt: DataFrame, replies: DataFrame, held, followers, totals: tuple[
     def work(key, table, told):
         out = [[] for _ in SUMS]
         if table.num_rows:
-            shard, head = Shard(table), held.value
+            head = held.value
+            shard = Shard(table, head)
             told = told.combine_chunks()
             rare = np.asarray(told.column("word"), dtype=np.int64).view(np.uint64)
             order = np.argsort(rare)
-            in_head, in_told = head.places(shard.word), find(rare[order], shard.word)
-            at, hot = head.places(shard.before[shard.contexts])
+            in_head, in_told = (shard.word_at, shard.word_at >= 0), find(rare[order], shard.word)
+            at, hot = shard.before_at[shard.contexts], shard.before_at[shard.contexts] >= 0
             of_context = np.repeat(np.arange(len(shard.contexts)), shard.followers)
             losses = []
             for k, (n, own, d, name) in enumerate(((shard.n, shard.followers, followers.value[0], ""), (shard.n_target, shard.followers_target, followers.value[1], "_target"))):
@@ -447,7 +466,7 @@ def gathered(keys: DataFrame, sums: DataFrame) -> DataFrame:
     """row, rest, rest_background, rest_target: of each row of a chunk, over all shards."""
 
     def work(key, rows, sums):
-        names = np.concatenate([np.frombuffer(b.as_buffer(), np.int64) for b in rows.column("pairs").combine_chunks()])
+        names = np.concatenate([np.frombuffer(b.as_buffer(), np.int64) for b in rows.column("far").combine_chunks()])
         total = np.zeros((3, len(names)), dtype=np.int64)
         columns = [sums.column(c).combine_chunks() for c in ("docs", "rest", "background", "target")]
         for docs, *values in zip(*columns):
@@ -535,7 +554,7 @@ def score(docs: DataFrame, labels: DataFrame, words: int = WORDS, bigrams: int =
         replies = wanted.where("shard >= 0").join(known.where((F.col("u") > 1) & (F.col("n") < cut)), "word").select("shard", "word", "u", "u_target")
         sums = materialize(priced(packed, replies, held, spark.sparkContext.broadcast(followers.copy()), totals), f"lm-sums-{turn}")
         release(spark)
-        found.append(materialize(gathered(dealt.where(F.col("shard") == KEYS).select("chunk", "pairs"), sums), f"lm-rest-{turn}"))
+        found.append(materialize(gathered(dealt.where(F.col("shard") == KEYS).select("chunk", "far"), sums), f"lm-rest-{turn}"))
         discard(dealt, wanted, sums)
     found = union(found).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("rest", "rest_background", "rest_target")])
 

@@ -534,6 +534,26 @@ def test_lm_matrix_comes_from_the_first_round(spark, docs, labels, texts):
     assert not lm_scoring.matrix(lm_scoring.deal(rows, held, 1, 3), held).any()
 
 
+def test_lm_shards_unpack_to_all_bigrams(spark, docs, labels, texts):
+    """Packed rows of all rounds and the matrix together have each bigram as often as the texts; frequent words are known by their places."""
+    rows = lm_scoring.marked(docs, lm_scoring.trusted_ids(labels))
+    head = lm_scoring.Head(lm_scoring.word_counts(rows).where("u > 40").toArrow(), 5)
+    held, got, want = spark.sparkContext.broadcast(head), collections.Counter(), collections.Counter()
+    for turn in range(lm_scoring.ROUNDS):
+        packed = lm_scoring.deal(rows, held, turn, 2).where("shard >= 0").toArrow()
+        for number in (0, 1):
+            some = packed.filter(pa.array([x == number for x in packed.column("shard").to_pylist()]))
+            shard = lm_scoring.Shard(some, head)
+            for own, at in ((shard.before, shard.before_at), (shard.word, shard.word_at)):
+                assert ((at >= 0) == np.isin(own, head.words)).all() and (head.words[at[at >= 0]] == own[at >= 0]).all()
+            got.update(dict(zip(zip(shard.before.tolist(), shard.word.tolist()), shard.n.tolist())))
+    top = set(head.words[head.top].tolist())
+    for text in texts.values():
+        before, ids, _ = lm_scoring.bigrams_of(pa.array([text]))
+        want.update((v, w) for v, w in zip(before.tolist(), ids.tolist()) if not (v in top and w in top))
+    assert got == want
+
+
 def test_media(docs, empty, texts):
     for r in media.media_digests(docs).collect():
         raw = texts[r.doc_id].encode()
