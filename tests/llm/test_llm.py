@@ -144,6 +144,13 @@ def test_thresholds_and_decisions_against_brute_force(spark):
     assert judged[901].perplexity is None and not judged[901].kept and judged[900].threshold is not None
 
 
+def test_quality_classes_of_all_scripts():
+    of = lambda text: [quality.CLASSES[k] for k in quality.grams([text], 1)[0]]
+    assert of("\u2003\u3000\u2028") == [" "] * 3 and of("\u0663\uff15\u096b") == ["digit"] * 3
+    assert of("\u0411\u0394") == ["capital"] * 2 and of("\u0431\u4e2d\u093f\U00020000") == ["letter"] * 4
+    assert of("\u201c\u2019\u2026\u20ac\U0001f600") == ["rest"] * 5 and of("e\u00e9Z7#\u00ab\x00") == ["e", "\u00e9", "capital", "digit", "symbol", "rest", "rest"]
+
+
 def test_quality_trains_on_all_trusted(spark, monkeypatch):
     """More than 20000 trusted documents, as many counts as they have characters; also when tasks send their counts in parts."""
     texts = [VOCABULARY[i % 400][: 1 + i // 400 % 5] for i in range(21_000)]
