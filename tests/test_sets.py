@@ -158,3 +158,38 @@ def test_a_kind_of_ones_own(spark, base, tmp_path):
     assert back.config == Ring(3) and back.graph.count() == 150 and math.isclose(back.graph.agg(F.sum("dist")).first()[0], 150)
     with pytest.raises(ValueError):
         builders.grow(back, base)
+
+
+def test_neighbours_of_many_queries(spark, monkeypatch):
+    """Queries dealt to parts: each pair of a task's queries and rows is met once, and k rows a query leave the task, whatever the number of blocks."""
+    monkeypatch.setattr(blocks, "FEW", 4)
+    monkeypatch.setattr(blocks, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(blocks, "BASE_BLOCK", 16)
+    rng = np.random.default_rng(5)
+    v = np.round(rng.normal(size=(203, 5)), 2).astype(np.float32)
+    v[50:60] = v[3]  # copies: ties by id
+    v[7] = 0.0
+    v[100:] += 300.0  # far from the origin: single precision alone would not order them
+    labels = rng.integers(0, 3, 203)
+    base = spark.createDataFrame([(int(i), [float(x) for x in v[i]], int(labels[i])) for i in range(203)], "vid long, vec array<float>, label int").repartition(3)
+    asked = base.withColumnRenamed("vid", "qid")
+    w = v.astype(np.float64)
+    length = np.sqrt((w * w).sum(axis=1))
+    with np.errstate(all="ignore"):
+        cosine = np.where(np.outer(length, length) > 0, 1 - (w @ w.T) / np.outer(length, length), 1.0)
+    gap = ((w[:, None] - w[None]) ** 2).sum(axis=2)
+    keys = {"l2": np.sqrt(gap), "l2sqr": gap, "ip": -(w @ w.T), "cosine": cosine}
+    for metric, d in keys.items():
+        d = np.round(d, 6)
+        for options in ({}, {"farthest": True}, {"same": "label", "within": float(np.quantile(d, 0.3))}, {"farthest": True, "within": float(np.quantile(d, 0.3))}):
+            got = {(r.qid, r["rank"]): (r.vid, r.dist) for r in blocks.knn(base, asked, 7, metric, exclude_self=True, **options).collect()}
+            sign, want = -1 if "farthest" in options else 1, {}
+            for q in range(203):
+                ok = [i for i in range(203) if i != q and ("same" not in options or labels[i] == labels[q]) and ("within" not in options or d[q, i] <= options["within"])]
+                for rank, i in enumerate(sorted(ok, key=lambda i: (sign * d[q, i], i))[:7], 1):
+                    want[q, rank] = (i, d[q, i])
+            assert got.keys() == want.keys()
+            assert all(abs(got[k][1] - want[k][1]) <= 2e-6 * max(1.0, abs(want[k][1])) for k in want)
+            assert sum(got[k][0] != want[k][0] for k in want) <= (0 if metric in ("l2", "l2sqr") else 12)  # rounding may turn ties of products
+    met = blocks.meet(base, asked, [], lambda: blocks._Best(7, "l2", exclude_self=True), "qid long, vid long, dist double", None)
+    assert met.count() == 203 * 7  # not 7 a query and block
