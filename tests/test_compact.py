@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nearfield.operators import compact, edges, increments, insertion, rnets, search
+from nearfield.operators import compact, edges, evaluate, increments, insertion, refine, rnets, search
 from nearfield.operators.knn import knn
 from nearfield.plans.config import NetConfig
 from nearfield.sources.snapshots import cut, released
@@ -199,3 +199,32 @@ def test_growing_with_refinement_and_by_drawn_levels(base, asked):
     assert sizes[0] == 240 and 30 <= sizes[1] <= 90 and sizes[2] <= 40
     found = insertion.found_by(drawn, asked, 5, 30, CAPS)
     assert found.join(knn(base, asked, 5), ["qid", "vid"]).count() >= 0.9 * found.count() > 0
+
+
+def test_search_goes_on_until_recall(spark):
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(400, 32)).astype(np.float32)
+    base = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "vid long, vec array<float>")
+    asked = base.where("vid % 10 = 0").withColumnRenamed("vid", "qid")
+    true = cut(knn(base, asked, 10))
+    graph = cut(edges.symmetric(refine.random_graph(base, 4)))  # a poor one
+    packed = cut(compact.pack(graph, base, 32))
+    recall = lambda found: evaluate.recall_at_k(found, true, 10).first()[0]
+    assert recall(compact.search_flat(compact.from_one(asked, 0), packed, 10, 10)) < 0.9
+    for truth in (true, true.where("qid < 100")):  # of all, or of some
+        found = compact.search_until(compact.from_one(asked, 0), packed, 10, 10, truth)
+        assert recall(found.join(truth.select("qid").distinct(), "qid", "left_semi")) >= (0.9 if truth is true else 0.2)
+        assert found.groupBy("qid").count().where("count <> 10").isEmpty() and found.select("qid").distinct().count() == 40
+
+
+def test_neighbour_rows_are_completed(spark, monkeypatch):
+    v = np.random.default_rng(13).normal(size=(300, 32))
+    base = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "vid long, vec array<float>")
+    poor = refine.random_graph(base, 6)
+    assert refine.recall_of(poor, base, 6) < 0.9
+    got = refine.knn_graph(base, 6, loops=1, triangles=1, routing=0)  # too little to find them
+    assert refine.recall_of(got, base, 6) >= 0.9 and got.count() == 300 * 6
+    assert refine.recall_of(refine.routed(poor, base, 6), base, 6) == 1.0  # all with all
+    monkeypatch.setattr(refine, "DIRECT", 0)
+    assert refine.recall_of(refine.routed(poor, base, 6), base, 6) < 1.0  # by searches, which find less on this graph
+    assert refine.recall_of(refine.knn_graph(base, 6, loops=1, triangles=1, routing=1, width=6), base, 6) >= 0.9
