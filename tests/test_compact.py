@@ -228,3 +228,18 @@ def test_neighbour_rows_are_completed(spark, monkeypatch):
     monkeypatch.setattr(refine, "DIRECT", 0)
     assert refine.recall_of(refine.routed(poor, base, 6), base, 6) < 1.0  # by searches, which find less on this graph
     assert refine.recall_of(refine.knn_graph(base, 6, loops=1, triangles=1, routing=1, width=6), base, 6) >= 0.9
+
+
+def test_complete_search_is_a_walk_that_drops_nothing():
+    rng = np.random.default_rng(14)
+    vec = np.round(rng.normal(size=(90, 3)), 1).astype(np.float32)  # with ties
+    rows = rng.integers(0, 60, (90, 2))  # 60 to 89 lead into the others, none to them
+    graph = compact.held([compact.Part(np.arange(90), rows, vec)])
+    q = rng.normal(size=(7, 3))
+    places = np.array([[-1, 3], [-1, 3], [5, 70], [-1, -1], [61, 89], [-1, 3], [-1, 80]])
+    for metric in ("l2", "ip"):
+        want, _ = compact.walk(graph, q, compact.entered(graph, q, places, 90, metric), 90, metric)
+        got = compact.complete(graph, q, places, 90, metric)
+        assert (got.place == want.place).all() and not got.open.any()
+        assert np.allclose(np.where(got.place < 0, 0, got.dist), np.where(want.place < 0, 0, want.dist), atol=2e-6)
+        assert (compact.complete(graph, q, places, 4, metric).place == want.place[:, :4]).all()
